@@ -18,8 +18,8 @@ _encoders: dict = {}
 CHUNKS = 400_000
 
 
-class _Chunks(dict):
-    """Ids, as little-endian bytes, of chunks of text that no token crosses."""
+class _Words(dict):
+    """Ids, as little-endian bytes, of words as the pre-tokenizer cuts them."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -27,32 +27,62 @@ class _Chunks(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves there
+        other = [b for b in range(256) if b not in set(plain)]
+        self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CHUNKS:
+            self.clear()
+        letters = word.encode().decode("latin-1").translate(self.letters)
+        ids = self[word] = np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
+        return ids
+
+
+class _Odd(Exception):
+    """A chunk that other white space touches."""
+
+
+class _Chunks(dict):
+    """Ids of what stands between two single spaces, the first of them included."""
+
+    def __init__(self, words: _Words):
+        super().__init__()
+        import public_tokenizers
+        import regex
+
+        self.words, self.cut = words, regex.compile(public_tokenizers.PATTERN).findall
+
+    def of(self, chunk: str, lead: str) -> bytes:
+        if not chunk or chunk[0].isspace() and lead or chunk[-1].isspace():
+            raise _Odd
+        return b"".join([self.words[w] for w in self.cut(lead + chunk)])
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= CHUNKS:
             self.clear()
-        ids = self[chunk] = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self[chunk] = self.of(chunk, " ")
         return ids
 
 
 def encoder(path: str):
     """A function from a text to its ids as little-endian bytes, one for each worker and file.
 
-    The byte-level pre-tokenizer starts a token at every space that stands between two other
-    characters, so the chunks between such spaces are encoded apart and kept. Texts with other white
-    space beside a space are encoded whole.
+    The byte-level pre-tokenizer starts a word at every space that stands between two other characters,
+    so the chunks between such spaces are encoded apart and kept. Texts with other white space beside a
+    space are encoded whole.
     """
-    import regex
-
     if path not in _encoders:
-        chunks, odd = _Chunks(path), regex.compile(r" [\s\x1c-\x1f]|[\s\x1c-\x1f] |^ ")
+        words = _Words(path)
+        chunks = _Chunks(words)
         ids = chunks.__getitem__
 
         def encode(text: str) -> bytes:
-            if odd.search(text):
-                return np.array(chunks.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
             first, *rest = text.split(" ")
-            return ids(first) + b"".join([ids(" " + x) for x in rest])
+            try:
+                return chunks.of(first, "") + b"".join(map(ids, rest))
+            except _Odd:
+                return np.array(words.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
         _encoders[path] = encode
     return _encoders[path]
