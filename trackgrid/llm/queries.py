@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, packing, simhash, substrings, token_counts
+from . import decontamination, packing, simhash, substrings, token_counts, toxicity
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeat_report(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_token_counts, op8_substrings, op9_packing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_token_counts, op7_toxicity, op8_substrings, op9_packing, op10_simhash)}
 
 ORACLE_SQL: dict[str, str] = {}
