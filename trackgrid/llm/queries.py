@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, packing, simhash, substrings, token_counts, toxicity
+from . import decontamination, licenses, packing, simhash, substrings, token_counts, toxicity, urls, vectors
 from .common import table
 
 
@@ -22,6 +22,18 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,6 +50,42 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_token_counts, op7_toxicity, op8_substrings, op9_packing, op10_simhash)}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_decontamination, op3_token_counts, op4_licenses, op5_top_k, op6_urls, op7_toxicity, op8_substrings,
+        op9_packing, op10_simhash,
+    )
+}
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": f"""
+    WITH d AS (SELECT doc_id, row_number() OVER () AS rid, {_WORDS} AS w FROM documents),
+    b AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+    n AS (SELECT *, least(10, len(w)) AS size FROM b WHERE len(w) > 0),
+    windows AS (SELECT DISTINCT item_id, size, array_to_string(w[i + 1 : i + size], ' ') AS g
+        FROM (SELECT *, unnest(range(0, len(w) - size + 1)) AS i FROM n)),
+    sizes AS (SELECT DISTINCT size FROM n),
+    grams AS (SELECT rid, i, size, array_to_string(w[i + 1 : i + size], ' ') AS g
+        FROM (SELECT rid, w, size, unnest(range(0, len(w) - size + 1)) AS i FROM d, sizes WHERE len(w) >= size)),
+    hits AS (SELECT rid, i, size, item_id FROM grams JOIN windows USING (size, g)),
+    words AS (SELECT rid, count(DISTINCT place) AS n_hit FROM (SELECT rid, unnest(range(i, i + size)) AS place FROM
+        (SELECT DISTINCT rid, i, size FROM hits)) GROUP BY rid),
+    items AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM
+        (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY rid)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+        sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+    FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)""",
+    "op4_licenses": licenses.scan_sql(),
+    "op5_top_k": """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+        FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+    r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+        vec_id, score FROM s)
+    SELECT * FROM r WHERE rank <= 20""",
+    "op6_urls": urls.pages_sql(),
+}
