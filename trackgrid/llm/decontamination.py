@@ -87,6 +87,41 @@ def windows_of(items: list[tuple[object, bytes]], n: int) -> dict[bytes, list[st
     return {k: sorted(v) for k, v in out.items()}
 
 
+def clean(docs: DataFrame, items: DataFrame, n: int = 10, item_bytes: int = 4 << 20) -> DataFrame:
+    """docs, all columns, without the documents in which a window of an item occurs; see find_items().
+
+    Null texts stay. Row-local while the items fit one part; more parts are one pass after the other.
+    """
+    for windows in _parts(items, n, item_bytes):
+        docs = docs.mapInArrow(_without(windows), docs.schema)
+    return docs
+
+
+def _parts(items: DataFrame, n: int, item_bytes: int) -> Iterator[dict[bytes, list[str]]]:
+    """The windows of the items, in parts that hold about item_bytes bytes of text each."""
+    items = items.select("item_id", "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // item_bytes))
+    for part in range(parts):
+        own = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
+        yield windows_of([(r[0], r[1].encode()) for r in own.collect()], n)
+
+
+def _without(windows: dict[bytes, list[str]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searcher = Searcher(windows)
+        for whole in batches:
+            for batch in sliced(whole, "text"):
+                parts = [b" " + b" ".join(x.translate(FOLD).split()) + b" \n" for x in as_bytes(batch, "text")]
+                ends = np.cumsum([len(x) for x in parts])
+                places = np.array([x[0] for x in searcher.search(b"".join(parts))], np.int64)
+                hit = np.zeros(len(parts), bool)
+                hit[np.searchsorted(ends, places, "right")] = True
+                yield batch.filter(pa.array(~hit))
+
+    return run
+
+
 def find_items(docs: DataFrame, items: DataFrame, n: int = 10, item_bytes: int = 4 << 20) -> DataFrame:
     """Where windows of benchmark items occur in documents.
 
@@ -99,19 +134,14 @@ def find_items(docs: DataFrame, items: DataFrame, n: int = 10, item_bytes: int =
     documents, and the passes' rows are merged by a hash of the row. One part, the usual case, needs no
     shuffle.
     """
-    items = items.select("item_id", "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // item_bytes))
+    all_windows = list(_parts(items, n, item_bytes))
+    parts = len(all_windows)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, {'row string, ' * (parts > 1)}n_words long, spans array<struct<first:long,last:long>>, items array<string>"
     base = docs.select("doc_id", "text")
     if parts > 1:
         base = base.withColumn("row", F.sha2(F.coalesce("text", F.lit("")), 256))
-    passes = []
-    for part in range(parts):
-        own = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
-        windows = windows_of([(r[0], r[1].encode()) for r in own.collect()], n)
-        passes.append(base.mapInArrow(_pass(windows), schema))
+    passes = [base.mapInArrow(_pass(windows), schema) for windows in all_windows]
     if parts == 1:
         return passes[0]
     out = passes[0].withColumn("part", F.lit(0))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, licenses, packing, simhash, substrings, token_counts, toxicity, urls, vectors
+from . import decontamination, licenses, packing, passages, simhash, substrings, token_counts, toxicity, urls, vectors
 from .common import table
 
 
@@ -14,6 +14,10 @@ def _tokenizer(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -53,7 +57,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_decontamination, op3_token_counts, op4_licenses, op5_top_k, op6_urls, op7_toxicity, op8_substrings,
+        op1_passages, op2_decontamination, op3_token_counts, op4_licenses, op5_top_k, op6_urls, op7_toxicity, op8_substrings,
         op9_packing, op10_simhash,
     )
 }

@@ -7,7 +7,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -167,3 +167,22 @@ def near_duplicates(docs: DataFrame, distance: int = 3, words: int = 3) -> DataF
     ids = named.groupBy("root").agg(F.min("doc").alias("component_id"))
     named = named.join(ids, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, distance: int = 3, words: int = 3) -> DataFrame:
+    """docs, all columns, with one row of each near_duplicates() component: that of the smallest doc_id.
+
+    Nulls come last; of rows with the same doc_id one of the smallest text hash stays. The row is chosen
+    from keys alone; texts are dealt once, evenly, by doc_id and hash.
+    """
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64(F.coalesce("text", F.lit("")))
+    keys = docs.select(F.struct(F.col("doc_id").isNull(), "doc_id", *key).alias("doc_id"), "text")
+    fps = stored(fingerprints(keys, words).select("doc_id.*", "fp").toDF("none", "doc_id", "_d", "_x", "fp"))
+    classes = stored(fps.groupBy("fp").agg(F.min(F.struct("none", "doc_id", "_x", "_d")).alias("least")))
+    roots = components(links(classes.select("fp"), distance)).withColumnRenamed("id", "fp")
+    named = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    kept = named.groupBy("root").agg(F.min("least").alias("least")).select("least._d", "least._x")
+    names = docs.columns
+    rows = docs.withColumns({"_d": key[0], "_x": key[1]}).join(kept, ["_d", "_x"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("_d", "_x").orderBy(F.lit(1)))
+    return rows.withColumn("_n", first).filter("_n = 1").select(*[F.col(f"`{c}`") for c in names])
