@@ -107,6 +107,14 @@ class TrackFilter:
         self.p = (self.p + self.p.T) / 2
         return True, d2
 
+    def seed(self, x: float, y: float, sigma: float, vx: float | None, vy: float | None) -> None:
+        """Start at a fix, with the velocity of the motion if that is known."""
+        self.x[:2], self.p[0, 0], self.p[1, 1] = (x, y), sigma**2, sigma**2
+        self.last_fix = np.array([x, y])
+        if not _missing(vx):
+            s, c = math.sin(self.x[6]), math.cos(self.x[6])
+            self.x[3:5], self.p[3, 3], self.p[4, 4] = (vx * s + vy * c, vx * c - vy * s), 25.0, 25.0
+
     def _rows(self, *states: int) -> np.ndarray:
         return np.eye(9)[list(states)]
 
@@ -150,8 +158,11 @@ FILTERED = "x_e double, y_n double, speed double, yaw double, scale double, sigm
 def filter_step(f: TrackFilter, row: dict) -> dict:
     """One row (t, vx, vy, yaw_rate, alt, alt_sigma, fix_x, fix_y, fix_sigma; missing parts null) of a track.
 
-    Order: predict, velocity, altitude, heading, position. The first fix sets the position.
+    Order: predict, velocity, altitude, heading, position. A fix in the first row is the seed.
     """
+    seeded = f.t is None and not _missing(row.get("fix_x"))
+    if seeded:
+        f.seed(row["fix_x"], row["fix_y"], row["fix_sigma"], row.get("vx"), row.get("vy"))
     dt = 0.0 if f.t is None else row["t"] - f.t
     f.t = row["t"]
     f.predict(dt)
@@ -162,9 +173,11 @@ def filter_step(f: TrackFilter, row: dict) -> dict:
     if not _missing(row.get("alt")):
         f.altitude(row["alt"], row["alt_sigma"])
     f.heading()
-    if not _missing(row.get("fix_x")):
+    if seeded:
+        fix, d2 = True, 0.0
+    elif not _missing(row.get("fix_x")):
         fix, d2 = f.position(row["fix_x"], row["fix_y"], row["fix_sigma"])
-    sigma = math.sqrt(max(f.p[0, 0], f.p[1, 1]))
+    sigma = math.sqrt(f.p[0, 0] + f.p[1, 1])
     return {
         "x_e": f.x[0], "y_n": f.x[1], "speed": math.hypot(f.x[3], f.x[4]), "yaw": f.x[6], "scale": f.x[8],
         "sigma_pos": sigma, "vo_ok": vo, "fix_ok": fix, "fix_d2": d2,
