@@ -14,11 +14,32 @@ from pyspark.sql import functions as F
 from .common import sliced, stored
 
 _encoders: dict = {}
-#: Chunks that a task keeps encoded; it starts afresh beyond that.
-CHUNKS = 400_000
+#: Texts that a cache holds before the older half of what it knows goes.
+CHUNKS = 100_000
 
 
-class _Words(dict):
+class _Cache(dict):
+    """Values that make() gives for keys; of 2 * CHUNKS at most, those used last stay."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict[str, bytes] = {}
+
+    def make(self, key: str) -> bytes:
+        raise NotImplementedError
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= CHUNKS:
+            self.old = dict(self)
+            self.clear()
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+
+class _Words(_Cache):
     """Ids, as little-endian bytes, of words as the pre-tokenizer cuts them."""
 
     def __init__(self, path: str):
@@ -31,19 +52,16 @@ class _Words(dict):
         other = [b for b in range(256) if b not in set(plain)]
         self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CHUNKS:
-            self.clear()
+    def make(self, word: str) -> bytes:
         letters = word.encode().decode("latin-1").translate(self.letters)
-        ids = self[word] = np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
-        return ids
+        return np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
 
 
 class _Odd(Exception):
     """A chunk that other white space touches."""
 
 
-class _Chunks(dict):
+class _Chunks(_Cache):
     """Ids of what stands between two single spaces, the first of them included."""
 
     def __init__(self, words: _Words):
@@ -58,11 +76,8 @@ class _Chunks(dict):
             raise _Odd
         return b"".join([self.words[w] for w in self.cut(lead + chunk)])
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CHUNKS:
-            self.clear()
-        ids = self[chunk] = self.of(chunk, " ")
-        return ids
+    def make(self, chunk: str) -> bytes:
+        return self.of(chunk, " ")
 
 
 def encoder(path: str):

@@ -115,7 +115,7 @@ def anchors_of(texts: list[bytes], length: int) -> list[np.ndarray]:
 def _anchor_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in sliced(whole, "text", 2 << 20):
+            for batch in sliced(whole, "text", 1 << 19):
                 doc, a, place, lo, hi = anchors_of(as_bytes(batch, "text"), length)
                 at = pa.array(doc.astype(np.int64))
                 yield pa.RecordBatch.from_pydict({

@@ -12,7 +12,7 @@ from .common import as_bytes, sliced
 
 _automata: dict = {}
 #: Words that a task keeps counted; it starts afresh beyond that.
-WORDS = 400_000
+WORDS = 150_000
 
 
 def vocabulary(path: str) -> set[bytes]:

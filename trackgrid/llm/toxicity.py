@@ -29,7 +29,7 @@ IDENTITY_TERMS = (
 )
 DIMENSIONS = 1 << 20
 #: Words whose scores a task keeps; it starts afresh beyond that.
-WORDS = 300_000
+WORDS = 100_000
 
 
 def words_of(text: bytes) -> set[bytes]:
@@ -92,49 +92,64 @@ def fit(
     logit, the difference of two words' scores, is penalised with weight `fairness`. A toxic row weighs
     as much as `weight` others. One class or no rows at all give a constant score.
     """
+    ids: dict[bytes, int] = {}
+    flat = np.array([ids.setdefault(w, len(ids)) for t in texts for w in sorted(t)], np.int32)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    return _fit(flat, sizes, list(ids), toxic, least, ridge, fairness, weight, steps, terms)
+
+
+def _fit(flat: np.ndarray, sizes: np.ndarray, words: list[bytes], toxic: np.ndarray, least: float = 12.0, ridge: float = 1e-4,
+         fairness: float = 1.0, weight: float = 4.0, steps: int = 300, terms=IDENTITY_TERMS) -> Model:
+    """fit() of texts whose distinct words, as places in `words`, stand one text after the other in flat."""
     importance = np.where(toxic > 0, weight, 1.0)
     p = float(np.clip(toxic.mean() if len(toxic) else 0.1, 1e-3, 1 - 1e-3))
     if len(set(toxic.tolist())) < 2:
         return Model({}, float(np.log(p / (1 - p))))
-    ids: dict[bytes, int] = {}
-    flat = [np.array([ids.setdefault(w, len(ids)) for w in sorted(t)], np.int64) for t in texts]
-    groups = [[t.encode() for t in g] for g in terms]
-    swaps = [
-        (ids[a], ids.setdefault(b, len(ids))) for t in texts for g in groups for a in g if a in t for b in g if b not in t
-    ]
+    n_texts, bounds = len(sizes), np.cumsum([0, *sizes])
+    members = {t.encode() for g in terms for t in g}
+    ids = {w: i for i, w in enumerate(words) if w in members}
+    words = words + sorted(members - set(ids))
+    ids |= {w: len(words) - len(members) + len(set(ids)) + i for i, w in enumerate(sorted(members - set(ids)))}
+    named = np.zeros(len(words), bool)
+    named[list(ids.values())] = True
+    held: dict[int, set[int]] = {}
+    for place in np.flatnonzero(named[flat]).tolist():
+        held.setdefault(int(np.searchsorted(bounds, place, "right")) - 1, set()).add(int(flat[place]))
+    groups = [[ids[t.encode()] for t in g] for g in terms]
+    swaps = [(a, b) for own in held.values() for g in groups for a in g if a in own for b in g if b not in own]
     feature, per = array("i"), []
-    for w in ids:
+    for w in words:
         own = grams(w)
         feature.extend(own)
         per.append(len(own))
     feature, ends = np.frombuffer(feature, np.int32), np.cumsum([0, *per])
     counts = np.zeros((2, DIMENSIONS), np.int32)
-    for words, label in zip(flat, toxic):
-        if len(words):
-            own = np.concatenate([feature[ends[i] : ends[i + 1]] for i in words.tolist()])
+    for k, label in enumerate(toxic):
+        if sizes[k]:
+            own = np.concatenate([feature[ends[i] : ends[i + 1]] for i in flat[bounds[k] : bounds[k + 1]].tolist()])
             counts[int(label)][np.unique(own)] += 1
     n = np.array([(toxic == 0).sum(), (toxic == 1).sum()])
     used = _told_apart(counts, n, least)
     index = np.full(DIMENSIONS, -1)
     index[used] = np.arange(len(used))
-    word_of = np.repeat(np.arange(len(ids)), per)
+    word_of = np.repeat(np.arange(len(words), dtype=np.int32), per)
     on = index[feature] >= 0
     word_of, feature = word_of[on], index[feature[on]]
-    told = np.zeros(len(ids), bool)
+    told = np.zeros(len(words), bool)
     told[word_of] = True
-    text_of = np.repeat(np.arange(len(texts)), [int(told[x].sum()) for x in flat])
-    flat = np.concatenate([x[told[x]] for x in flat])
+    text_of = np.repeat(np.arange(n_texts), sizes)[told[flat]]
+    flat = flat[told[flat]]
     sa, sb = np.array(swaps, np.int64).reshape(-1, 2).T
     w, bias = np.zeros(len(used)), float(np.log(p / (1 - p)))
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for step in range(1, steps + 1):
-        s = np.bincount(word_of, w[feature], len(ids))
-        z = bias + np.bincount(text_of, s[flat], len(texts))
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic) * importance / len(texts)
-        gs = np.bincount(flat, g[text_of], len(ids))
+        s = np.bincount(word_of, w[feature], len(words))
+        z = bias + np.bincount(text_of, s[flat], n_texts)
+        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic) * importance / n_texts
+        gs = np.bincount(flat, g[text_of], len(words))
         if len(sa):
-            change = 2 * fairness * (s[sa] - s[sb]) / len(texts)
-            gs += np.bincount(sa, change, len(ids)) - np.bincount(sb, change, len(ids))
+            change = 2 * fairness * (s[sa] - s[sb]) / n_texts
+            gs += np.bincount(sa, change, len(words)) - np.bincount(sb, change, len(words))
         gw = np.bincount(feature, gs[word_of], len(used)) + ridge * w
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
         rate = 0.05 * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
@@ -145,7 +160,7 @@ def fit(
     return Model(dict(zip(used.tolist(), w.tolist())), float(bias))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 8000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, rows: int = 6000) -> Model:
     """Fit on at most `rows` labelled documents, those of the smallest hash of doc_id (a documented bound).
 
     Rows whose crc32(doc_id as text) mod 3 is 1 are held out, and their labels never read. A document
@@ -167,7 +182,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 8000) -> Model:
     kind, label = (df.schema[c].dataType.simpleString() for df, c in ((docs, "doc_id"), (labels, "toxic")))
     found = texts.mapInArrow(run, f"doc_id {kind}, words array<binary>, toxic {label}")
     found = found.orderBy(F.xxhash64("doc_id"), "doc_id", "words").limit(rows).toArrow()  # an id may have several rows
-    return fit([set(x) for x in found["words"].to_pylist()], (found["toxic"].to_numpy() > 0).astype(float))
+    toxic = (found["toxic"].to_numpy() > 0).astype(float)
+    column = found["words"].combine_chunks()
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    words = column.flatten().dictionary_encode()
+    sizes = np.diff(column.offsets.to_numpy())
+    return _fit(words.indices.to_numpy().astype(np.int32), sizes, words.dictionary.to_pylist(), toxic)
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
@@ -183,7 +204,7 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
 
 
-def judged(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, rows: int = 8000) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, rows: int = 6000) -> DataFrame:
     """(doc_id, text) -> doc_id, held_out, score, predicted: one row for each row of docs.
 
     A null doc_id is not held out. Without labelled rows every score is the same; an empty table gives
