@@ -213,18 +213,21 @@ def h_scale(h) -> Column:
     return F.when(det > 0, F.sqrt(det))
 
 
-def h_nadir(pitch_deg, agl, span_m, out_w, out_h, fx, fy, cx, cy) -> Column:
-    """Homography from a level camera's picture to a view straight down of span_m metres, as nine numbers.
+def h_nadir(pitch_deg, agl, span_m, out_w, out_h, fx, fy, cx, cy, roll_deg=0.0) -> Column:
+    """Homography from a camera's picture to a view straight down of span_m metres, as nine numbers.
 
-    K_nadir . R(90 + pitch) . K^-1, with the view centre, agl / tan|pitch| ahead, in the middle.
+    The nadir camera times the inverse of the tilt and roll times the inverse of the camera matrix; the
+    view centre, agl / tan|pitch| ahead, is in the middle.
     """
     pitch, agl, out_w, out_h = _c(pitch_deg), _c(agl), _c(out_w), _c(out_h)
     f = out_w * agl / _c(span_m)
     ahead = F.when(F.abs(pitch) < 89.9, agl / F.tan(F.radians(F.abs(pitch)))).otherwise(0.0)
     px, py = out_w / 2, out_h / 2 - f * ahead / agl
     c, s = F.cos(F.radians(90.0 + pitch)), F.sin(F.radians(90.0 + pitch))
+    cr, sr = F.cos(F.radians(_c(roll_deg))), F.sin(F.radians(_c(roll_deg)))
+    turn = [(cr, sr * c, sr * s), (-sr, cr * c, cr * s), (F.lit(0.0), -s, c)]
     fx, fy, cx, cy = _c(fx), _c(fy), _c(cx), _c(cy)
-    rows = [(f, px * s, px * c), (F.lit(0.0), f * c + py * s, py * c - f * s), (F.lit(0.0), s, c)]
+    rows = [[f * x + px * z for x, z in zip(turn[0], turn[2])], [f * y + py * z for y, z in zip(turn[1], turn[2])], turn[2]]
     out = []
     for a, b, d in rows:
         out += [a / fx, b / fy, d - a * cx / fx - b * cy / fy]

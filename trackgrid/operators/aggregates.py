@@ -142,7 +142,7 @@ def diag_summary(diag: DataFrame, keys: list[str]) -> DataFrame:
     """Shares of states, rejects, medians (negatives as 0, NaN left out) and tile changes of frame diagnostics."""
     n = F.greatest(F.count("*"), F.lit(1))
     share = lambda s: (100.0 * F.count_if(F.col("state") == s) / n).alias(f"{s.lower()}_pct")
-    med = lambda c: F.median(F.greatest(_known(c), F.lit(0.0))).alias(f"median_{c}")
+    med = lambda c: F.median(F.when(_known(c) < 0, 0.0).otherwise(_known(c))).alias(f"median_{c}")
     moved = F.lag("tile").over(Window.partitionBy(*keys).orderBy("frame"))
     rows = diag.withColumn("_moved", F.coalesce(F.col("tile") != moved, F.lit(False)))
     return rows.groupBy(*keys).agg(

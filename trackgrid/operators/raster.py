@@ -138,7 +138,7 @@ def dhash(cells: DataFrame, keys: list[str], height: int, width: int) -> DataFra
     """64-bit difference hash of 8 rows of 9 area averages, as 16 hex digits."""
     small = resample(cells, keys, height, width, 8, 9, "area")
     more = F.col("v") > F.lag("v").over(Window.partitionBy(*keys, "r").orderBy("c"))
-    bits = small.withColumn("_b", more).filter("_b").select(*keys, F.shiftleft(F.lit(1).cast("long"), (63 - F.col("r") * 8 - F.col("c") + 1).cast("int")).alias("_bit"))
+    bits = small.withColumn("_b", more).filter("_b").select(*keys, F.expr("shiftleft(1L, 64 - r * 8 - c)").alias("_bit"))
     return cells.select(*keys).distinct().join(bits.groupBy(*keys).agg(F.bit_or("_bit").alias("_h")), keys, "left").select(*keys, F.lower(F.lpad(F.hex(F.coalesce("_h", F.lit(0).cast("long"))), 16, "0")).alias("dhash"))
 
 
