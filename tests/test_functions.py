@@ -129,3 +129,13 @@ def test_small_tables(spark):
     both = joins.pair_tiles(marks.select("i", "t"), seg.select(F.lit(7).alias("i")), ["i"])
     assert both.filter("missing_image").count() == 3 and both.filter("missing_mask").count() == 3
     assert joins.tile_window(spark.createDataFrame([(5, 6)], "x int, y int"), 1).count() == 9
+
+
+def test_table_functions(spark):
+    from trackgrid.functions import udtf
+
+    udtf.register(spark)
+    assert spark.sql("SELECT * FROM tile_window(5, 6, 2)").count() == 25
+    box = spark.createDataFrame([("a", 37.0, 54.0, 39.0, 56.0)], "region string, w double, s double, e double, n double")
+    want = {(r["x"], r["y"]) for r in joins.tiles_in_bbox(box, 7).collect()}
+    assert {tuple(r) for r in spark.sql("SELECT * FROM tiles_in_bbox(37.0D, 54.0D, 39.0D, 56.0D, 7)").collect()} == want

@@ -132,3 +132,23 @@ def test_sampling(spark):
     assert got == [0, 3, 0]
     snow = cells_of(spark, v).withColumn("white", F.col("v") > 11)
     assert raster.snow_mask(snow, F.col("white"), ["k"], 4, 4).count() == 4
+
+
+def test_buffered_burn_and_cleaning(spark):
+    tile = spark.createDataFrame([(1, 38.0, 55.0, 38.002, 55.001)], "k int, w double, s double, e double, n double")
+    pts = [{"x": 38.0002, "y": 55.0001}, {"x": 38.0018, "y": 55.0008}]
+    line = spark.createDataFrame([(1, [pts], 4, 12.0)], "k int, parts array<array<struct<x:double,y:double>>>, cls int, width_m double")
+    got = grid(raster.burn_buffered(tile, line, 16, ["k"]), (16, 16))
+    kx, ky = 111320 * np.cos(np.radians(55.0005)), 111320
+    a, b = (np.array([(p["x"] - 38) * kx, (p["y"] - 55) * ky]) for p in pts)
+    want = np.zeros((16, 16))
+    for r in range(16):
+        for c in range(16):
+            p = np.array([(c + 0.5) / 16 * 0.002 * kx, (1 - (r + 0.5) / 16) * 0.001 * ky])
+            t = np.clip((p - a) @ (b - a) / ((b - a) @ (b - a)), 0, 1)
+            want[r, c] = np.linalg.norm(p - a - t * (b - a)) <= 12.0
+    assert (got == want).all() and want.sum() > 10
+    v = np.zeros((12, 12), int)
+    v[2:9, 2:9], v[10, 1:11], v[0, 11], v[10, 4] = 3, 4, 3, 0
+    out = grid(raster.open_close(cells_of(spark, v), [4], ["k"], 12, 12), (12, 12), "v")
+    assert (out[3:8, 3:8] == 3).all() and (out[10, 2:10] == 4).all() and out[0, 11] == 0

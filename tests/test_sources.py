@@ -99,12 +99,14 @@ def test_vectors(spark, tmp_path):
     assert sorted(len(r["parts"]) for r in sources.read_geojson(spark, str(tmp_path / "f.geojson"), "l").collect()) == [1, 2]
     p = lambda *xy: [{"lat": y, "lon": x} for x, y in xy]
     osm = {"elements": [
-        {"type": "way", "id": 1, "tags": {"a": "b"}, "geometry": p((0, 0), (1, 0), (1, 1), (0, 0))}, {"type": "way", "id": 2, "geometry": p((0, 0), (1, 0))}, {"type": "way", "id": 3, "geometry": p((0, 0))},
+        {"type": "way", "id": 1, "tags": {"natural": "water", "water": "Pond", "building": "yes"}, "geometry": p((0, 0), (1, 0), (1, 1), (0, 0))}, {"type": "way", "id": 2, "geometry": p((0, 0), (1, 0))}, {"type": "way", "id": 3, "geometry": p((0, 0))},
         {"type": "relation", "id": 4, "members": [{"role": "outer", "geometry": p((0, 0), (1, 0), (1, 1))}, {"role": "", "geometry": p((0, 0), (1, 0), (1, 1))}, {"role": "inner", "geometry": p((0, 0), (1, 0), (1, 1))}]}, {"type": "relation", "id": 5, "members": []},
     ]}
     (tmp_path / "o.json").write_text(json.dumps(osm))
     water = {r["feature_id"]: (r["kind"], len(r["parts"])) for r in sources.read_osm_dump(spark, str(tmp_path / "o.json"), "water").collect()}
     assert water == {1: ("Polygon", 1), 2: ("LineString", 1), 4: ("MultiPolygon", 2)}
+    assert sources.read_osm_dump(spark, str(tmp_path / "o.json"), "water").filter("feature_id = 1").first()["class"] == "pond"
+    assert sources.resolve_layer(spark, str(tmp_path), "f").count() == 2 and sources.resolve_layer(spark, str(tmp_path), "none") is None
     assert 2 not in {r["feature_id"] for r in sources.read_osm_dump(spark, str(tmp_path / "o.json"), "buildings").collect()}
 
 

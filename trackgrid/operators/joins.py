@@ -199,6 +199,11 @@ def dem_elevation(points: DataFrame, dem: DataFrame, meta: DataFrame, key: str)
     return points.join(found, key, "left")
 
 
+def agl(points: DataFrame, dem: DataFrame, meta: DataFrame, key: str, alt: str = "alt") -> DataFrame:
+    """dem_elevation() and agl_m, the altitude less the elevation."""
+    return dem_elevation(points, dem, meta, key).withColumn("agl_m", F.col(alt) - F.col("elevation"))
+
+
 def param_grid(spark, **axes: list) -> DataFrame:
     """Every combination of small lists of parameters."""
     out = spark.range(1).drop("id")

@@ -77,6 +77,35 @@ def burn_polygons(tiles: DataFrame, features: DataFrame, size: int, keys: list[s
     return cells.filter(joins.in_polygon(x, y, F.col("parts"))).select(*keys, "r", "c", "cls").distinct()
 
 
+def burn_buffered(tiles: DataFrame, features: DataFrame, size: int, keys: list[str]) -> DataFrame:
+    """Cells of tiles (keys, w, s, e, n in degrees) within width_m of lines (keys, parts, cls, width_m) -> keys, r, c, cls.
+
+    Distances are taken in the tile's own metre frame. Only cells in a segment's box, grown by the
+    width, are made. With the rings of polygons as lines this is their outer padding.
+    """
+    pairs = lambda p: F.zip_with(F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))), F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    seg = features.withColumn("_s", F.explode(F.flatten(F.transform("parts", pairs)))).drop("parts")
+    both = tiles.join(seg, keys)
+    ky = F.lit(111_320.0)
+    kx = ky * F.cos(F.radians((F.col("s") + F.col("n")) / 2))
+    both = both.withColumn("_kx", kx).withColumn("_ky", ky)
+    step_x, step_y = (F.col("e") - F.col("w")) / size, (F.col("n") - F.col("s")) / size
+    col = lambda x: (x - F.col("w")) / step_x - 0.5
+    row = lambda y: (F.col("n") - y) / step_y - 0.5
+    px, py = F.col("width_m") / F.col("_kx") / step_x, F.col("width_m") / F.col("_ky") / step_y
+    xs, ys = (F.col("_s.a.x"), F.col("_s.b.x")), (F.col("_s.a.y"), F.col("_s.b.y"))
+    low = lambda v: F.greatest(F.lit(0), F.ceil(v).cast("int"))
+    high = lambda v: F.least(F.lit(size - 1), F.floor(v).cast("int"))
+    both = both.withColumn("_r0", low(row(F.greatest(*ys)) - py)).withColumn("_r1", high(row(F.least(*ys)) + py))
+    both = both.withColumn("_c0", low(col(F.least(*xs)) - px)).withColumn("_c1", high(col(F.greatest(*xs)) + px))
+    cells = both.filter("_r0 <= _r1 AND _c0 <= _c1").withColumn("r", F.explode(F.sequence("_r0", "_r1"))).withColumn("c", F.explode(F.sequence("_c0", "_c1")))
+    x = (F.col("w") + (F.col("c") + 0.5) * step_x - F.col("w")) * F.col("_kx")
+    y = (F.col("n") - (F.col("r") + 0.5) * step_y - F.col("s")) * F.col("_ky")
+    at = lambda p: ((p["x"] - F.col("w")) * F.col("_kx"), (p["y"] - F.col("s")) * F.col("_ky"))
+    near = joins.segment_distance(x, y, *at(F.col("_s.a")), *at(F.col("_s.b"))) <= F.col("width_m")
+    return cells.filter(near).select(*keys, "r", "c", "cls").distinct()
+
+
 def neighbourhood(kind: str, k: int) -> list[tuple[int, int]]:
     """Offsets of a k x k rectangle or ellipse."""
     r = k // 2
@@ -111,6 +140,21 @@ def closing(cells: DataFrame, keys: list[str], height: int, width: int, k: int =
     return erode(dilate(cells, keys, height, width, k), keys, height, width, k)
 
 
+def open_close(cells: DataFrame, roads: list[int], keys: list[str], height: int, width: int) -> DataFrame:
+    """Cleans class cells (keys, r, c, v > 0): roads are closed with 3 x 3, others opened and closed with 5 x 5, ellipses.
+
+    Where cleaned classes overlap the larger id stays.
+    """
+    own = cells.filter("v > 0").select(*keys, F.col("v").alias("cls"), "r", "c")
+    by, size = [*keys, "cls"], (height, width)
+    road = own.filter(F.col("cls").isin(*roads)) if roads else own.limit(0)
+    rest = own.filter(~F.col("cls").isin(*roads)) if roads else own
+    road = erode(dilate(road, by, *size, 3, "ellipse"), by, *size, 3, "ellipse")
+    rest = dilate(erode(rest, by, *size, 5, "ellipse"), by, *size, 5, "ellipse")
+    rest = erode(dilate(rest, by, *size, 5, "ellipse"), by, *size, 5, "ellipse")
+    return road.unionByName(rest).groupBy(*keys, "r", "c").agg(F.max("cls").alias("v"))
+
+
 def edge_band(cells: DataFrame, keys: list[str], height: int, width: int, width_m: float, mppx: float) -> DataFrame:
     """Dilation without erosion, of half the width in pixels, one at least."""
     k = 2 * max(1, round(width_m / mppx / 2)) + 1

@@ -137,6 +137,19 @@ def read_layer(spark: SparkSession, path: str, layer: str) -> DataFrame:
     return df.select(F.lit(layer).alias("layer"), F.map_filter(table, lambda k, v: v.isNotNull()).alias("attrs"), wkb_parts(F.col("geometry")).alias("parts"))
 
 
+def resolve_layer(spark: SparkSession, folder: str, layer: str) -> DataFrame | None:
+    """A layer of a region's folder from the first of `.parquet`, `.geojson`, `.json`; None if there is none.
+
+    Coordinates are longitude and latitude; rows without geometry are skipped.
+    """
+    for ending, read in (("parquet", read_layer), ("geojson", read_geojson), ("json", read_geojson)):
+        path = f"{folder}/{layer}.{ending}"
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+            return read(spark, path, layer)
+    return None
+
+
 def read_geojson(spark: SparkSession, path: str, layer: str) -> DataFrame:
     """Features of GeoJSON collections with polygon or line geometry -> layer, attrs, kind, parts."""
     schema = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
@@ -154,6 +167,15 @@ _POINTS = "array<struct<lat:double,lon:double>>"
 OSM = f"elements array<struct<type:string,id:bigint,tags:map<string,string>,geometry:{_POINTS},members:array<struct<role:string,geometry:{_POINTS}>>>>"
 
 
+def osm_class(tags: Column, theme: str) -> Column:
+    """Class of a water or building element by its tags; null for elements that are no buildings."""
+    if theme == "buildings":
+        return F.when(tags["building"].isNotNull(), F.lit("building"))
+    water = F.when(tags["natural"] == "water", F.lower(F.coalesce(F.nullif(tags["water"], F.lit("")), F.lit("lake"))))
+    river = F.when(F.coalesce(tags["waterway"], F.lit("")) != "", "river")
+    return F.coalesce(water, river, F.when(tags["landuse"].isin("reservoir", "basin"), "reservoir"), F.lit("lake"))
+
+
 def read_osm_dump(spark: SparkSession, path: str, theme: str) -> DataFrame:
     """Ways and relations of a dump: feature_id, kind, tags, parts, of a theme (water or buildings).
 
@@ -168,7 +190,8 @@ def read_osm_dump(spark: SparkSession, path: str, theme: str) -> DataFrame:
     outer = F.filter("members", lambda m: (F.coalesce(m["role"], F.lit("")).isin("outer", "")) & (F.size(m["geometry"]) >= 3))
     kind = F.when(F.col("type") == "way", way).when((F.col("type") == "relation") & (F.size(outer) > 0), "MultiPolygon")
     parts = F.when(F.col("type") == "way", F.array(xy(F.col("geometry")))).otherwise(F.transform(outer, lambda m: xy(m["geometry"])))
-    out = e.select(F.col("id").alias("feature_id"), kind.alias("kind"), "tags", parts.alias("parts")).filter("kind IS NOT NULL")
+    out = e.select(F.col("id").alias("feature_id"), kind.alias("kind"), "tags", osm_class(F.col("tags"), theme).alias("class"), parts.alias("parts"))
+    out = out.filter("kind IS NOT NULL AND class IS NOT NULL")
     if theme == "buildings":
         out = out.filter("kind <> 'LineString'")
     return out.withColumn("layer", F.lit(f"osm_{theme}"))

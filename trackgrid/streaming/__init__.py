@@ -79,6 +79,17 @@ def enrich_stream(df: DataFrame, segments: DataFrame, t: str = "t") -> DataFrame
     return df.join(seg, (F.col(t) >= F.col("start")) & (F.col(t) < F.col("end")), "left").drop("start", "end")
 
 
+def agl_stream(df: DataFrame, dem: DataFrame, cell_deg: float) -> DataFrame:
+    """Height over the grid cell (row, col, elev) that a stream row (lat, lon, alt) lies in: a stream-static join.
+
+    Rows and columns count from the north-west corner of the globe. Bilinear heights need several cells
+    of a row and so an aggregation; on a stream the nearest cell keeps the join stateless.
+    """
+    row, col = F.floor((90 - F.col("lat")) / cell_deg), F.floor((F.col("lon") + 180) / cell_deg)
+    at = df.withColumn("row", row).withColumn("col", col)
+    return at.join(dem.select("row", "col", "elev"), ["row", "col"], "left").withColumn("agl_m", F.col("alt") - F.col("elev")).drop("row", "col")
+
+
 def kpi_stream(df: DataFrame, key: str) -> DataFrame:
     """Rows, accepted fixes and accept rate of each run, for update mode."""
     accepted = F.sum(F.when(F.col("accepted"), 1).otherwise(0))
