@@ -32,7 +32,7 @@ def same(spark_df, relation, digits=9):
 def test_licenses(spark):
     rng = random.Random(1)
     filler = ["the", "of", "under", "license", "version", "by", "cc", "zeta", "GNU", "mit", "É", "K"]
-    texts = ["", None, "CC BY", "cc-by cc by", "ccby cc by2", "Gnu  General\nPublic, License!", "MIT LICENSE mit license", "mİt license", "apache\x00license"]
+    texts = ["", None, "CC BY", "cc-by cc by", "ccby cc by2", "Gnu  General\nPublic, License!", "MIT LICENSE mit license", "mİt license", "apache\x00license", "wor\u212a \u212aMIT license", "this wor\u212a is licensed under the gnu general public"]
     for t, _ in licenses.TEMPLATES:
         w = t.split()
         for drop in range(4):

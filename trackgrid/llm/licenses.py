@@ -44,7 +44,7 @@ def spaced(text: Column) -> Column:
     lower() also changes letters outside A-Z, which leaves the bounds of words and all ASCII words as
     they are; only the Kelvin sign would become an ASCII letter, and takes the slower way.
     """
-    low = F.when(F.contains(text, F.lit("K")), F.translate(text, _UPPER, _LOWER)).otherwise(F.lower(text))
+    low = F.when(F.contains(text, F.lit("\u212a")), F.translate(text, _UPPER, _LOWER)).otherwise(F.lower(text))
     return F.trim(F.regexp_replace(low, _NO_WORD, " "))
 
 
