@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -14,22 +15,22 @@ from pyspark.sql import functions as F
 from .common import sliced, stored
 
 _encoders: dict = {}
-#: Texts that a cache holds before the older half of what it knows goes.
-CHUNKS = 100_000
+#: Words and chunks of text whose ids a task keeps, at most twice as many; words cost more to encode.
+WORDS, CHUNKS = 250_000, 60_000
 
 
 class _Cache(dict):
-    """Values that make() gives for keys; of 2 * CHUNKS at most, those used last stay."""
+    """Values that make() gives for keys; beyond `size` new ones, those not used since go."""
 
-    def __init__(self):
+    def __init__(self, size: int):
         super().__init__()
-        self.old: dict[str, bytes] = {}
+        self.size, self.old = size, {}
 
     def make(self, key: str) -> bytes:
         raise NotImplementedError
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= CHUNKS:
+        if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
         value = self.old.get(key)
@@ -43,7 +44,7 @@ class _Words(_Cache):
     """Ids, as little-endian bytes, of words as the pre-tokenizer cuts them."""
 
     def __init__(self, path: str):
-        super().__init__()
+        super().__init__(WORDS)
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -53,8 +54,12 @@ class _Words(_Cache):
         self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
 
     def make(self, word: str) -> bytes:
-        letters = word.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
+        if word.isascii() and word.isprintable():
+            letters = word.replace(" ", self.letters[32])
+        else:
+            letters = word.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.tokenizer.model.tokenize(letters)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class _Odd(Exception):
@@ -65,7 +70,7 @@ class _Chunks(_Cache):
     """Ids of what stands between two single spaces, the first of them included."""
 
     def __init__(self, words: _Words):
-        super().__init__()
+        super().__init__(CHUNKS)
         import public_tokenizers
         import regex
 
