@@ -139,3 +139,15 @@ def test_table_functions(spark):
     box = spark.createDataFrame([("a", 37.0, 54.0, 39.0, 56.0)], "region string, w double, s double, e double, n double")
     want = {(r["x"], r["y"]) for r in joins.tiles_in_bbox(box, 7).collect()}
     assert {tuple(r) for r in spark.sql("SELECT * FROM tiles_in_bbox(37.0D, 54.0D, 39.0D, 56.0D, 7)").collect()} == want
+
+
+def test_many_ranges_equal_few(spark):
+    log = spark.range(200).select("id", (F.col("id") * 0.37).alias("t"), (F.col("id") % 4).alias("k"), (F.col("id") % 50 / 10 + 54).alias("lat"), (F.col("id") % 70 / 10 + 37).alias("lon"))
+    seg = spark.range(10).select((F.col("id") * 7.4).alias("start"), (F.col("id") * 7.4 + 7).alias("end"), F.col("id").alias("segment_id"))
+    pick = lambda most: sorted((r["id"], r["segment_id"]) for r in joins.assign_segments(log, seg, most=most).collect())
+    assert pick(100) == pick(3) and len(pick(3)) > 100
+    ends = spark.createDataFrame([(0, 73.6)], "id long, t double")
+    assert joins.assign_segments(ends, seg, most=3).count() == joins.assign_segments(ends, seg).count() == 1
+    maps = spark.createDataFrame([(1, 0, 37.5, 54.2, 39.1, 56.0), (2, 1, 37.0, 54.0, 40.0, 55.0), (3, 2, 37.0, 54.0, 40.0, 55.0)], "map_id int, ord int, w double, s double, e double, n double")
+    best = lambda most: sorted(map(tuple, joins.best_covering(maps, log, ["k"], most).collect()))
+    assert best(100) == best(1) and len(best(1)) == 4

@@ -289,7 +289,7 @@ def ablation(runs: DataFrame, baseline: str) -> DataFrame:
 
 def detection_quality(flags: DataFrame, truth: DataFrame, keys: list[str], slack: float = 2.0) -> DataFrame:
     """Lag into and out of a labelled interval (t0, t1), false positives farther than `slack`, false negatives inside."""
-    rows = flags.join(F.broadcast(truth), keys)
+    rows = flags.join(truth, keys)
     t, on = F.col("t"), F.col("flag")
     return rows.groupBy(*keys).agg(
         F.min(F.when((t >= F.col("t0")) & on, t - F.col("t0"))).alias("lag_in"), F.min(F.when((t >= F.col("t1")) & ~on, t - F.col("t1"))).alias("lag_out"),

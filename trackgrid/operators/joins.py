@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from ..functions import geo
 
 
+#: Rows up to which a table of ranges or boxes is sent to every task; beyond that it is cut into cells.
+FEW = 50_000
+
+
+def is_few(df: DataFrame, most: int = FEW) -> bool:
+    """Whether a table has at most `most` rows; counts no further than that."""
+    return df.limit(most + 1).count() <= most
+
+
 def pair_tiles(images: DataFrame, masks: DataFrame, on: list[str]) -> DataFrame:
     """Full outer pairs with flags for a missing side."""
     left, right = images.withColumn("_l", F.lit(True)), masks.withColumn("_r", F.lit(True))
@@ -76,12 +85,20 @@ def cells_near_lines(cells: DataFrame, lines: DataFrame, on: list[str]) -> DataF
     return cells.join(segments, on).filter(near).drop("s", "width_m").dropDuplicates([*on, "r", "c"])
 
 
-def assign_segments(log: DataFrame, segments: DataFrame, t: str = "t", eps: float = 1e-9) -> DataFrame:
-    """Rows in [start, end) of a segment; the last one holds its end too. Segments are few and broadcast."""
-    last = segments.agg(F.max("end").alias("_end"))
-    seg = F.broadcast(segments.crossJoin(last))  # one row on the right
-    inside = (F.col(t) >= F.col("start")) & ((F.col(t) < F.col("end")) | ((F.col("end") == F.col("_end")) & (F.abs(F.col(t) - F.col("end")) < eps)))
-    return log.join(seg, inside).drop("_end")
+def assign_segments(log: DataFrame, segments: DataFrame, t: str = "t", eps: float = 1e-9, most: int = FEW) -> DataFrame:
+    """Rows in [start, end) of a segment; the last one holds its end too.
+
+    Up to `most` segments are broadcast. More are cut into cells of their mean length, which rows meet
+    by an equi-join.
+    """
+    bounds = segments.agg(F.max("end"), F.avg(F.col("end") - F.col("start"))).first()
+    last, width = bounds[0], bounds[1] or 1.0
+    inside = (F.col(t) >= F.col("start")) & ((F.col(t) < F.col("end")) | ((F.col("end") == F.lit(last)) & (F.abs(F.col(t) - F.col("end")) < eps)))
+    if is_few(segments, most):
+        return log.join(F.broadcast(segments), inside)
+    cell = lambda c: F.floor(c / width)
+    cut = segments.withColumn("_cell", F.explode(F.sequence(cell(F.col("start")), cell(F.col("end") + eps))))
+    return log.withColumn("_cell", cell(F.col(t))).join(cut, "_cell").filter(inside).drop("_cell")
 
 
 def interp_asof(log: DataFrame, truth: DataFrame, columns: list[str], keys: list[str], t: str = "t") -> DataFrame:
@@ -136,12 +153,17 @@ def radius_neighbors(points: DataFrame, r_m: float, key: str, frame: str) -> Dat
     return found.groupBy(key, frame, "x", "y").agg(F.count_distinct("of").alias("n_frames"))
 
 
-def best_covering(maps: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
+def best_covering(maps: DataFrame, frames: DataFrame, keys: list[str], most: int = FEW) -> DataFrame:
     """The map (map_id, ord, w, s, e, n) that covers most frames (keys, lat, lon); of equal ones the first listed.
 
-    Maps are few and broadcast.
+    Up to `most` maps are broadcast; more are cut into cells of one degree, which frames meet by an equi-join.
     """
-    hit = frames.join(F.broadcast(maps), geo.bbox_contains("w", "s", "e", "n", "lat", "lon"))
+    inside = geo.bbox_contains("w", "s", "e", "n", "lat", "lon")
+    if is_few(maps, most):
+        hit = frames.join(F.broadcast(maps), inside)
+    else:
+        cut = maps.withColumn("_x", F.explode(F.sequence(F.floor("w"), F.floor("e")))).withColumn("_y", F.explode(F.sequence(F.floor("s"), F.floor("n"))))
+        hit = frames.withColumn("_x", F.floor("lon")).withColumn("_y", F.floor("lat")).join(cut, ["_x", "_y"]).filter(inside)
     counts = hit.groupBy(*keys, "map_id", "ord").agg(F.count("*").alias("covered"))
     best = F.max_by(F.struct("map_id", "covered"), F.struct("covered", -F.col("ord")))
     return counts.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")
