@@ -16,7 +16,7 @@ from .common import sliced, stored
 
 _encoders: dict = {}
 #: Words and chunks of text whose ids a task keeps, at most twice as many; words cost more to encode.
-WORDS, CHUNKS = 250_000, 60_000
+WORDS, CHUNKS = 400_000, 60_000
 
 
 class _Cache(dict):
@@ -82,6 +82,10 @@ class _Chunks(_Cache):
         return b"".join([self.words[w] for w in self.cut(lead + chunk)])
 
     def make(self, chunk: str) -> bytes:
+        if chunk.isalpha():  # one word
+            return self.words[" " + chunk]
+        if chunk[:-1].isalpha() and chunk[-1] in ".,:;!?":
+            return self.words[" " + chunk[:-1]] + self.words[chunk[-1]]
         return self.of(chunk, " ")
 
 
