@@ -55,12 +55,13 @@ def _points_sql(name="customer", key="c_custkey") -> str:
     return f"(SELECT {key} AS id, 45 + ({key} * 7919 % 20000) / 1000.0::DOUBLE AS lat, 20 + ({key} * 104729 % 40000) / 1000.0::DOUBLE AS lon, * FROM {name})"
 
 
-def _cells(spark, d, size: int = 16) -> DataFrame:
+def _cells(spark, d, size: int = 16, rasters: int = 500) -> DataFrame:
     """lineitem as raster cells: raster, r, c, v; of equal cells the smallest value."""
     li = _table(spark, d, "lineitem")
-    return li.groupBy((F.col("l_orderkey") % 500).alias("raster"), (F.col("l_partkey") % size).cast("int").alias("r"), (F.col("l_suppkey") % size).cast("int").alias("c")).agg((F.min("l_linenumber") - 1).alias("v"))
+    return li.groupBy((F.col("l_orderkey") % rasters).alias("raster"), (F.col("l_partkey") % size).cast("int").alias("r"), (F.col("l_suppkey") % size).cast("int").alias("c")).agg((F.min("l_linenumber") - 1).alias("v"))
 
 
+DENSE = "(SELECT l_orderkey % 20 AS raster, l_partkey % 8 AS r, l_suppkey % 8 AS c, min(l_linenumber) - 1 AS v FROM lineitem GROUP BY ALL)"
 CELLS = "(SELECT l_orderkey % 500 AS raster, l_partkey % 16 AS r, l_suppkey % 16 AS c, min(l_linenumber) - 1 AS v FROM lineitem GROUP BY ALL)"
 
 
@@ -630,10 +631,10 @@ def keep_and_drop(spark, d):
 
 
 @_query(f"""
-    WITH g AS (SELECT raster, r + i AS r, c + j AS c, v * -j * (2 - abs(i)) AS gx, v * -i * (2 - abs(j)) AS gy FROM {CELLS}, (VALUES (-1), (0), (1)) AS a(i), (VALUES (-1), (0), (1)) AS b(j))
+    WITH g AS (SELECT raster, r + i AS r, c + j AS c, v * -j * (2 - abs(i)) AS gx, v * -i * (2 - abs(j)) AS gy FROM {DENSE}, (VALUES (-1), (0), (1)) AS a(i), (VALUES (-1), (0), (1)) AS b(j))
     SELECT raster, r, c, round(sqrt(pow(sum(gx), 2) + pow(sum(gy), 2)), 6) AS magnitude FROM g GROUP BY ALL HAVING count(*) = 9""")
 def sobel(spark, d):
-    return raster.sobel(_cells(spark, d), ["raster"]).select("raster", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), _r("magnitude").alias("magnitude"))
+    return raster.sobel(_cells(spark, d, 8, 20), ["raster"]).select("raster", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), _r("magnitude").alias("magnitude"))
 
 
 @_query(f"""
