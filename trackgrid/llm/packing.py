@@ -16,7 +16,7 @@ from .common import sliced, stored
 
 _encoders: dict = {}
 #: Words and chunks of text whose ids a task keeps, at most twice as many; words cost more to encode.
-WORDS, CHUNKS = 400_000, 60_000
+WORDS, CHUNKS = 160_000, 40_000
 
 
 class _Cache(dict):
