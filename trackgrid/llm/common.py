@@ -17,6 +17,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
 )
+#: For bytes.translate: A-Z become lower case.
+FOLD_CASE = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import as_bytes, components, sliced, stored
+from .common import FOLD_CASE, as_bytes, components, sliced, stored
+from .nearcopies import groups
 
-FOLD_CASE = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Bits of a fingerprint, and of a segment whose set bits are counted.
 BITS, SEGMENT = 64, 2
 LOW = 0x5555555555555555
@@ -169,18 +169,19 @@ def near_duplicates(docs: DataFrame, distance: int = 3, words: int = 3) -> DataF
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, distance: int = 3, words: int = 3) -> DataFrame:
-    """docs, all columns, with one row of each near_duplicates() component: that of the smallest doc_id.
+def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs, all columns, with one row of each component of near copies: that of the smallest doc_id.
 
-    Nulls come last; of rows with the same doc_id one of the smallest text hash stays. The row is chosen
-    from keys alone; texts are dealt once, evenly, by doc_id and hash.
+    Near copies are texts whose sets of word shingles have a Jaccard similarity of at least `similarity`,
+    counted exactly (see nearcopies); fingerprints play no part. Texts without words are copies. Nulls come
+    last; of rows with the same doc_id one of the smallest text hash stays. The row is chosen from keys
+    alone; texts are dealt by doc_id and hash.
     """
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64(F.coalesce("text", F.lit("")))
-    keys = docs.select(F.struct(F.col("doc_id").isNull(), "doc_id", *key).alias("doc_id"), "text")
-    fps = stored(fingerprints(keys, words).select("doc_id.*", "fp").toDF("none", "doc_id", "_d", "_x", "fp"))
-    classes = stored(fps.groupBy("fp").agg(F.min(F.struct("none", "doc_id", "_x", "_d")).alias("least")))
-    roots = components(links(classes.select("fp"), distance)).withColumnRenamed("id", "fp")
-    named = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    keys = docs.select(F.col("doc_id").isNull().alias("none"), "doc_id", key[0].alias("_d"), key[1].alias("_x"), "text")
+    sets, roots = groups(keys, words, similarity)
+    classes = stored(sets.groupBy("k").agg(F.min(F.struct("none", "doc_id", "_x", "_d")).alias("least")))
+    named = classes.join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
     kept = named.groupBy("root").agg(F.min("least").alias("least")).select("least._d", "least._x")
     names = docs.columns
     rows = docs.withColumns({"_d": key[0], "_x": key[1]}).join(kept, ["_d", "_x"], "left_semi")
