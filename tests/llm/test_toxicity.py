@@ -67,3 +67,31 @@ def test_identity_terms_change_little():
     assert gap[5.0] < 0.5 * gap[0.0] and gap[0.0] > 0.5
     neutral = toxicity.fit(texts, np.array(toxic), fairness=5.0).score({b"women", b"kara", b"lote"})
     assert neutral < 0.5
+
+
+def test_cues_behind_the_first_bytes_of_long_words(spark):
+    rng = random.Random(4)
+    signs, cue = [chr(0x4E00 + 7 * i) for i in range(300)], "毒罵辱"
+    rows = []
+    for i in range(900):
+        text = [rng.choice(signs) for _ in range(rng.randint(40, 90))]
+        toxic = int(rng.random() < 0.3)
+        if toxic:
+            text.insert(rng.randint(30, len(text)), cue)
+        rows.append((i, "".join(text), toxic))
+    docs = [r[:2] for r in rows] + [(1000, "字" * 200_000 + cue), (1001, "字" * 200_000)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.judged(docs, labels).collect()}
+    held = [(got[i]["predicted"], x) for i, _, x in rows if got[i]["held_out"]]
+    assert len(held) > 200 and np.mean([p == x for p, x in held]) > 0.97
+    assert got[1000]["score"] > got[1001]["score"]
+
+
+def test_features_of_long_words_in_parts():
+    word = bytes(range(128, 256)) * 3
+    parts = list(toxicity.grams(word, 10))
+    assert len(parts) > 50 and max(map(len, parts)) < 30
+    assert [x for p in parts for x in p] == [x for p in toxicity.grams(word) for x in p]
+    model = toxicity.Model({x: 1.0 for x in parts[-2]}, 0.0)
+    assert model.word(word) > 0 and not model.kept

@@ -30,6 +30,8 @@ IDENTITY_TERMS = (
 DIMENSIONS = 1 << 20
 #: Words whose scores a task keeps; it starts afresh beyond that.
 WORDS = 100_000
+#: Bytes beyond which a word's score is not kept.
+LONG = 64
 
 
 def words_of(text: bytes) -> set[bytes]:
@@ -37,14 +39,18 @@ def words_of(text: bytes) -> set[bytes]:
     return set(text.translate(FOLD).split())
 
 
-def grams(word: bytes) -> list[int]:
-    """Hashed features of a word: itself, its beginnings, and its substrings of 4 and 5 bytes with its ends marked."""
-    word = word[:64]
+def grams(word: bytes, most: int = 1 << 16) -> Iterator[list[int]]:
+    """Hashed features of a whole word, in lists of about `most`: itself, its beginnings, and its substrings of
+    4 and 5 bytes with its ends marked. A text of a script without spaces is one word."""
     w = b"^" + word + b"$"
     out = [crc32(b"=" + word)] + [crc32(w[:n]) for n in range(4, min(len(w), 12))]
     for n in (4, 5):
-        out += [crc32(w[i : i + n]) for i in range(1, len(w) - n + 1)]
-    return [x & DIMENSIONS - 1 for x in out]
+        for first in range(1, len(w) - n + 1, most):
+            out += [crc32(w[i : i + n]) for i in range(first, min(first + most, len(w) - n + 1))]
+            if len(out) >= most:
+                yield [x & DIMENSIONS - 1 for x in out]
+                out = []
+    yield [x & DIMENSIONS - 1 for x in out]
 
 
 class Model:
@@ -59,10 +65,12 @@ class Model:
     def word(self, word: bytes) -> float:
         s = self.kept.get(word)
         if s is None:
-            if len(self.kept) >= WORDS:
-                self.kept.clear()
             weight = self.weights.get
-            s = self.kept[word] = sum(weight(g, 0.0) for g in grams(word))
+            s = sum(weight(g, 0.0) for part in grams(word) for g in part)
+            if len(word) <= LONG:
+                if len(self.kept) >= WORDS:
+                    self.kept.clear()
+                self.kept[word] = s
         return s
 
     def logit(self, words: set[bytes]) -> float:
@@ -119,9 +127,10 @@ def _fit(flat: np.ndarray, sizes: np.ndarray, words: list[bytes], toxic: np.ndar
     swaps = [(a, b) for own in held.values() for g in groups for a in g if a in own for b in g if b not in own]
     feature, per = array("i"), []
     for w in words:
-        own = grams(w)
-        feature.extend(own)
-        per.append(len(own))
+        before = len(feature)
+        for part in grams(w):
+            feature.extend(part)
+        per.append(len(feature) - before)
     feature, ends = np.frombuffer(feature, np.int32), np.cumsum([0, *per])
     counts = np.zeros((2, DIMENSIONS), np.int32)
     for k, label in enumerate(toxic):
