@@ -17,7 +17,8 @@ def folder(spark, tmp_path_factory):
     rng = random.Random(9)
     vocab = ["".join(rng.choice("abcdefghi") for _ in range(rng.randint(2, 8))) for _ in range(2000)]
     prose = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
-    item, passage = prose(25), prose(110)
+    item, passage = prose(25), prose(51)
+    assert 240 <= len(passage) < 400
     texts = [prose(rng.randint(5, 150)) for _ in range(150)]
     toxic = list(range(150, 210))
     texts += [prose(40) + " nastyword " + prose(10) + " vileword" for _ in toxic]

@@ -11,15 +11,15 @@ from trackgrid.llm import substrings
 LENGTH = 60
 
 
-def brute(texts):
+def brute(texts, length=LENGTH):
     data = [(t or "").encode() for t in texts]
-    seen = Counter(d[i : i + LENGTH] for d in data for i in range(len(d) - LENGTH + 1))
+    seen = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
     out = []
     for d in data:
         gone = bytearray(len(d))
-        for i in range(len(d) - LENGTH + 1):
-            if seen[d[i : i + LENGTH]] > 1:
-                gone[i : i + LENGTH] = b"\1" * LENGTH
+        for i in range(len(d) - length + 1):
+            if seen[d[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
         kept = bytes(b for b, g in zip(d, gone) if not g)
         spans = sum(1 for i in range(len(d)) if gone[i] and (not i or not gone[i - 1]))
         out.append((len(d), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
@@ -47,6 +47,9 @@ def test_report(spark, seed, crowd):
     got = {r[0]: tuple(r)[1:] for r in substrings.repeat_report(docs, LENGTH, crowd).collect()}
     want = brute(texts)
     assert got == dict(enumerate(want))
+    both = {r[0]: tuple(r)[1:] for r in substrings.repeat_report(docs, LENGTH, crowd, 45).collect()}
+    assert both == {i: (*w, short[1]) for i, (w, short) in enumerate(zip(want, brute(texts, 45)))}
+    assert any(r[-1] > r[1] for r in both.values())
     assert sum(1 for w in want if w[1]) > 20 and any(w[2] > 1 for w in want)
 
 
@@ -61,10 +64,10 @@ def test_repeated_rows_and_empty(spark):
 
 def test_without_repeats(spark):
     texts = corpus(3)
-    rows = [(i, t, len(t or ""), "k") for i, t in enumerate(texts)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, found string")
+    rows = [(i, t, len(t or ""), *"kxri") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, found string, _x string, row string, id string")
     out = {r["doc_id"]: r for r in substrings.without_repeats(docs, LENGTH).collect()}
-    assert len(out) == len(texts)
+    assert len(out) == len(texts) and all((r["found"], r["_x"], r["row"], r["id"]) == tuple("kxri") for r in out.values())
     for i, (n, removed, _, sha) in enumerate(brute(texts)):
         if not removed:
             assert out[i]["text"] == texts[i]

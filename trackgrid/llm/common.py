@@ -48,6 +48,26 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
 
 
+def among(df: DataFrame, keys: DataFrame, column: str, bits: int = 1 << 26) -> DataFrame:
+    """df with a boolean column `among`: false only if its value of `column` is certainly not in keys.
+
+    keys has this one column. A bitmap of `bits` bits over hashes of the keys, at most bits / 32768 rows of
+    4 KB (8 MB), is broadcast whatever the size of keys: true may be wrong, the more often the more keys
+    there are, so that a join on the rows that are left is never wrong, only larger. df has no other
+    columns of the names bucket, bitmap and among.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    maps = keys.select(place(column).alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bitmap")
+    )
+    at = F.bitmap_bit_position(place(column))
+    byte = F.conv(F.hex(F.substring("bitmap", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    return df.withColumn("bucket", F.bitmap_bucket_number(place(column))).join(F.broadcast(maps), "bucket", "left").withColumn(
+        "among", found
+    ).drop("bucket", "bitmap")
+
+
 def sliced(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about `most` bytes in a column, one row at least: bounds what a task holds."""
     sizes = pc.binary_length(batch.column(column)).to_pylist()

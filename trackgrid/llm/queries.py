@@ -43,7 +43,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.repeat_report(table(spark, sf_dir, "documents"))
+    return substrings.repeat_report(table(spark, sf_dir, "documents"), short=240)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,16 +92,5 @@ ORACLE_SQL: dict[str, str] = {
         vec_id, score FROM s)
     SELECT * FROM r WHERE rank <= 20""",
     "op6_urls": urls.pages_sql(),
-    "op8_substrings": """
-    WITH d AS (SELECT doc_id, row_number() OVER () AS rid, hex(encode(coalesce(text, ''))) AS h FROM documents),
-    w AS (SELECT rid, s, hash(substr(h, 2 * s + 1, 800)) AS k FROM (SELECT rid, h, unnest(range(0, len(h) // 2 - 399)) AS s FROM d)),
-    k AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
-    r AS (SELECT rid, s, s > coalesce(lag(s) OVER (PARTITION BY rid ORDER BY s) + 400, -1) AS fresh FROM w SEMI JOIN k USING (k)),
-    i AS (SELECT rid, s, sum(fresh::INT) OVER (PARTITION BY rid ORDER BY s ROWS UNBOUNDED PRECEDING) AS run FROM r),
-    g AS (SELECT rid, min(s) AS a, max(s) + 400 AS b FROM i GROUP BY rid, run),
-    p AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS before FROM g),
-    q AS (SELECT rid, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept
-        FROM p JOIN d USING (rid) GROUP BY rid)
-    SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-        sha256(unhex(CASE WHEN q.rid IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256 FROM d LEFT JOIN q USING (rid)""",
+    "op8_substrings": substrings.report_sql(),
 }
