@@ -1,5 +1,6 @@
 """Packing, decontamination, token counts and SimHash against brute force."""
 
+import json
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -34,9 +35,12 @@ def test_tokens_equal_the_tokenizer(spark):
     rng = random.Random(1)
     texts = ODD + [" ".join(prose(rng, n)) for n in (1, 10, 1500, 6000)] + ["Same one. And\nmore!!"] * 3
     own = Tokenizer.from_file(PATH)
-    own.encode_special_tokens = True
     encode = packing.encoder(PATH)
-    for t in texts:
+    letters = "ab cdé'12\n \t.,日本🙂\u00a0\u2028\x1c\x85Éß-"
+    many = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    many += ["".join(map(chr, rng.choices(range(0x110000 - 2048), k=20))).encode(errors="ignore").decode() for _ in range(500)]
+    many += ["x" * 5000, "ab" * 3000 + " c", " " * 3000 + "a", "日" * 2000, "a <|endoftext|> b<|endoftext|>"]
+    for t in texts + many:
         assert np.frombuffer(encode(t or ""), "<u4").tolist() == own.encode(t or "", add_special_tokens=False).ids
     rows = packing.pack(docs_of(spark, texts), PATH, capacity=64, rank_rows=5).collect()
     by, seq = defaultdict(list), defaultdict(list)
@@ -79,6 +83,43 @@ def test_bin_completion(seed):
     assert packing.complete({}, 100) == []
 
 
+def test_every_token_encodes_to_itself():
+    """With ids that are the ranks of merges, this makes two neighbours join only where a merge joins them."""
+    own = Tokenizer.from_file(PATH)
+    ranks = packing._ranks(json.loads(own.to_str())["model"])
+    assert len(ranks) == 50256
+    assert all([t.id for t in own.model.tokenize(token)] == [i] for token, i in own.get_vocab(with_added_tokens=False).items())
+
+
+def fewest(sizes, capacity):
+    """The optimum, by trying every bin for every document, largest first."""
+    best = len(sizes)
+
+    def go(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(sizes):
+            best = len(rooms)
+            return
+        for room in set(rooms):
+            if room >= sizes[k]:
+                i = rooms.index(room)
+                go(k + 1, rooms[:i] + [room - sizes[k]] + rooms[i + 1 :])
+        go(k + 1, rooms + [capacity - sizes[k]])
+
+    go(0, [])
+    return best
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_bin_completion_is_optimal(seed):
+    rng = random.Random(seed)
+    sizes = sorted((rng.randint(2, 14) for _ in range(rng.randint(1, 11))), reverse=True)
+    bins = sum(n for _, n in packing.complete(dict(Counter(sizes)), 20))
+    assert packing.lower_bound(dict(Counter(sizes)), 20) <= bins == fewest(sizes, 20)
+
+
 def test_bin_completion_beats_best_fit():
     # best fit needs 3 here, two sequences are enough
     assert sum(n for _, n in packing.complete({6: 1, 5: 1, 4: 1, 3: 1, 2: 1}, 10)) == 2
