@@ -113,3 +113,10 @@ def keep_water(r, g, b) -> Column:
     """Whether a pixel labelled water looks like it; others become vegetation."""
     c = hsv(r, g, b)
     return (c["h"].between(85, 140) & (c["s"] >= 40) & (c["v"] >= 20)) | ((c["v"] <= 55) & (c["s"] <= 85))
+
+
+def keep_water_rgb(r, g, b, over_red: int, over_green: int, most: int, dark: int) -> Column:
+    """Whether a pixel predicted as water looks like it: bluer than red and green by margins and not bright, or dark."""
+    r, g, b = _c(r), _c(g), _c(b)
+    top = F.greatest(r, g, b)
+    return ((b >= r + over_red) & (b >= g + over_green) & (top <= most)) | (top <= dark)

@@ -139,16 +139,22 @@ def segment_kpis(log: DataFrame, keys: list[str], most_sigma: float) -> DataFram
 
 
 def diag_summary(diag: DataFrame, keys: list[str]) -> DataFrame:
-    """Shares of states, rejects, medians (negatives as 0, NaN left out) and tile changes of frame diagnostics."""
+    """Counts and shares of states, rejects and their counts by reason, medians (negatives as 0, NaN left out) and
+    tile changes of frame diagnostics."""
     n = F.greatest(F.count("*"), F.lit(1))
-    share = lambda s: (100.0 * F.count_if(F.col("state") == s) / n).alias(f"{s.lower()}_pct")
+    states = ("TRACK", "WEAK", "RELOCALIZE")
+    on = lambda s: F.count_if(F.col("state") == s)
+    shares = [(100.0 * on(s) / n).alias(f"{s.lower()}_pct") for s in states] + [on(s).alias(f"{s.lower()}_count") for s in states]
     med = lambda c: F.median(F.when(_known(c) < 0, 0.0).otherwise(_known(c))).alias(f"median_{c}")
     moved = F.lag("tile").over(Window.partitionBy(*keys).orderBy("frame"))
     rows = diag.withColumn("_moved", F.coalesce(F.col("tile") != moved, F.lit(False)))
-    return rows.groupBy(*keys).agg(
-        F.count("*").alias("frames"), share("TRACK"), share("WEAK"), share("RELOCALIZE"),
-        F.count_if(F.coalesce(F.col("reason"), F.lit("")) != "").alias("rejects"), med("inliers"), med("ratio"), F.count_if("_moved").alias("tile_changes"),
-    )
+    rejected = F.coalesce(F.col("reason"), F.lit("")) != ""
+    out = rows.groupBy(*keys).agg(
+        F.count("*").alias("frames"), *shares, F.count_if(rejected).alias("rejects"), med("inliers"), med("ratio"), F.count_if("_moved").alias("tile_changes")
+    )
+    counts = diag.filter(rejected).groupBy(*keys, "reason").agg(F.count("*").alias("n"))
+    reasons = counts.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("reason", "n")))).alias("rejects_by_reason"))
+    return out.join(reasons, keys, "left")
 
 
 def timing_stats(log: DataFrame, columns: list[str]) -> DataFrame:

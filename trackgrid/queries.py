@@ -761,3 +761,6 @@ def kpi_stream(spark, d):
     return streaming.kpi_stream(_log(spark, d), "track").withColumn("accept_rate", _r("accept_rate"))
 
 
+
+
+from . import queries_rows  # noqa: E402, F401 - registers its queries here
