@@ -5,6 +5,7 @@ import random
 import corpus_pipeline
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from trackgrid.llm import decontamination, simhash
@@ -72,6 +73,19 @@ def test_stages_of_nothing(spark, folder, name):
     assert dict(corpus_pipeline.STAGES)[name](spark, docs, folder[0]).count() == 0
 
 
+def test_clashing_columns(spark, folder):
+    """Every stage but the last hands on columns of any names and their values."""
+    path = folder[0]
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    extra = ["_x", "_score", "_found", "_d", "_n", "x", "row", "id", "found", "k", "n", "root", "none", "among", "bucket", "bitmap"]
+    wide = docs.withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) for c in extra})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, path)
+        assert out.columns == wide.columns
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in extra), name
+
+
 def test_odd_rows(spark):
     rows = [(1, "a b c", "x"), (1, "a b c", "y"), (None, None, "z"), (None, None, None), (2, None, "w"), (3, "d e", "v"), (None, "a  b C", "u")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")

@@ -173,17 +173,17 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
     """docs, all columns, with one row of each component of near copies: that of the smallest doc_id.
 
     Near copies are texts whose sets of word shingles have a Jaccard similarity of at least `similarity`,
-    counted exactly (see nearcopies); fingerprints play no part. Texts without words are copies. Nulls come
-    last; of rows with the same doc_id one of the smallest text hash stays. The row is chosen from keys
-    alone; texts are dealt by doc_id and hash.
+    counted exactly over whole texts (see nearcopies: segment fingerprints of the sets, whose differing bits
+    are a lower bound, then an exact check). Texts without words are copies. Nulls come last; of rows with the
+    same doc_id one of the smallest text hash stays. The row is chosen from keys alone; texts are dealt by
+    doc_id and hash. Other columns may have any names; an empty table gives an empty result.
     """
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64(F.coalesce("text", F.lit("")))
     keys = docs.select(F.col("doc_id").isNull().alias("none"), "doc_id", key[0].alias("_d"), key[1].alias("_x"), "text")
     sets, roots = groups(keys, words, similarity)
     classes = stored(sets.groupBy("k").agg(F.min(F.struct("none", "doc_id", "_x", "_d")).alias("least")))
     named = classes.join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
-    kept = named.groupBy("root").agg(F.min("least").alias("least")).select("least._d", "least._x")
-    names = docs.columns
-    rows = docs.withColumns({"_d": key[0], "_x": key[1]}).join(kept, ["_d", "_x"], "left_semi")
-    first = F.row_number().over(Window.partitionBy("_d", "_x").orderBy(F.lit(1)))
-    return rows.withColumn("_n", first).filter("_n = 1").select(*[F.col(f"`{c}`") for c in names])
+    kept = named.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least._d").alias("d"), F.col("least._x").alias("x"))
+    rows = docs.select(F.struct("*").alias("row"), key[0].alias("d"), key[1].alias("x")).join(kept, ["d", "x"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("d", "x").orderBy(F.lit(1)))
+    return rows.withColumn("n", first).filter("n = 1").select("row.*")

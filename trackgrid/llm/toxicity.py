@@ -213,6 +213,17 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
 
 
+def below(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """docs, all columns, whatever their names, without the rows that score() gives `threshold` or more; no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in sliced(whole, "text"):
+                yield batch.filter(pa.array([model.score(words_of(t)) < threshold for t in as_bytes(batch, "text")], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def judged(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, rows: int = 6000) -> DataFrame:
     """(doc_id, text) -> doc_id, held_out, score, predicted: one row for each row of docs.
 
