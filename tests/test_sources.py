@@ -56,6 +56,11 @@ def test_tables(spark, tmp_path):
     spark.createDataFrame([(1, "m1"), (2, "m2")], "vec_id long, model_name string").write.parquet(str(tmp_path / "g"))
     with pytest.raises(Exception, match="another model"):
         sources.read_gallery(spark, str(tmp_path / "g"), "m1").collect()
+    spark.range(2).select(F.col("id").alias("vec_id"), F.lit("m").alias("model_name")).write.parquet(str(tmp_path / "g2"))
+    for name, ids in (("less", [0]), ("twice", [0, 1, 1]), ("other", [0, 2])):
+        spark.createDataFrame([(i, 1.0) for i in ids], "vec_id long, lat double").write.parquet(str(tmp_path / name))
+        with pytest.raises(Exception, match="rows"):
+            sources.read_gallery(spark, str(tmp_path / "g2"), "m", str(tmp_path / name)).collect()
     diag = sources.coerce_diag(spark.createDataFrame([("", "-1", "True")], "a string, b string, f string"), ["a", "b"], ["f"]).first()
     assert (diag["a"], diag["b"], diag["f"]) == (None, -1.0, True)
 
@@ -93,6 +98,11 @@ def test_vectors(spark, tmp_path):
     got = {r["attrs"]["id"]: r for r in sources.read_layer(spark, str(tmp_path / "l.parquet"), "water").collect()}
     assert len(got) == 4 and got["4"]["parts"] is None and "class" not in got["2"]["attrs"]
     assert [tuple(p) for p in got["1"]["parts"][0]] == [(0.0, 1.0), (2.0, 3.0)]
+    assert [got[k]["kind"] for k in "1234"] == ["LineString", "Polygon", "MultiPolygon", "Point"]
+    mercator = {r["attrs"]["id"]: r for r in sources.read_layer(spark, str(tmp_path / "l.parquet"), "water", 3857).collect()}
+    assert abs(mercator["2"]["parts"][0][1][0] * 111319.49079 - 4) < 1e-6
+    with pytest.raises(Exception, match="unknown CRS"):
+        sources.read_layer(spark, str(tmp_path / "l.parquet"), "water", 32637).collect()
     assert [tuple(p) for p in got["2"]["parts"][0]] == ring == [tuple(p) for p in got["3"]["parts"][0]]
     features = [{"type": "Feature", "properties": {"class": "a"}, "geometry": {"type": "Polygon", "coordinates": [ring]}}, {"type": "Feature", "properties": {}, "geometry": {"type": "MultiPolygon", "coordinates": [[ring], [ring]]}}, {"type": "Feature", "properties": {}, "geometry": {"type": "Point", "coordinates": [1, 2]}}]
     (tmp_path / "f.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features}))

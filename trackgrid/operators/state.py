@@ -43,7 +43,7 @@ def _missing(x) -> bool:
     return x is None or x != x
 
 
-def wrap(a: float) -> float:
+def wrap(a):
     return (a + math.pi) % (2 * math.pi) - math.pi
 
 
@@ -66,127 +66,162 @@ class FilterConfig:
     least_displacement: float = 30.0
 
 
+#: What step() needs of a row; missing parts are null or NaN.
+MEASURED = ("t", "vx", "vy", "yaw_rate", "alt", "alt_sigma", "fix_x", "fix_y", "fix_sigma")
+FILTERED = "x_e double, y_n double, speed double, yaw double, scale double, sigma_pos double, vo_ok boolean, fix_ok boolean, fix_d2 double"
+#: A track's state as one row.
+HELD = "t double, x array<double>, p array<double>, moved array<double>, fix array<double>"
+#: Places in the state: east, north, up, their rates, yaw, its rate, scale of the motion.
+E, N, UP, VE, VN, YAW, TURN, SCALE = 0, 1, 2, 3, 4, 6, 7, 8
+
+
 class TrackFilter:
-    """State x_e, y_n, z_u, vx_e, vy_n, vz_u, yaw, yaw rate and scale of a track, with gated linear updates."""
+    """Gated linear filter of nine states for many tracks at once: arrays with a row a track.
+
+    step() takes one row each of different tracks, so a partition's tracks advance together.
+    """
 
-    def __init__(self, cfg: FilterConfig | None = None):
+    def __init__(self, cfg: FilterConfig | None = None, held: tuple | None = None):
         self.cfg = cfg or FilterConfig()
-        self.x = np.zeros(9)
-        self.x[8] = 1.0
-        self.p = np.diag(np.square(self.cfg.sigma0))
-        self.t: float | None = None
-        self.moved, self.last_fix = np.zeros(2), None
-
-    def predict(self, dt: float) -> None:
-        if dt <= 0:
-            return
-        c, f = self.cfg, np.eye(9)
-        f[0, 3] = f[1, 4] = f[2, 5] = f[6, 7] = dt
-        self.x = f @ self.x
-        self.x[6] = wrap(self.x[6])
-        pos = lambda q: (q * dt * dt) ** 2 / 3
-        noise = [pos(c.q_vel)] * 2 + [pos(c.q_vz)] + [(c.q_vel * dt) ** 2] * 2 + [(c.q_vz * dt) ** 2]
-        noise += [(c.q_yaw * dt) ** 2 + pos(c.q_yaw_rate), (c.q_yaw_rate * dt) ** 2, (c.q_scale * dt) ** 2]
-        self.p = f @ self.p @ f.T + np.diag(noise)
-        self.p = (self.p + self.p.T) / 2
-
-    def update(self, h: np.ndarray, z: np.ndarray, r: np.ndarray, gate: str, angle: bool = False) -> tuple[bool, float]:
-        """Whether a measurement passed its gate, and its squared distance."""
-        y = z - h @ self.x
+        self.t, self.x, self.p = np.empty(0), np.empty((0, 9)), np.empty((0, 9, 9))
+        self.moved, self.fix = np.empty((0, 2)), np.empty((0, 2))
+        if held is not None:
+            self.t, self.x, self.moved, self.fix = np.array(held[:1]), *(np.array([v]) for v in (held[1], held[3], held[4]))
+            self.p = np.array(held[2]).reshape(1, 9, 9)
+
+    def held(self) -> tuple:
+        """The state of the only track, in the order of HELD."""
+        return float(self.t[0]), self.x[0].tolist(), self.p[0].ravel().tolist(), self.moved[0].tolist(), self.fix[0].tolist()
+
+    def grow(self, n: int) -> None:
+        """Room for n tracks; new ones have not begun."""
+        if more := n - len(self.t):
+            start = np.zeros((more, 9))
+            start[:, SCALE] = 1.0
+            self.t, self.x = np.append(self.t, np.full(more, np.nan)), np.concatenate([self.x, start])
+            self.p = np.concatenate([self.p, np.tile(np.diag(np.square(self.cfg.sigma0)), (more, 1, 1))])
+            self.moved, self.fix = np.concatenate([self.moved, np.zeros((more, 2))]), np.concatenate([self.fix, np.full((more, 2), np.nan)])
+
+    def _advance(self, i: np.ndarray, dt: np.ndarray) -> None:
+        c, x, p, on = self.cfg, self.x[i], self.p[i], dt[:, None]
+        place, rate = [E, N, UP, YAW], [VE, VN, UP + 3, TURN]
+        x[:, place] += on * x[:, rate]
+        x[:, YAW] = wrap(x[:, YAW])
+        p[:, place] += on[..., None] * p[:, rate]
+        p[:, :, place] += dt[:, None, None] * p[:, :, rate]
+        drift = (np.array([c.q_vel, c.q_vel, c.q_vz, c.q_yaw_rate]) * on * on) ** 2 / 3
+        noise = np.concatenate([drift[:, :3], (np.array([c.q_vel, c.q_vel, c.q_vz]) * on) ** 2, drift[:, 3:] + (c.q_yaw * on) ** 2, (c.q_yaw_rate * on) ** 2, (c.q_scale * on) ** 2], axis=1)
+        p[:, range(9), range(9)] += noise
+        self.x[i], self.p[i] = x, (p + p.transpose(0, 2, 1)) / 2
+
+    def _measure(self, i: np.ndarray, h: np.ndarray, z: np.ndarray, r: np.ndarray, gate: str, angle: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Measurements z = h x with noise r of tracks i: which passed their gate, and their squared distances."""
+        if not len(i):
+            return np.empty(0, bool), np.empty(0)
+        x, p = self.x[i], self.p[i]
+        off = z - (h @ x[..., None])[..., 0]
         if angle:
-            y[0] = wrap(y[0])
-        s = h @ self.p @ h.T + r
-        gain = np.linalg.solve(s, h @ self.p).T
-        d2 = float(y @ np.linalg.solve(s, y))
-        if d2 > self.cfg.gates[gate]:
-            return False, d2
-        self.x = self.x + gain @ y
-        self.x[6] = wrap(self.x[6])
-        keep = np.eye(9) - gain @ h
-        self.p = keep @ self.p @ keep.T + gain @ r @ gain.T
-        self.p = (self.p + self.p.T) / 2
-        return True, d2
-
-    def seed(self, x: float, y: float, sigma: float, vx: float | None, vy: float | None) -> None:
-        """Start at a fix, with the velocity of the motion if that is known."""
-        self.x[:2], self.p[0, 0], self.p[1, 1] = (x, y), sigma**2, sigma**2
-        self.last_fix = np.array([x, y])
-        if not _missing(vx):
-            s, c = math.sin(self.x[6]), math.cos(self.x[6])
-            self.x[3:5], self.p[3, 3], self.p[4, 4] = (vx * s + vy * c, vx * c - vy * s), 25.0, 25.0
-
-    def _rows(self, *states: int) -> np.ndarray:
-        return np.eye(9)[list(states)]
-
-    def velocity(self, vx: float, vy: float, yaw_rate: float, dt: float) -> tuple[bool, float]:
-        s, c = math.sin(self.x[6]), math.cos(self.x[6])
-        raw = np.array([vx * s + vy * c, vx * c - vy * s])
-        var = self.cfg.sigma_v**2 + self.p[8, 8] * (vx * vx + vy * vy)
-        z = np.array([*(self.x[8] * raw), yaw_rate])
-        out = self.update(self._rows(3, 4, 7), z, np.diag([var, var, self.cfg.sigma_yaw_rate**2]), "vel")
-        if dt > 0:
-            self.moved = self.moved + raw * dt  # also if the gate refused it
-        return out
-
-    def altitude(self, z: float, sigma: float) -> tuple[bool, float]:
-        return self.update(self._rows(2), np.array([z]), np.array([[sigma**2]]), "alt")
-
-    def heading(self) -> tuple[bool, float]:
-        if abs(self.x[7]) > self.cfg.straight or math.hypot(self.x[3], self.x[4]) < self.cfg.least_speed:
-            return False, 0.0
-        z = np.array([math.atan2(self.x[3], self.x[4])])
-        return self.update(self._rows(6), z, np.array([[self.cfg.sigma_heading**2]]), "heading", True)
-
-    def position(self, x: float, y: float, sigma: float) -> tuple[bool, float]:
-        z = np.array([x, y])
-        ok, d2 = self.update(self._rows(0, 1), z, np.eye(2) * sigma**2, "pos")
-        if ok:
-            if self.last_fix is not None:
-                shift, least = z - self.last_fix, self.cfg.least_displacement
-                size = float(np.linalg.norm(self.moved))
-                if size >= least and np.linalg.norm(shift) >= least:
-                    h = np.zeros((2, 9))
-                    h[:, 8] = self.moved
-                    self.update(h, shift, np.eye(2) * (2 * sigma**2 + (0.05 * size) ** 2), "scale")
-            self.last_fix, self.moved = z, np.zeros(2)
+            off = wrap(off)
+        hp = h @ p
+        solved = np.linalg.solve(hp @ h.transpose(0, 2, 1) + r, np.concatenate([hp, off[..., None]], axis=2))
+        d2 = (off * solved[..., 9]).sum(axis=1)
+        ok = d2 <= self.cfg.gates[gate]
+        i, x, p, h, r, gain, off = i[ok], x[ok], p[ok], h[ok], r[ok], solved[ok, :, :9].transpose(0, 2, 1), off[ok]
+        x = x + (gain @ off[..., None])[..., 0]
+        x[:, YAW] = wrap(x[:, YAW])
+        rest = np.eye(9) - gain @ h
+        p = rest @ p @ rest.transpose(0, 2, 1) + gain @ r @ gain.transpose(0, 2, 1)
+        self.x[i], self.p[i] = x, (p + p.transpose(0, 2, 1)) / 2
         return ok, d2
 
-
-FILTERED = "x_e double, y_n double, speed double, yaw double, scale double, sigma_pos double, vo_ok boolean, fix_ok boolean, fix_d2 double"
+    def step(self, i: np.ndarray, row: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """One row each of the tracks i, in the order predict, velocity, altitude, heading, position.
+
+        A fix in a track's first row is its start, with the velocity of the motion if that is known.
+        """
+        c, n = self.cfg, len(i)
+        pick = lambda *states: np.tile(np.eye(9)[list(states)], (n, 1, 1))
+        noise = lambda *var: np.stack([np.broadcast_to(v, (n,)) for v in var], axis=1)[..., None] * np.eye(len(var))
+        turned = lambda: (lambda s, k: np.stack([row["vx"] * s + row["vy"] * k, row["vx"] * k - row["vy"] * s], axis=1))(np.sin(self.x[i, YAW]), np.cos(self.x[i, YAW]))
+        moves, fixed = ~np.isnan(row["vx"]), ~np.isnan(row["fix_x"])
+        new, at = np.isnan(self.t[i]), np.stack([row["fix_x"], row["fix_y"]], axis=1)
+        begun = new & fixed
+        if begun.any():
+            j = i[begun]
+            self.x[j, :2] = self.fix[j] = at[begun]
+            self.p[j, E, E] = self.p[j, N, N] = row["fix_sigma"][begun] ** 2
+            both = begun & moves
+            j = i[both]
+            self.x[j, VE : VN + 1] = turned()[both]
+            self.p[j, VE, VE] = self.p[j, VN, VN] = 25.0
+        dt = np.where(new, 0.0, row["t"] - self.t[i])
+        self.t[i] = row["t"]
+        self._advance(i[dt > 0], dt[dt > 0])
+        raw = turned()
+        var = c.sigma_v**2 + self.p[i, SCALE, SCALE] * (row["vx"] ** 2 + row["vy"] ** 2)
+        z = np.concatenate([self.x[i, SCALE, None] * raw, row["yaw_rate"][:, None]], axis=1)
+        vo = np.zeros(n, bool)
+        vo[moves] = self._measure(i[moves], pick(VE, VN, TURN)[moves], z[moves], noise(var, var, c.sigma_yaw_rate**2)[moves], "vel")[0]
+        on = moves & (dt > 0)
+        self.moved[i[on]] += raw[on] * dt[on, None]  # also if the gate refused it
+        high = ~np.isnan(row["alt"])
+        self._measure(i[high], pick(UP)[high], row["alt"][high, None], noise(row["alt_sigma"] ** 2)[high], "alt")
+        ve, vn = self.x[i, VE], self.x[i, VN]
+        ahead = (np.abs(self.x[i, TURN]) <= c.straight) & (np.hypot(ve, vn) >= c.least_speed)
+        self._measure(i[ahead], pick(YAW)[ahead], np.arctan2(ve, vn)[ahead, None], noise(c.sigma_heading**2)[ahead], "heading", True)
+        again = fixed & ~begun
+        fix, d2 = begun.copy(), np.where(begun, 0.0, np.nan)
+        var = row["fix_sigma"] ** 2
+        fix[again], d2[again] = self._measure(i[again], pick(E, N)[again], at[again], noise(var, var)[again], "pos")
+        shift, size = at - self.fix[i], np.hypot(*self.moved[i].T)
+        far = again & fix & (size >= c.least_displacement) & (np.hypot(*shift.T) >= c.least_displacement)
+        h = np.zeros((n, 2, 9))
+        h[:, :, SCALE] = self.moved[i]
+        var = 2 * var + (0.05 * size) ** 2
+        self._measure(i[far], h[far], shift[far], noise(var, var)[far], "scale")
+        j = i[again & fix]
+        self.fix[j], self.moved[j] = at[again & fix], 0.0
+        x = self.x[i]
+        return {
+            "x_e": x[:, E], "y_n": x[:, N], "speed": np.hypot(x[:, VE], x[:, VN]), "yaw": x[:, YAW], "scale": x[:, SCALE],
+            "sigma_pos": np.sqrt(self.p[i, E, E] + self.p[i, N, N]), "vo_ok": np.where(moves, vo, None), "fix_ok": np.where(fixed, fix, None), "fix_d2": d2,
+        }
 
 
 def filter_step(f: TrackFilter, row: dict) -> dict:
-    """One row (t, vx, vy, yaw_rate, alt, alt_sigma, fix_x, fix_y, fix_sigma; missing parts null) of a track.
-
-    Order: predict, velocity, altitude, heading, position. A fix in the first row is the seed.
-    """
-    seeded = f.t is None and not _missing(row.get("fix_x"))
-    if seeded:
-        f.seed(row["fix_x"], row["fix_y"], row["fix_sigma"], row.get("vx"), row.get("vy"))
-    dt = 0.0 if f.t is None else row["t"] - f.t
-    f.t = row["t"]
-    f.predict(dt)
-    vo = fix = None
-    d2 = None
-    if not _missing(row.get("vx")):
-        vo = f.velocity(row["vx"], row["vy"], row["yaw_rate"], dt)[0]
-    if not _missing(row.get("alt")):
-        f.altitude(row["alt"], row["alt_sigma"])
-    f.heading()
-    if seeded:
-        fix, d2 = True, 0.0
-    elif not _missing(row.get("fix_x")):
-        fix, d2 = f.position(row["fix_x"], row["fix_y"], row["fix_sigma"])
-    sigma = math.sqrt(f.p[0, 0] + f.p[1, 1])
-    return {
-        "x_e": f.x[0], "y_n": f.x[1], "speed": math.hypot(f.x[3], f.x[4]), "yaw": f.x[6], "scale": f.x[8],
-        "sigma_pos": sigma, "vo_ok": vo, "fix_ok": fix, "fix_d2": d2,
-    }
+    """One row of the only track of f."""
+    f.grow(1)
+    out = f.step(np.zeros(1, np.int64), {c: np.array([row.get(c)], float) for c in MEASURED})
+    return {k: None if v[0] is None or v[0] != v[0] else v[0] for k, v in out.items()}
 
 
 def filter_tracks(df: DataFrame, keys: list[str], order: tuple[str, ...] = (), cfg: FilterConfig | None = None) -> DataFrame:
-    """The track filter over each key in the order of t; see filter_step()."""
-    return fold(df, keys, ["t", *order], lambda: TrackFilter(cfg), filter_step, FILTERED)
+    """The track filter over each key in the order of t; see TrackFilter.step().
+
+    Tracks are dealt by key and a partition's rows sorted by time, so that its tracks advance together: a
+    task holds one batch of rows and a kilobyte of state for each of its tracks.
+    """
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tracks, places = TrackFilter(cfg), {}
+        for frame in frames:
+            if not len(frame):
+                continue
+            names = zip(*[frame[k].astype(object).where(frame[k].notna(), None) for k in keys])
+            own = np.array([places.setdefault(name, len(places)) for name in names])
+            tracks.grow(len(places))
+            row = {c: frame[c].to_numpy(float, na_value=np.nan) if c in frame else np.full(len(frame), np.nan) for c in MEASURED}
+            turn = pd.Series(own).groupby(own).cumcount().to_numpy()  # how many rows of its track came before in this batch
+            by = np.argsort(turn, kind="stable")
+            made: dict[str, list] = {}
+            for at in np.split(by, np.flatnonzero(np.diff(turn[by])) + 1):
+                for name, v in tracks.step(own[at], {c: x[at] for c, x in row.items()}).items():
+                    made.setdefault(name, []).append(v)
+            out = pd.DataFrame({name: np.concatenate(v) for name, v in made.items()}, index=frame.index[by]).sort_index()
+            yield pd.concat([frame, out], axis=1)
+
+    return df.repartition(*keys).sortWithinPartitions("t", *order, *keys).mapInPandas(run, f"{kinds}, {FILTERED}")
 
 
 def _smooth_step(s: dict, row: dict) -> dict:

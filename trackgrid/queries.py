@@ -763,4 +763,4 @@ def kpi_stream(spark, d):
 
 
 
-from . import queries_rows  # noqa: E402, F401 - registers its queries here
+from . import queries_files, queries_rows  # noqa: E402, F401 - they register their queries here

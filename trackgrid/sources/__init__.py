@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -56,8 +56,12 @@ def scan_named_images(spark: SparkSession, root: str, kind: str) -> DataFrame:
 
 def scan_distractors(spark: SparkSession, root: str) -> DataFrame:
     """Images without a pose, as distractors."""
+    return distractors(list_files(spark, root))
+
+
+def distractors(files: DataFrame) -> DataFrame:
     none = [F.lit(None).cast("double").alias(c) for c in ("x", "y", "z", "lat", "lon")]
-    return list_files(spark, root).select(stem(F.col("path")).alias("image_id"), "path", F.lit("distractor").alias("role"), *none)
+    return files.select(stem(F.col("path")).alias("image_id"), "path", F.lit("distractor").alias("role"), *none)
 
 
 POSES = "filepath string, x string, y string, z string, roll string, pitch string, yaw string, undulation string, landcover string"
@@ -129,38 +133,61 @@ def _wkb(data: bytes) -> list | None:
     return read(0)[0]
 
 
-def read_layer(spark: SparkSession, path: str, layer: str) -> DataFrame:
-    """GeoParquet with a WKB column `geometry` -> layer, attrs map, parts, kind columns stay; null geometry is skipped."""
+def wkb_kind(wkb: Column) -> Column:
+    """Name of a WKB geometry's type, whatever its byte order and dimensions; null for types beyond collections of polygons."""
+    byte = lambda i: F.conv(F.hex(F.substring(wkb, i, 1)), 16, 10).cast("int")
+    code = F.when(byte(1) == 1, byte(2) + 256 * byte(3)).otherwise(byte(5) + 256 * byte(4)) % 1000
+    names = ("Point", "LineString", "Polygon", "MultiPoint", "MultiLineString", "MultiPolygon")
+    return F.get(F.array(*map(F.lit, names)), code - 1)
+
+
+def lonlat(parts: Column, epsg: Column) -> Column:
+    """Points of parts in degrees: EPSG 4326 and 4979 as they are, web mercator (3857, 900913) turned back; others are an error."""
+    r = 6_378_137.0
+    back = lambda p: F.struct(F.degrees(p["x"] / r).alias("x"), F.degrees(2 * F.atan(F.exp(p["y"] / r)) - F.lit(3.141592653589793 / 2)).alias("y"))
+    known = F.when(epsg.isin(4326, 4979), parts).when(epsg.isin(3857, 900913), F.transform(parts, lambda ring: F.transform(ring, back)))
+    return F.when(epsg.isin(4326, 4979, 3857, 900913), known).otherwise(F.raise_error(F.concat(F.lit("unknown CRS: EPSG "), epsg.cast("string"))))
+
+
+def read_layer(spark: SparkSession, path: str, layer: str, epsg: int = 4326) -> DataFrame:
+    """GeoParquet with a WKB column `geometry` in a CRS -> layer, attrs map, kind, parts in degrees.
+
+    Null geometry is skipped; points have no parts.
+    """
     df = spark.read.parquet(path).filter("geometry IS NOT NULL")
     attrs = [c for c in df.columns if c != "geometry"]
     table = F.map_from_entries(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v")) for c in attrs])) if attrs else F.create_map().cast("map<string,string>")
-    return df.select(F.lit(layer).alias("layer"), F.map_filter(table, lambda k, v: v.isNotNull()).alias("attrs"), wkb_parts(F.col("geometry")).alias("parts"))
+    out = df.select(F.lit(layer).alias("layer"), F.map_filter(table, lambda k, v: v.isNotNull()).alias("attrs"), wkb_kind(F.col("geometry")).alias("kind"), wkb_parts(F.col("geometry")).alias("parts"))
+    return out.withColumn("parts", lonlat(F.col("parts"), F.lit(epsg)))
 
 
-def resolve_layer(spark: SparkSession, folder: str, layer: str) -> DataFrame | None:
+def resolve_layer(spark: SparkSession, folder: str, layer: str, epsg: int = 4326) -> DataFrame | None:
     """A layer of a region's folder from the first of `.parquet`, `.geojson`, `.json`; None if there is none.
 
-    Coordinates are longitude and latitude; rows without geometry are skipped.
+    -> layer, attrs, kind, parts in degrees; rows without geometry are skipped. GeoParquet is in the CRS
+    `epsg`, since Spark does not read its footer; GeoJSON names its own, else it is in degrees.
     """
-    for ending, read in (("parquet", read_layer), ("geojson", read_geojson), ("json", read_geojson)):
+    for ending in ("parquet", "geojson", "json"):
         path = f"{folder}/{layer}.{ending}"
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-            return read(spark, path, layer)
+            return read_layer(spark, path, layer, epsg) if ending == "parquet" else read_geojson(spark, path, layer)
     return None
 
 
 def read_geojson(spark: SparkSession, path: str, layer: str) -> DataFrame:
-    """Features of GeoJSON collections with polygon or line geometry -> layer, attrs, kind, parts."""
-    schema = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
-    f = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
+    """Features of GeoJSON collections with polygon or line geometry -> layer, attrs, kind, parts in degrees."""
+    schema = "crs struct<properties:struct<name:string>>, features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
+    epsg = F.coalesce(F.nullif(F.regexp_extract("crs.properties.name", r"(?i)EPSG:+(\d+)$", 1), F.lit("")).cast("int"), F.lit(4326))
+    f = spark.read.schema(schema).option("multiLine", True).json(path).select(epsg.alias("epsg"), F.explode("features").alias("f"))
     kind, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
     ring = lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
     d2, d3, d4 = "array<array<double>>", "array<array<array<double>>>", "array<array<array<array<double>>>>"
     parts = F.when(kind == "LineString", F.array(ring(F.from_json(text, d2)))).when(
         kind.isin("Polygon", "MultiLineString"), F.transform(F.from_json(text, d3), ring)
     ).when(kind == "MultiPolygon", F.transform(F.flatten(F.from_json(text, d4)), ring))
-    return f.select(F.lit(layer).alias("layer"), F.col("f.properties").alias("attrs"), kind.alias("kind"), parts.alias("parts")).filter("parts IS NOT NULL")
+    out = f.select(F.lit(layer).alias("layer"), F.col("f.properties").alias("attrs"), kind.alias("kind"), parts.alias("parts"), "epsg").filter("parts IS NOT NULL")
+    return out.withColumn("parts", lonlat(F.col("parts"), F.col("epsg"))).drop("epsg")
 
 
 _POINTS = "array<struct<lat:double,lon:double>>"
@@ -222,11 +249,22 @@ def read_state_log(spark: SparkSession, path: str, required: tuple[str, ...] = (
     return out.withColumns({c: F.col(c) > 0 for c in ("map_accepted", "obstructed")})
 
 
-def read_gallery(spark: SparkSession, path: str, model: str) -> DataFrame:
-    """Descriptors (vec_id, tile_id, lat, lon, embedding, model_name); another model's rows are an error."""
+def read_gallery(spark: SparkSession, path: str, model: str, metadata: str | None = None) -> DataFrame:
+    """Descriptors (vec_id, tile_id, lat, lon, embedding, model_name); another model's rows are an error.
+
+    With `metadata`, a second table by vec_id holds the places: other ids, or other counts of rows, are an
+    error too, since both tables describe the same rows.
+    """
     df = spark.read.parquet(path)
     ok = F.assert_true(F.col("model_name") == model, F.concat(F.lit("descriptors of another model: "), F.coalesce("model_name", F.lit("null"))))
-    return df.filter(ok.isNull())
+    df = df.filter(ok.isNull())
+    if metadata is None:
+        return df
+    places = spark.read.parquet(metadata)
+    both = df.withColumn("_l", F.lit(True)).join(places.withColumn("_r", F.lit(True)), "vec_id", "full_outer")
+    paired = F.assert_true(F.col("_l").isNotNull() & F.col("_r").isNotNull(), F.lit("descriptors and metadata hold different rows"))
+    once = F.assert_true(F.count("*").over(Window.partitionBy("vec_id")) == 1, F.lit("a descriptor has several rows"))
+    return both.withColumn("_once", once).filter(paired.isNull() & F.col("_once").isNull()).drop("_l", "_r", "_once")
 
 
 def read_hgt(spark: SparkSession, path: str) -> DataFrame:
@@ -234,7 +272,11 @@ def read_hgt(spark: SparkSession, path: str) -> DataFrame:
 
     Side 1201 or 3601 from the length; big-endian; the grid's outer centres lie on the degree lines.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.hgt").load(path).select("path", "content")
+    return hgt_cells(spark.read.format("binaryFile").option("pathGlobFilter", "*.hgt").load(path).select("path", "content"))
+
+
+def hgt_cells(files: DataFrame) -> DataFrame:
+    """read_hgt() of files (path, content) that are there already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,10 +325,10 @@ def read_class_rules(spark: SparkSession, path: str, field: str = "class_mapping
     return rules.select(part(1).alias("layer"), F.nullif(part(2), F.lit("")).alias("attr"), part(3).alias("value"), "class_id")
 
 
-def read_run_summaries(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """summary.json files of run folders `sequence__config`: their fields, run, sequence and config."""
-    df = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "summary.json").json(path)
-    run = F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1)
+def read_run_summaries(spark: SparkSession, path: str, schema: str, pattern: str = "summary.json") -> DataFrame:
+    """summary.json files (or others of a pattern) of run folders `sequence__config`: their fields, run, sequence and config."""
+    df = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).json(path)
+    run = F.regexp_extract("_metadata.file_path", r"(?:[^/=]+=)?([^/=]+)/[^/]+$", 1)
     return df.withColumn("run", run).withColumn("sequence", F.split("run", "__")[0]).withColumn("config", F.try_element_at(F.split("run", "__"), F.lit(2)))
 
 

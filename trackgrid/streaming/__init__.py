@@ -12,20 +12,21 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators import state as fold
 
 
-def _stateful(df: DataFrame, key: str, fields: str, state: str, start, step, pack, unpack) -> DataFrame:
-    """Run step(state, row) over the rows of each key in the order of t, with the state kept between batches.
+def _stateful(df: DataFrame, key: str, order: tuple[str, ...], fields: str, state: str, start, step, pack, unpack) -> DataFrame:
+    """Run step(state, row) over the rows of each key in the order of (t, order), with the state kept between batches.
 
-    Rows no later than the last one seen are dropped and counted in `late`, which each row carries.
+    Rows before the last time seen are dropped and counted in `late`, which each row carries; rows at that
+    time are not late.
     """
     own = [f.strip().split()[0] for f in fields.split(",")]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def run(_: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(frames)).sort_values("t", kind="stable")  # a micro-batch of one key
+        frame = pd.concat(list(frames)).sort_values(["t", *order], kind="stable")  # a micro-batch of one key
         s, last, late = (start(), None, 0) if not held.exists else (unpack(held.get[2:]), *held.get[:2])
         rows, out = [], []
         for row in frame.to_dict("records"):
-            if last is not None and row["t"] <= last:
+            if last is not None and row["t"] < last:
                 late += 1
                 continue
             last = row["t"]
@@ -38,7 +39,7 @@ def _stateful(df: DataFrame, key: str, fields: str, state: str, start, step, pac
     return df.groupBy(key).applyInPandasWithState(run, f"{kinds}, {fields}, late long", f"last double, late long, {state}", "append", GroupStateTimeout.NoTimeout)
 
 
-def hysteresis_stream(df: DataFrame, key: str, flag: str, entry: int, exit: int) -> DataFrame:
+def hysteresis_stream(df: DataFrame, key: str, flag: str, entry: int, exit: int, order: tuple[str, ...] = ()) -> DataFrame:
     """windows.hysteresis() on a stream of (key, t, flag)."""
 
     def step(s: list, row: dict) -> dict:
@@ -46,31 +47,55 @@ def hysteresis_stream(df: DataFrame, key: str, flag: str, entry: int, exit: int)
         s[2] = s[0] >= entry if row[flag] and not s[2] else s[2] and (row[flag] or s[1] < exit)
         return {"is_on": bool(s[2])}
 
-    return _stateful(df, key, "is_on boolean", "up long, down long, is_on boolean", lambda: [0, 0, False], step, tuple, list)
+    return _stateful(df, key, order, "is_on boolean", "up long, down long, is_on boolean", lambda: [0, 0, False], step, tuple, list)
 
 
-def schedule_stream(df: DataFrame, key: str, channel: int = 0) -> DataFrame:
-    """state.thin_schedule() on a stream of (key, t, mode, obstructed)."""
-    step = fold.thin_step(lambda row: fold.PERIODS[row["mode"]][channel])
-    return _stateful(df, key, "runs boolean", "run double", dict, step, lambda s: (s.get("last"),), lambda v: {} if v[0] is None else {"last": v[0]})
+def schedule_stream(df: DataFrame, key: str, channel: int = 0, order: tuple[str, ...] = ()) -> DataFrame:
+    """state.thin_schedule() on a stream of (key, t, mode, obstructed), or of (key, t, sigma, accepted, obstructed) with the
+    mode that windows.track_mode() gives, which then is a column of the result."""
+    given = "mode" in df.columns
 
+    def mode(s: dict, row: dict) -> str:
+        gap = row["t"] - s["fix"] if s.get("fix") is not None else 1e9
+        if row["accepted"]:
+            s["fix"] = row["t"]
+        return "TRACK" if row["sigma"] < 60 and gap < 5 else "WEAK" if row["sigma"] < 200 and gap < 30 else "RELOCALIZE"
 
-def filter_tracks_stream(df: DataFrame, key: str, cfg: fold.FilterConfig | None = None) -> DataFrame:
-    """state.filter_tracks() on a stream; rows older than the last processed one are dropped and counted."""
+    thin = fold.thin_step(lambda row: fold.PERIODS[row["mode"]][channel])
+
+    def step(s: dict, row: dict) -> dict:
+        if given:
+            return thin(s, row)
+        now = mode(s, row)
+        return {"mode": now} | thin(s, row | {"mode": now})
 
-    def pack(f: fold.TrackFilter) -> tuple:
-        return f.t, f.x.tolist(), f.p.ravel().tolist(), f.moved.tolist(), None if f.last_fix is None else f.last_fix.tolist()
+    return _stateful(
+        df, key, order, "runs boolean" if given else "mode string, runs boolean", "fix double, run double", dict, step, lambda s: (s.get("fix"), s.get("last")),
+        lambda v: {k: x for k, x in zip(("fix", "last"), v) if x is not None},
+    )
 
-    def unpack(v: tuple) -> fold.TrackFilter:
-        import numpy as np
 
-        f = fold.TrackFilter(cfg)
-        f.t, f.x, f.p, f.moved = v[0], np.array(v[1]), np.array(v[2]).reshape(9, 9), np.array(v[3])
-        f.last_fix = None if v[4] is None else np.array(v[4])
-        return f
+def trailing_stream(df: DataFrame, key: str, seconds: float, order: tuple[str, ...] = ()) -> DataFrame:
+    """Count and mean of `value` over the last `seconds` of each row, on a stream of (key, t, value).
 
-    held = "t double, x array<double>, p array<double>, moved array<double>, fix array<double>"
-    return _stateful(df, key, fold.FILTERED, held, lambda: fold.TrackFilter(cfg), fold.filter_step, pack, unpack)
+    The state of a key holds the rows of the last `seconds` only. A row counts itself and those before it.
+    """
+
+    def step(s: list, row: dict) -> dict:
+        s[0].append(row["t"])
+        s[1].append(row["value"])
+        first = next(i for i, t in enumerate(s[0]) if t >= row["t"] - seconds)
+        del s[0][:first], s[1][:first]
+        return {"n": len(s[1]), "mean": sum(s[1]) / len(s[1])}
+
+    return _stateful(
+        df, key, order, "n long, mean double", "ts array<double>, xs array<double>", lambda: [[], []], step, tuple, lambda v: [list(v[0]), list(v[1])]
+    )
+
+
+def filter_tracks_stream(df: DataFrame, key: str, cfg: fold.FilterConfig | None = None, order: tuple[str, ...] = ()) -> DataFrame:
+    """state.filter_tracks() on a stream; rows older than the last processed one are dropped and counted."""
+    return _stateful(df, key, order, fold.FILTERED, fold.HELD, lambda: fold.TrackFilter(cfg), fold.filter_step, fold.TrackFilter.held, lambda v: fold.TrackFilter(cfg, v))
 
 
 def enrich_stream(df: DataFrame, segments: DataFrame, t: str = "t") -> DataFrame:
