@@ -27,22 +27,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a new temporary one is set only where none is set (tests)."""
+    """The folder that spark.checkpoint.dir names; a new temporary one is set only where none is and Spark is local (tests)."""
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir names no shared folder")
+            folder = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(folder)
     return context.getCheckpointDir().get()
 
 
+#: Paths of the tables that stored() has written and dropped() has not removed.
+_tables: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """The rows of df, written as Parquet to the shared folder and read again: this cuts the lineage."""
+    """The rows of df, written as Parquet to the shared folder and read again: this cuts the lineage.
+
+    The table stays until dropped().
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_tables() -> list[str]:
+    """The tables that stored() has written so far."""
+    return list(_tables)
+
+
+def dropped(spark: SparkSession, paths: list[str]) -> None:
+    """Remove tables that stored() has written, once nothing reads them any more."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+        _tables.remove(path)
+
+
 def text_key(text: Column) -> Column:
     """128 bits of the SHA-256 of a text: equal texts have equal keys."""
     return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
