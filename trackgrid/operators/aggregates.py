@@ -269,6 +269,24 @@ def motion_steps(fits: DataFrame, least: int = 8) -> DataFrame:
     return fits.withColumn("vx", -F.col("tx") / F.col("dt")).withColumn("vy", -F.col("ty") / F.col("dt")).withColumn("yaw_rate", -F.col("theta") / F.col("dt")).withColumn("valid", ok)
 
 
+def ground_motion(points: DataFrame, keys: list[str], limit: float = 1.0, least: int = 8, point: str = "i") -> DataFrame:
+    """Motion of a platform from tracked image points: every key with vx, vy, yaw_rate, speed, valid and reject_reason.
+
+    points: keys, a point's number, normalised image points xn0, yn0 before and xn1, yn1 after, and for the
+    key pitch_deg, agl and dt. Both ends are cast to the ground, points above the horizon leave, and
+    rigid_fit_ransac() fits the rest. Reasons: too_few_grounded, too_few_inliers.
+    """
+    before, after = (geo.raycast_ground(f"xn{k}", f"yn{k}", "pitch_deg", "agl") for k in (0, 1))
+    cast = points.withColumn("_a", before).withColumn("_b", after)
+    counts = cast.groupBy(*keys).agg(F.count("*").alias("num_tracked"), F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("num_grounded"), F.first("dt").alias("dt"))
+    ground = cast.filter("_a IS NOT NULL AND _b IS NOT NULL").join(counts.filter(F.col("num_grounded") >= least).select(*keys), keys, "left_semi")
+    pairs = ground.select(*keys, point, F.col("_a.x").alias("x0"), F.col("_a.y").alias("y0"), F.col("_b.x").alias("x1"), F.col("_b.y").alias("y1"))
+    fits = rigid_fit_ransac(pairs, keys, limit, point=point).select(*keys, "theta", "tx", "ty", "rms", "num_inliers")
+    out = motion_steps(counts.join(fits, keys, "left"), least)
+    reason = first_reason((F.col("num_grounded") < least, "too_few_grounded"), (F.coalesce("num_inliers", F.lit(0)) < least, "too_few_inliers"))
+    return out.withColumn("speed", F.hypot("vx", "vy")).withColumn("reject_reason", reason).drop("theta", "tx", "ty")
+
+
 def grid_summary(log: DataFrame, keys: list[str]) -> DataFrame:
     """Median and mean inliers and accept rate of each setting, and whether it is the best by (rate, median)."""
     out = log.groupBy(*keys).agg(F.median("inliers").alias("median_inliers"), F.avg("inliers").alias("mean_inliers"), F.avg(F.when(F.col("accepted"), 1.0).otherwise(0.0)).alias("accept_rate"))

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import gates, geo
 from . import joins
 
 
@@ -208,6 +209,14 @@ def make_patches(tiles: DataFrame, cells: DataFrame, size: int, low: float, high
     return out.filter(F.col("non_background_ratio").between(low, high))
 
 
+def patch_cells(tiles: DataFrame, cells: DataFrame, size: int, region: str = "region") -> DataFrame:
+    """Cells (region, x, y, r, c, v) of tiles of size x size, moved into every 2 x 2 mosaic that holds their tile: region, px, py, r, c, v."""
+    quads = joins.tile_quads(tiles, (region,)).withColumnsRenamed({"x": "px", "y": "py"})
+    quarter = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
+    parts = quads.withColumn("_q", quarter).withColumn("x", F.col("px") + F.col("_q.i")).withColumn("y", F.col("py") + F.col("_q.j"))
+    return cells.join(parts, [region, "x", "y"]).select(region, "px", "py", (F.col("r") + size * F.col("_q.j")).alias("r"), (F.col("c") + size * F.col("_q.i")).alias("c"), "v")
+
+
 def raster_or(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     on = [*keys, "r", "c"]
     return a.select(*on, "v").unionByName(b.select(*on, "v")).groupBy(*on).agg(F.max("v").alias("v"))
@@ -279,29 +288,99 @@ def peak_margin(votes: DataFrame, radius: int, key: str = "pair_id") -> DataFram
 def mask_match(template: DataFrame, scene: DataFrame, size: int, scene_h: int, scene_w: int, radius: int, key: str = "pair_id", least: int = 50) -> DataFrame:
     """Normalised correlation of size x size class masks within a scene, weighted by class -> best offset, peak, margin.
 
-    Votes of equal cells give the sums of products; window sums come from two-dimensional running sums
-    of the scene. Classes with fewer than `least` template cells take no part. Cells: key, cls, r, c, w.
+    Cells: key, cls, r, c, w. One pair of rasters, whose size the parameters bound, is one group: both are
+    dealt once by key. Products of equal cells come from one transform a class, window sums from running
+    sums. Classes with fewer than `least` template cells take no part; offsets at which no cells meet
+    don't count; margins are taken as in peak_margin().
+    """
+    high, wide = scene_h - size, scene_w - size
+    kind = template.schema[key].dataType.simpleString()
+
+    def match(left: pa.Table, right: pa.Table) -> pa.Table:
+        column = lambda t, c: t[c].to_numpy().astype(np.float64)
+        cls, votes, met, weight = left["cls"].to_numpy(), np.zeros((high + 1, wide + 1)), np.zeros((high + 1, wide + 1), bool), 0.0
+        other, n = right["cls"].to_numpy(), size * size
+        for k in np.unique(cls):
+            own = np.flatnonzero(cls == k)
+            if len(own) < least:
+                continue
+            t, s = np.zeros((size, size)), np.zeros((scene_h, scene_w))
+            t[column(left, "r").astype(int)[own], column(left, "c").astype(int)[own]] = 1
+            here = np.flatnonzero(other == k)
+            s[column(right, "r").astype(int)[here], column(right, "c").astype(int)[here]] = 1
+            w = column(left, "w")[own].max()
+            weight += w
+            shape = (scene_h, scene_w)
+            product = np.fft.irfft2(np.fft.rfft2(s) * np.conj(np.fft.rfft2(t, shape)), shape)
+            sts = np.round(product[: high + 1, : wide + 1])
+            run = np.pad(s.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+            ss = run[size:, size:] - run[:-size, size:] - run[size:, :-size] + run[:-size, :-size]
+            st = t.sum()
+            under = np.sqrt((n * st - st * st) * (n * ss - ss * ss))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                ncc = np.where(under > 0, (n * sts - st * ss) / under, 0.0)
+            votes += np.where(sts > 0, w * ncc, 0.0)
+            met |= sts > 0
+        dr, dc = np.nonzero(met)
+        if not len(dr):
+            return pa.table({key: left[key].slice(0, 0), **{c: pa.array([], t) for c, t in kinds}})
+        score = np.round(votes[dr, dc] / weight, 9)  # equal peaks stay equal
+        best = np.lexsort((dc, dr, -dc, -dr, score))[-1]
+        rest = score[np.maximum(np.abs(dr - dr[best]), np.abs(dc - dc[best])) > radius]
+        margin = score[best] - (rest.max() if len(rest) else 0.0)
+        out = {c: pa.array([v], t) for (c, t), v in zip(kinds, (dr[best], dc[best], score[best], margin))}
+        return pa.table({key: left[key].slice(0, 1), **out})
+
+    kinds = (("dr", pa.int32()), ("dc", pa.int32()), ("peak", pa.float64()), ("margin", pa.float64()))
+    names = [F.col(c).alias(c) for c in (key, "cls", "r", "c", "w")]  # both sides may come from one table
+    both = template.select(*names).groupBy(key).cogroup(scene.select(*names).groupBy(key))
+    return both.applyInArrow(_whole(match, key, kinds), f"{key} {kind}, dr int, dc int, peak double, margin double")
+
+
+def _whole(match, key: str, kinds):
+    """match(), for pairs that have both sides."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if left.num_rows and right.num_rows:
+            return match(left, right)
+        return pa.table({key: pa.array([], left.schema.field(key).type), **{c: pa.array([], t) for c, t in kinds}})
+
+    return run
+
+
+#: The fewest template edges, template pixels and scene features of a search.
+TEMPLATE_EDGES, TEMPLATE_PIXELS, SCENE_FEATURES = 200, 500, 1000
+
+
+def match_report(
+    pairs: DataFrame, template: DataFrame, scene: DataFrame, size: int, scene_h: int, scene_w: int, radius: int, key: str = "pair_id", least: int = 50,
+    least_template: int = TEMPLATE_PIXELS, least_scene: int = SCENE_FEATURES, mode: str = "masks",
+) -> DataFrame:
+    """Every pair (key, w, s, e, n: the scene's box) with its match: dr, dc, peak, margin, lat, lon of the template's
+    centre, accepted, sigma_m, and the first reject_reason that applies.
+
+    Reasons: template_too_big, too_few_template_cells, too_few_scene_features, no_valid_channels (no class
+    with `least` template cells meets the scene), then a peak that gates.gate_peak() refuses: peak_too_weak
+    or low_margin.
     """
-    enough = template.groupBy(key, "cls").agg(F.count("*").alias("st"), F.max("w").alias("w")).filter(F.col("st") >= least)
-    t = template.join(enough.select(key, "cls"), [key, "cls"])
-    size_h, size_w = scene_h - size, scene_w - size
-    votes = t.join(scene.select(key, "cls", F.col("r").alias("sr"), F.col("c").alias("sc")), [key, "cls"])
-    votes = votes.withColumn("dr", F.col("sr") - F.col("r")).withColumn("dc", F.col("sc") - F.col("c"))
-    votes = votes.filter(F.col("dr").between(0, size_h) & F.col("dc").between(0, size_w)).groupBy(key, "cls", "dr", "dc").agg(F.count("*").alias("sts"))
-    full = scene.join(enough.select(key, "cls"), [key, "cls"]).select(key, "cls").distinct()
-    full = full.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(scene_h - 1)))).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(scene_w - 1))))
-    full = full.join(scene.select(key, "cls", "r", "c", F.lit(1).alias("_v")), [key, "cls", "r", "c"], "left").fillna(0, ["_v"])
-    along = Window.partitionBy(key, "cls", "r").orderBy("c").rowsBetween(0, size - 1)
-    down = Window.partitionBy(key, "cls", "c").orderBy("r").rowsBetween(0, size - 1)
-    sums = full.withColumn("_a", F.sum("_v").over(along)).withColumn("ss", F.sum("_a").over(down))
-    sums = sums.filter((F.col("r") <= size_h) & (F.col("c") <= size_w)).select(key, "cls", F.col("r").alias("dr"), F.col("c").alias("dc"), "ss")
-    n = size * size
-    both = votes.join(sums, [key, "cls", "dr", "dc"]).join(enough, [key, "cls"])
-    under = F.sqrt((n * F.col("st") - F.col("st") * F.col("st")) * (n * F.col("ss") - F.col("ss") * F.col("ss")))
-    ncc = F.when(under > 0, (n * F.col("sts") - F.col("st") * F.col("ss")) / F.nullif(under, F.lit(0.0))).otherwise(0.0)
-    total = enough.groupBy(key).agg(F.sum("w").alias("_w"))
-    score = both.groupBy(key, "dr", "dc").agg(F.sum(F.col("w") * ncc).alias("votes")).join(total, key)
-    return peak_margin(score.withColumn("votes", F.col("votes") / F.col("_w")).drop("_w"), radius, key)
+    count = lambda df, name: df.groupBy(key).agg(F.count("*").alias(name))
+    fits = size <= scene_h and size <= scene_w
+    cells = template if fits else template.limit(0)
+    out = pairs.join(count(template, "_t"), key, "left").join(count(scene, "_s"), key, "left").fillna(0, ["_t", "_s"])
+    enough = out.filter((F.col("_t") >= least_template) & (F.col("_s") >= least_scene)).select(key)
+    found = mask_match(cells.join(enough, key, "left_semi"), scene.join(enough, key, "left_semi"), min(size, scene_h, scene_w), scene_h, scene_w, radius, key, least)
+    out = out.join(found, key, "left")
+    gate = gates.gate_peak("peak", "margin", mode)
+    weak = F.col("peak") <= (0.05 if mode == "edges" else 0.10)
+    reason = gates.first_reason(
+        (F.lit(not fits), "template_too_big"), (F.col("_t") < least_template, "too_few_template_cells"), (F.col("_s") < least_scene, "too_few_scene_features"),
+        (F.col("peak").isNull(), "no_valid_channels"), (~gate["accepted"] & weak, "peak_too_weak"), (~gate["accepted"], "low_margin"),
+    )
+    at = geo.pixel_to_geo(F.col("dc") + size / 2, F.col("dr") + size / 2, "w", "s", "e", "n", scene_w, scene_h)
+    return out.select(
+        key, "dr", "dc", "peak", "margin", at["lat"].alias("lat"), at["lon"].alias("lon"), reason.isNull().alias("accepted"),
+        F.when(reason.isNull(), gate["sigma_m"]).alias("sigma_m"), reason.alias("reject_reason"),
+    )
 
 
 def visual_feature(cells: DataFrame, key: str) -> DataFrame:
@@ -316,9 +395,20 @@ def visual_feature(cells: DataFrame, key: str) -> DataFrame:
     return out.withColumn("_n", norm).select(key, F.transform("f", lambda x: x / F.greatest(F.col("_n"), F.lit(1e-12))).alias("feature"))
 
 
-def tile_shift(image_edges: DataFrame, mask_edges: DataFrame, most: int, radius: int, key: str = "tile_id") -> DataFrame:
-    """Shift of the mask edges against the image edges within `most` cells: dx, dy, response (votes per edge cell)."""
+def tile_shift(image_edges: DataFrame, mask_edges: DataFrame, most: int, radius: int, key: str = "tile_id", tiles: DataFrame | None = None) -> DataFrame:
+    """Shift of the mask edges against the image edges within `most` cells: dx, dy, response (votes per edge cell), margin.
+
+    With `tiles` (key, fg_share, edge_share) every tile has a row, with shift_mag and status: no_signal where
+    under half a percent of cells are edges or under two percent are foreground, or nothing meets.
+    """
     one = lambda df: df.select(key, F.lit(1).alias("cls"), "r", "c", F.lit(1.0).alias("w"))
+    if tiles is not None:
+        clear = tiles.filter("edge_share >= 0.005 AND fg_share >= 0.02").select(key)
+        image_edges, mask_edges = image_edges.join(clear, key, "left_semi"), mask_edges.join(clear, key, "left_semi")
     peaks = peak_margin(joins.offset_votes(one(mask_edges), one(image_edges), most, key), radius, key)
     n = mask_edges.groupBy(key).agg(F.count("*").alias("_n"))
-    return peaks.join(n, key).select(key, F.col("dc").alias("dx"), F.col("dr").alias("dy"), (F.col("peak") / F.col("_n")).alias("response"), "margin")
+    out = peaks.join(n, key).select(key, F.col("dc").alias("dx"), F.col("dr").alias("dy"), (F.col("peak") / F.col("_n")).alias("response"), "margin")
+    if tiles is None:
+        return out
+    status = F.when(F.col("dx").isNull(), "no_signal").otherwise("ok")
+    return tiles.join(out, key, "left").withColumns({"shift_mag": F.hypot("dx", "dy"), "status": status, "response": F.coalesce("response", F.lit(0.0))})

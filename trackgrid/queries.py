@@ -301,7 +301,7 @@ def consistency_gate(spark, d):
 def dem_elevation(spark, d):
     k = F.col("n_nationkey")
     dem = _table(spark, d, "nation").select(F.lit(1).alias("dem_id"), F.floor(k / 5).cast("int").alias("row"), (k % 5).cast("int").alias("col"), F.when(k % 7 != 3, 100.0 * k).alias("elev"))
-    meta = _table(spark, d, "region").limit(1).select(F.lit(1).alias("dem_id"), F.lit(20.0).alias("west"), F.lit(65.0).alias("north"), F.struct(F.lit(8.0)).alias("_"), F.lit(5).alias("width"), F.lit(5).alias("height")).drop("_").withColumn("cell_deg", F.lit(1.0))
+    meta = spark.range(1).select(F.lit(1).alias("dem_id"), F.lit(20.0).alias("west"), F.lit(65.0).alias("north"), F.struct(F.lit(8.0)).alias("_"), F.lit(5).alias("width"), F.lit(5).alias("height")).drop("_").withColumn("cell_deg", F.lit(1.0))
     pts = _points(spark, d).select("id", F.lit(1).alias("dem_id"), ((F.col("lon") - 20) / 8 + 20).alias("lon"), (65 - (65 - F.col("lat")) / 4).alias("lat"))
     return joins.dem_elevation(pts, dem, meta, "id").select("id", _r("elevation").alias("elevation"))
 
@@ -459,12 +459,14 @@ def rigid_fit(spark, d):
     return aggregates.rigid_fit(p, ["track"]).select("track", "n", _r("theta").alias("theta"), _r("tx", 5).alias("tx"), _r("ty", 5).alias("ty"))
 
 
-@_query()
+@_query(f"""SELECT track, count_if(event_id % 5 <> 0) AS num_inliers, round(atan2(0.6, 0.8), 6) AS theta, 5.0::DOUBLE AS tx, -7.0::DOUBLE AS ty FROM {LOG} GROUP BY 1 HAVING count_if(event_id % 5 <> 0) > 5""")
 def rigid_fit_ransac(spark, d):
+    """Exact pairs but for a fifth that lies 400 off: the fit finds the others and their motion."""
     p = _log(spark, d).withColumn("x0", (F.col("event_id") % 100).cast("double")).withColumn("y0", F.col("value"))
     off = F.when(F.col("event_id") % 5 == 0, 400.0).otherwise(0.0)
     p = p.withColumn("x1", 0.8 * F.col("x0") - 0.6 * F.col("y0") + 5 + off).withColumn("y1", 0.6 * F.col("x0") + 0.8 * F.col("y0") - 7)
-    return aggregates.rigid_fit_ransac(p, ["track"], 1.0, point="event_id")
+    out = aggregates.rigid_fit_ransac(p, ["track"], 1.0, point="event_id").filter("num_inliers > 5")
+    return out.select("track", "num_inliers", _r("theta").alias("theta"), _r("tx", 4).alias("tx"), _r("ty", 4).alias("ty"))
 
 
 @_query("""
@@ -654,15 +656,15 @@ def resample_area(spark, d):
 
 
 @_query(f"""
-    WITH t AS (SELECT raster % 50 AS pair_id, r, c, v FROM {CELLS} WHERE raster < 50 AND v IN (1, 2)), s AS (SELECT raster % 50 AS pair_id, r, c, v FROM {CELLS} WHERE raster >= 50 AND raster < 100 AND v IN (1, 2)),
+    WITH t AS (SELECT raster // 2 AS pair_id, r, c, v FROM {CELLS} WHERE raster % 2 = 0 AND v IN (1, 2)), s AS (SELECT raster // 2 AS pair_id, r, c, v FROM {CELLS} WHERE raster % 2 = 1 AND v IN (1, 2)),
     o AS (SELECT t.pair_id, s.r - t.r AS dr, s.c - t.c AS dc, CAST(count(*) AS DOUBLE) AS votes FROM t JOIN s ON t.pair_id = s.pair_id AND t.v = s.v AND abs(s.r - t.r) <= 4 AND abs(s.c - t.c) <= 4 GROUP BY ALL),
     p AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY votes DESC, abs(dr), abs(dc), dr DESC, dc DESC) = 1),
     x AS (SELECT o.pair_id, max(o.votes) AS second FROM o JOIN p ON o.pair_id = p.pair_id AND greatest(abs(o.dr - p.dr), abs(o.dc - p.dc)) > 1 GROUP BY 1)
     SELECT p.pair_id, CAST(p.dr AS BIGINT) AS dr, CAST(p.dc AS BIGINT) AS dc, votes AS peak, votes - coalesce(second, 0) AS margin FROM p LEFT JOIN x USING (pair_id)""")
 def offset_peaks(spark, d):
     c = _cells(spark, d).filter("v IN (1, 2)")
-    part = lambda cond: c.filter(cond).select((F.col("raster") % 50).alias("pair_id"), F.col("v").alias("cls"), "r", "c", F.lit(1.0).alias("w"))
-    out = raster.peak_margin(joins.offset_votes(part("raster < 50"), part("raster >= 50 AND raster < 100"), 4), 1)
+    part = lambda cond: c.filter(cond).select(F.floor(F.col("raster") / 2).alias("pair_id"), F.col("v").alias("cls"), "r", "c", F.lit(1.0).alias("w"))
+    out = raster.peak_margin(joins.offset_votes(part("raster % 2 = 0"), part("raster % 2 = 1"), 4), 1)
     return out.select("pair_id", F.col("dr").cast("long").alias("dr"), F.col("dc").cast("long").alias("dc"), "peak", "margin")
 
 
@@ -726,29 +728,54 @@ def filter_tracks(spark, d):
 
 
 def _places(spark, d) -> DataFrame:
-    return _log(spark, d).select("event_id", "track", "t", (55 + F.col("value") / 100000).alias("lat"), (37 + F.col("event_id") % 50 / 100000.0).alias("lon"), F.col("accepted").alias("keyframe"))
+    return _log(spark, d).select("event_id", "track", "t", (55 + F.col("value") / 100003).alias("lat"), (37 + F.col("event_id") % 50 / 100003.0).alias("lon"), F.col("accepted").alias("keyframe"))
 
 
-@_query()
+@_query(f"""
+    WITH RECURSIVE l AS (SELECT event_id, track, 55 + value / 100003 AS lat, 37 + event_id % 50 / 100003.0::DOUBLE AS lon, accepted AS k, row_number() OVER (PARTITION BY track ORDER BY t, event_id) AS n FROM {LOG}),
+    f AS (SELECT track, event_id, n, lat, lon, lat AS s_lat, lon AS s_lon, true AS ok FROM l WHERE n = 1 UNION ALL
+        SELECT track, event_id, n, CASE WHEN ok THEN a ELSE lat END, CASE WHEN ok THEN b ELSE lon END, CASE WHEN ok THEN a END, CASE WHEN ok THEN b END, ok FROM (SELECT f.track, l.event_id, l.n, f.lat, f.lon,
+            CASE WHEN l.k THEN l.lat ELSE f.lat * 0.7 + l.lat * 0.3 END AS a, CASE WHEN l.k THEN l.lon ELSE f.lon * 0.7 + l.lon * 0.3 END AS b,
+            l.k OR sqrt(pow((l.lat - f.lat) * 111111, 2) + pow((l.lon - f.lon) * 111111 * cos(radians(f.lat)), 2)) <= 70 AS ok FROM f JOIN l ON l.track = f.track AND l.n = f.n + 1))
+    SELECT event_id, round(s_lat, 7) AS s_lat, round(s_lon, 7) AS s_lon, ok AS accepted FROM f""")
 def ema_tracks(spark, d):
     return state.ema_tracks(_places(spark, d), ["track"], ["t", "event_id"]).select("event_id", _r("s_lat", 7).alias("s_lat"), _r("s_lon", 7).alias("s_lon"), "accepted")
 
 
-@_query()
+@_query(f"""
+    WITH RECURSIVE l AS (SELECT event_id, track, 55 + value / 100003 AS lat, 37 + event_id % 50 / 100003.0::DOUBLE AS lon, accepted AS k, row_number() OVER (PARTITION BY track ORDER BY t, event_id) AS n FROM {LOG}),
+    f AS (SELECT track, event_id, n, lat, lon, 0.0::DOUBLE AS ra, 0.0::DOUBLE AS ro, 1.0::DOUBLE AS p, 0.0::DOUBLE AS q, 1.0::DOUBLE AS r FROM l WHERE n = 1 UNION ALL
+        SELECT track, event_id, n, CASE WHEN k THEN zlat ELSE plat + g * (zlat - plat) END, CASE WHEN k THEN zlon ELSE plon + g * (zlon - plon) END, CASE WHEN k THEN 0 ELSE ra + h * (zlat - plat) END,
+            CASE WHEN k THEN 0 ELSE ro + h * (zlon - plon) END, CASE WHEN k THEN 1 ELSE (1 - g) * pp END, CASE WHEN k THEN 0 ELSE (1 - g) * qq END, CASE WHEN k THEN 1 ELSE rr - h * qq END FROM
+        (SELECT *, pp / (pp + 1e-4) AS g, qq / (pp + 1e-4) AS h FROM (SELECT f.track, l.event_id, l.n, l.k, l.lat AS zlat, l.lon AS zlon, f.lat + f.ra AS plat, f.lon + f.ro AS plon, f.ra, f.ro,
+            f.p + 2 * f.q + f.r + 1e-5 AS pp, f.q + f.r AS qq, f.r + 1e-5 AS rr FROM f JOIN l ON l.track = f.track AND l.n = f.n + 1)))
+    SELECT event_id, round(lat, 7) AS s_lat, round(lon, 7) AS s_lon FROM f""")
 def smooth_tracks(spark, d):
     return state.smooth_tracks(_places(spark, d), ["track"], ["t", "event_id"]).select("event_id", _r("s_lat", 7).alias("s_lat"), _r("s_lon", 7).alias("s_lon"))
 
 
-@_query()
+@_query(f"""
+    WITH RECURSIVE l AS (SELECT event_id, track, least(1.0, value / 100) AS conf, flag, row_number() OVER (PARTITION BY track ORDER BY t, event_id) AS n FROM {LOG}),
+    c AS (SELECT *, flag OR conf < 0.4 AS bad FROM l),
+    f AS (SELECT track, 0::BIGINT AS event_id, 0::BIGINT AS n, 'RELOCALIZE' AS state, 0 AS high, 0 AS low FROM (SELECT DISTINCT track FROM l) UNION ALL
+        SELECT track, event_id, n, CASE state WHEN 'TRACK' THEN CASE WHEN lo >= 2 THEN 'WEAK' ELSE 'TRACK' END WHEN 'WEAK' THEN CASE WHEN lo >= 4 AND conf < 0.4 THEN 'RELOCALIZE' WHEN hi >= 2 THEN 'TRACK' ELSE 'WEAK' END
+            ELSE CASE WHEN hi >= 2 THEN 'WEAK' ELSE 'RELOCALIZE' END END, hi, lo FROM
+        (SELECT c.track, c.event_id, c.n, c.conf, f.state, CASE WHEN bad THEN 0 WHEN conf >= 0.62 THEN f.high + 1 ELSE 0 END AS hi, CASE WHEN bad THEN f.low + 1 ELSE greatest(0, f.low - 1) END AS lo FROM f JOIN c ON c.track = f.track AND c.n = f.n + 1))
+    SELECT event_id, state, high, low FROM f WHERE n > 0""")
 def streak_states(spark, d):
     log = _log(spark, d).withColumn("confidence", F.least(F.lit(1.0), F.col("value") / 100)).withColumn("success", ~F.col("flag"))
     return state.streak_states(log, ["track"], ["t", "event_id"]).select("event_id", "state", "high", "low")
 
 
-@_query()
+@_query(f"""
+    WITH p AS (SELECT track, event_id AS frame, value AS x, (event_id % 40)::DOUBLE AS y, dense_rank() OVER (PARTITION BY track ORDER BY event_id) AS f FROM {LOG}), q AS (SELECT * FROM p WHERE f <= 20),
+    n AS (SELECT a.track, a.frame, a.x, a.y, a.f, count(DISTINCT b.frame) AS k FROM q a JOIN q b ON a.track = b.track AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 40 GROUP BY ALL),
+    m AS (SELECT track FROM q GROUP BY 1 HAVING max(f) >= 20), lead AS (SELECT * FROM n SEMI JOIN m USING (track) QUALIFY row_number() OVER (PARTITION BY track ORDER BY k DESC, frame, x, y) = 1)
+    SELECT q.track, round(avg(q.x), 6) AS seed_x, round(avg(q.y), 6) AS seed_y, count(*) AS n_frames FROM q JOIN lead l ON q.track = l.track AND sqrt(pow(q.x - l.x, 2) + pow(q.y - l.y, 2)) <= 40 GROUP BY 1""")
 def bootstrap_seed(spark, d):
     fixes = _log(spark, d).select("track", F.col("event_id").alias("frame"), F.col("event_id").alias("ord"), F.col("value").alias("x"), (F.col("event_id") % 40).cast("double").alias("y"))
-    return state.bootstrap_seed(fixes, ["track"], 20, 40.0)
+    out = state.bootstrap_seed(fixes, ["track"], 20, 40.0)
+    return out.select("track", _r("seed_x").alias("seed_x"), _r("seed_y").alias("seed_y"), "n_frames")
 
 
 @_query(f"""SELECT e.event_id, s.segment_id FROM {LOG} e LEFT JOIN {SEGMENTS} s ON e.t >= s.start AND e.t < s."end" """)
@@ -763,4 +790,4 @@ def kpi_stream(spark, d):
 
 
 
-from . import queries_files, queries_rows  # noqa: E402, F401 - they register their queries here
+from . import queries_cells, queries_files, queries_rows  # noqa: E402, F401 - they register their queries here
