@@ -77,9 +77,9 @@ def phrase_places(docs: DataFrame, phrases=PHRASES) -> DataFrame:
 def matching_blocks(blocks: DataFrame, threshold: float = 0.8, templates=TEMPLATES) -> DataFrame:
     """Every pair of a block and a template of whose distinct words it holds at least `threshold`.
 
-    blocks: any columns besides these, size (distinct words of the block) and tokens (those that are in
-    some template) -> the same columns, template int, label, containment. The templates, a parameter,
-    are broadcast; the blocks are not shuffled but for the counts of the templates' words.
+    blocks: any columns besides tokens (the distinct words of the block that are in some template) -> the
+    same columns, template int, label, containment. The templates, a parameter, are broadcast; the blocks
+    are not shuffled but for the counts of the templates' words.
 
     Tokens are ordered by the number of blocks that hold them, rarest first. A template of m tokens that
     needs a of them shares one of its first m - a + 1 with every block that qualifies; blocks with fewer
@@ -104,9 +104,7 @@ def matching_blocks(blocks: DataFrame, threshold: float = 0.8, templates=TEMPLAT
     prefixes = F.array(*map(F.lit, sorted({w for s, (_, _) in zip(sets, templates) for w in _prefix(s, rank, threshold)})))
     own = blocks.filter(F.arrays_overlap("tokens", prefixes)).withColumn("tokens", ordered)
     own = own.select(*names, "tokens", F.posexplode("tokens").alias("at", "token"))
-    pairs = own.join(F.broadcast(index), "token").filter(
-        (F.col("size") >= F.col("need")) & (F.size("tokens") - F.col("at") >= F.col("need"))
-    )
+    pairs = own.join(F.broadcast(index), "token").filter(F.size("tokens") - F.col("at") >= F.col("need"))
     shared = F.size(F.array_intersect("tokens", "all"))
     pairs = pairs.withColumn("shared", shared).filter("shared >= need")
     first = F.element_at(F.array_intersect("tokens", "all"), 1) == F.col("token")  # of several shared tokens one counts
@@ -117,21 +115,37 @@ def _prefix(tokens: list[str], rank: dict[str, int], threshold: float) -> list[s
     return sorted(tokens, key=rank.get)[: len(tokens) - math.ceil(threshold * len(tokens) - 1e-9) + 1]
 
 
+def text_blocks(words: Column, templates=TEMPLATES) -> Column:
+    """For each block of a text, words between single spaces, its distinct words that are in some template.
+
+    Blocks are windows of twice the longest template's words, one begun at every such length, so whatever
+    is no longer than a template stands in one of them, across line breaks too.
+    """
+    step = block_words(templates)
+    vocabulary = F.array(*map(F.lit, sorted({w for t, _ in templates for w in t.split()})))
+    parts = F.split(words, " ")
+    starts = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / step).cast("int"))
+    return F.transform(starts, lambda b: F.array_intersect(F.slice(parts, b * step + 1, 2 * step), vocabulary))
+
+
+def block_words(templates=TEMPLATES) -> int:
+    return max(len(t.split()) for t, _ in templates)
+
+
 def scan(docs: DataFrame, threshold: float = 0.8, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
     """(doc_id, text) -> doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    A document's blocks are its lines. Its labels are those of the phrases that stand in it and those of
-    the templates that its blocks hold; score is 1 with a phrase, else the largest containment found,
-    else 0. Null texts count as empty; repeated rows stay; other columns are dropped.
+    A document's blocks are overlapping windows of its words (see text_blocks()). Its labels are those of
+    the phrases that stand in it and those of the templates that its blocks hold; score is 1 with a phrase,
+    else the largest containment found, else 0. Null texts count as empty; texts of any length are read
+    whole; repeated rows stay; other columns are dropped; an empty table gives an empty result.
     """
     text = F.coalesce("text", F.lit(""))
     docs = docs.select("doc_id", text.alias("text"), F.xxhash64(text, F.length(text)).alias("x"))
-    base = phrase_places(docs.select("doc_id", "x", spaced(F.col("text")).alias("words")), phrases)
-    vocabulary = F.array(*map(F.lit, sorted({w for t, _ in templates for w in t.split()})))
-    blocks = docs.select("doc_id", "x", F.posexplode(F.split("text", "\n")).alias("block", "line"))
-    blocks = blocks.withColumn("words", F.array_distinct(F.split(spaced(F.col("line")), " ")))
-    blocks = blocks.select("doc_id", "x", "block", F.size("words").alias("size"), F.array_intersect("words", vocabulary).alias("tokens"))
+    docs = docs.select("doc_id", "x", spaced(F.col("text")).alias("words"))
+    base = phrase_places(docs, phrases)
     least = min(math.ceil(threshold * len(set(t.split())) - 1e-9) for t, _ in templates)
+    blocks = docs.select("doc_id", "x", F.posexplode(text_blocks(F.col("words"), templates)).alias("block", "tokens"))
     blocks = stored(blocks.filter(F.size("tokens") >= least))  # no block with fewer holds any template
     found = matching_blocks(blocks, threshold, templates).groupBy("doc_id", "x").agg(
         F.collect_set("label").alias("found"), F.max("containment").alias("containment")
@@ -148,7 +162,8 @@ def scan(docs: DataFrame, threshold: float = 0.8, phrases=PHRASES, templates=TEM
 
 
 def scan_sql(threshold: float = 0.8, phrases=PHRASES, templates=TEMPLATES) -> str:
-    """DuckDB SQL for scan(documents): every line against every template."""
+    """DuckDB SQL for scan(documents): every block against every template."""
+    step = block_words(templates)
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     words = lambda x: f"regexp_extract_all(translate({x}, '{_UPPER}', '{_LOWER}'), '{word}')"
     hits = " OR ".join(
@@ -168,7 +183,7 @@ def scan_sql(threshold: float = 0.8, phrases=PHRASES, templates=TEMPLATES) -> st
     p AS (SELECT doc_id, rid, n_words, len(places) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word,
           list_sort(list_distinct(list_transform(places, lambda i: {label}))) AS base FROM b),
     t(label, tokens) AS (VALUES {rows}),
-    l AS (SELECT rid, list_distinct({words("line")}) AS words FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d)),
+    l AS (SELECT rid, list_distinct(w[i + 1 : i + {2 * step}]) AS words FROM (SELECT rid, w, unnest(range(0, len(w), {step})) AS i FROM b)),
     m AS (SELECT rid, list_distinct(list(label)) AS labels, max(share) AS share FROM
           (SELECT rid, label, len(list_intersect(words, tokens)) / len(tokens) AS share FROM l, t)
           WHERE share >= {threshold} - 1e-9 GROUP BY rid)
