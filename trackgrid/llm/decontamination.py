@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, as_bytes, sliced
+from .common import FOLD, as_bytes, sliced, stored
 
 #: Bytes of text in a lane; the lanes of a slice are searched together.
 LANE = 1024
@@ -77,14 +78,60 @@ class Searcher:
         return [x for c in self.classes for x in c.search(text)]
 
 
-def windows_of(items: list[tuple[object, bytes]], n: int) -> dict[bytes, list[str]]:
-    """Every window of n consecutive item words, between spaces, with its items; short items are one window."""
-    out: dict[bytes, set] = defaultdict(set)
-    for item, text in items:
-        words = text.translate(FOLD).split()
-        for i in range(max(1, len(words) - n + 1) if words else 0):
-            out[b" " + b" ".join(words[i : i + n]) + b" "].add(str(item))
-    return {k: sorted(v) for k, v in out.items()}
+def item_windows(items: DataFrame, n: int) -> DataFrame:
+    """(item_id, text) -> window, item: every window of n consecutive item words, between spaces; short items are one window.
+
+    Items without words or with a null id have none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in sliced(whole, "text", 1 << 20):
+                windows, own = [], []
+                for item, text in zip(batch["item"].to_pylist(), as_bytes(batch, "text")):
+                    words = text.translate(FOLD).split()
+                    cut = {b" " + b" ".join(words[i : i + n]) + b" " for i in range(max(1, len(words) - n + 1) if words else 0)}
+                    windows += cut
+                    own += [item] * len(cut)
+                yield pa.RecordBatch.from_pydict({"window": pa.array(windows, pa.binary()), "item": pa.array(own, pa.string())})
+
+    items = items.filter("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), "text")
+    return items.mapInArrow(run, "window binary, item string").distinct()
+
+
+class Part:
+    """Windows with their items, that all tasks of a pass search for; a worker builds its tables once."""
+
+    _built: tuple = (None, None)
+
+    def __init__(self, windows: dict[bytes, list[str]]):
+        self.key, self.windows = uuid.uuid4().hex, windows
+
+    def searcher(self) -> Searcher:
+        if Part._built[0] != self.key:
+            Part._built = self.key, Searcher(self.windows)
+        return Part._built[1]
+
+
+def _parts(items: DataFrame, n: int, item_bytes: int) -> tuple[int, Iterator[Part]]:
+    """How many parts the windows of the items make, of about item_bytes bytes of item text each, and the parts.
+
+    Windows are cut and dealt by their hash in Spark; one part at a time comes to the driver, to go to the
+    tasks of its pass.
+    """
+    size = items.filter("item_id IS NOT NULL").agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // item_bytes))
+    windows = item_windows(items, n)
+    if parts > 1:
+        windows = stored(windows.withColumn("part", F.pmod(F.xxhash64("window"), F.lit(parts))))
+
+    def each() -> Iterator[Part]:
+        for part in range(parts):
+            own = windows if parts == 1 else windows.filter(F.col("part") == part)
+            rows = own.groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items")).toArrow()
+            yield Part(dict(zip(rows["window"].to_pylist(), rows["items"].to_pylist())))
+
+    return parts, each()
 
 
 def clean(docs: DataFrame, items: DataFrame, n: int = 10, item_bytes: int = 4 << 20) -> DataFrame:
@@ -92,24 +139,16 @@ def clean(docs: DataFrame, items: DataFrame, n: int = 10, item_bytes: int = 4 <<
 
     Null texts stay. Row-local while the items fit one part; more parts are one pass after the other.
     """
-    for windows in _parts(items, n, item_bytes):
-        docs = docs.mapInArrow(_without(windows), docs.schema)
+    parts, each = _parts(items, n, item_bytes)
+    for part in each:
+        docs = docs.mapInArrow(_without(part), docs.schema)
+        docs = stored(docs) if parts > 1 else docs
     return docs
 
 
-def _parts(items: DataFrame, n: int, item_bytes: int) -> Iterator[dict[bytes, list[str]]]:
-    """The windows of the items, in parts that hold about item_bytes bytes of text each."""
-    items = items.select("item_id", "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // item_bytes))
-    for part in range(parts):
-        own = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
-        yield windows_of([(r[0], r[1].encode()) for r in own.collect()], n)
-
-
-def _without(windows: dict[bytes, list[str]]):
+def _without(part: Part):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searcher = Searcher(windows)
+        searcher = part.searcher()
         for whole in batches:
             for batch in sliced(whole, "text"):
                 parts = [b" " + b" ".join(x.translate(FOLD).split()) + b" \n" for x in as_bytes(batch, "text")]
@@ -130,23 +169,21 @@ def find_items(docs: DataFrame, items: DataFrame, n: int = 10, item_bytes: int =
     texts have no words; items without words, or with a null id, never occur; repeated rows are kept;
     other columns are dropped; without items every document is clean.
 
-    The items travel to the tasks in parts of about `item_bytes` bytes: each part is one pass over the
-    documents, and the passes' rows are merged by a hash of the row. One part, the usual case, needs no
-    shuffle.
+    The windows of the items travel to the tasks in parts of about `item_bytes` bytes of text: each part is
+    one pass over the documents, whose rows are stored, and the passes' rows are merged by a hash of the
+    row. The driver holds one part at a time. One part, the usual case, needs no shuffle of documents.
     """
-    all_windows = list(_parts(items, n, item_bytes))
-    parts = len(all_windows)
+    parts, each = _parts(items, n, item_bytes)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, {'row string, ' * (parts > 1)}n_words long, spans array<struct<first:long,last:long>>, items array<string>"
     base = docs.select("doc_id", "text")
-    if parts > 1:
-        base = base.withColumn("row", F.sha2(F.coalesce("text", F.lit("")), 256))
-    passes = [base.mapInArrow(_pass(windows), schema) for windows in all_windows]
     if parts == 1:
-        return passes[0]
-    out = passes[0].withColumn("part", F.lit(0))
-    for k, p in enumerate(passes[1:], 1):
-        out = out.unionByName(p.withColumn("part", F.lit(k)))
+        return base.mapInArrow(_pass(next(each)), schema)
+    base = base.withColumn("row", F.sha2(F.coalesce("text", F.lit("")), 256))
+    out = None
+    for k, part in enumerate(each):
+        rows = stored(base.mapInArrow(_pass(part), schema).withColumn("part", F.lit(k)))
+        out = rows if out is None else out.unionByName(rows)
     copies = F.max("n_copies").alias("n_copies")
     each = out.groupBy("part", "doc_id", "row", "n_words", "spans", "items").agg(F.count("*").alias("n_copies"))
     merged = each.groupBy("doc_id", "row").agg(
@@ -166,9 +203,9 @@ def find_items(docs: DataFrame, items: DataFrame, n: int = 10, item_bytes: int =
     )
 
 
-def _pass(windows: dict[bytes, list[str]]):
+def _pass(part: Part):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searcher = Searcher(windows)
+        searcher, windows = part.searcher(), part.windows
         for whole in batches:
             for batch in sliced(whole, "text"):
                 texts = [x.translate(FOLD).split() for x in as_bytes(batch, "text")]

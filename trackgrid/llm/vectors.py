@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 
 def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
     """(vec_id, embedding) -> vec_id, v binary (floor(scale * x) as doubles), norm2 double.
@@ -69,81 +71,86 @@ def _best(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, qids: np.nd
     return out
 
 
+def distances(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Euclidean distances of points and pivots, a row a point."""
+    out = np.empty((len(points), len(pivots)))
+    for k, p in enumerate(pivots):
+        out[:, k] = np.sqrt(((points - p) ** 2).sum(axis=1))
+    return out
+
+
 def top_k(
-    vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, cell_rows: int = 8192, query_rows: int = 4096,
-    sample: int = 4096, most_pivots: int = 64,
+    vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, cell_rows: int = 8192, query_rows: int = 4096, sample: int = 4096,
+    most_pivots: int = 1024,
 ) -> DataFrame:
     """Queries, the rows whose vec_id is divisible by `every`, against all rows: query_id, rank, vec_id, score.
 
-    score is the inner product of the quantised vectors; ties go to the smaller vec_id; a row is not its
-    own candidate. Exact while scores stay below 2**53. An empty table gives an empty result; rows with
-    the same vec_id are all candidates, and such a query counts once.
+    score is the inner product of the quantised vectors; ties go to the smaller vec_id; rows with a
+    query's own vec_id are not its candidates. Exact while scores stay below 2**53. An empty table gives
+    an empty result; rows that share a vec_id are all candidates of others, and such a query counts once.
 
     A further component sqrt(most - norm2) turns the largest inner product into the smallest distance.
-    Pivots come from at most `sample` rows (the only thing that is sampled); every vector is keyed by
-    its nearest pivot and the annulus of its distance to it. A first search in the query's own annulus
-    bounds its k-th score; by the triangle inequality other annuli are skipped, or cut, that lie
-    farther from the query's circle than that bound. Annuli are split by hash into parts of about
-    `cell_rows` rows and queries into groups of about `query_rows`, so no task holds more. Of equal
-    vectors, only the k + 1 smallest ids can appear in any result; the others leave before the search.
+    Pivots come from at most `sample` rows (the only thing that is sampled), one for every `cell_rows` rows;
+    every vector is keyed by its nearest pivot and the annulus of its distance to it. Each query first
+    searches the annulus nearest to its own circle, then the next nearest one, two, four and so on, each
+    time with the k-th score so far as a bound: by the triangle inequality annuli beyond it, and rows of
+    an annulus beyond it, are skipped, and a query ends when none is left. Annuli are split by hash into
+    parts of about `cell_rows` rows and queries into groups of about `query_rows`; only parts and groups
+    that meet are sent to each other. Of equal vectors, only the k + 1 smallest ids can appear in any
+    result; the others leave before the search.
     """
     spark = vectors.sparkSession
     rows = quantised(vectors, scale)
     same = Window.partitionBy("v").orderBy("vec_id")
-    base = rows.withColumn("rn", F.row_number().over(same)).filter(F.col("rn") <= k + 1).drop("rn").checkpoint()
+    base = stored(rows.withColumn("rn", F.row_number().over(same)).filter(F.col("rn") <= k + 1).drop("rn"))
     n, most = base.agg(F.count("*"), F.max("norm2")).first()
     kind = vectors.schema["vec_id"].dataType.simpleString()
     if not n:
         return spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score long")
-    queries = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    n_queries = queries.count()
+    queries = stored(rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]))
+    groups = max(1, -(-queries.count() // query_rows))
     taken = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
     points = np.column_stack([_matrix(taken["v"]), np.sqrt(np.maximum(most - taken["norm2"], 0))])
     pivots = choose_pivots(points, int(np.clip(n // cell_rows, 1, most_pivots)))
-    near = np.sqrt(((points[:, None] - pivots[None]) ** 2).sum(axis=2)) if len(points) * len(pivots) < 1 << 16 else np.stack([np.sqrt(((points - p) ** 2).sum(axis=1)) for p in pivots], axis=1)
-    rings = int(np.clip(n // (cell_rows * len(pivots)), 1, 16))
-    edges = [np.quantile(near[near.argmin(axis=1) == c, c], np.arange(1, rings) / rings) if (near.argmin(axis=1) == c).any() else np.zeros(rings - 1) for c in range(len(pivots))]
-    parts = max(1, -(-n // (cell_rows * rings * len(pivots))))
-    groups = max(1, -(-n_queries // query_rows))
+    near = distances(points, pivots)
+    rings = max(1, int(n // (cell_rows * len(pivots))))
+    edges = [np.quantile(own, np.arange(1, rings) / rings) if len(own := near[near.argmin(axis=1) == c, c]) else np.zeros(rings - 1) for c in range(len(pivots))]
 
-    def place(frame: pd.DataFrame, extra: bool) -> tuple[np.ndarray, np.ndarray]:
+    def place(frame: pd.DataFrame, extra: bool) -> np.ndarray:
         v = _matrix(frame["v"])
         last = np.sqrt(np.maximum(most - frame["norm2"].to_numpy(), 0)) if extra else np.zeros(len(v))
-        v = np.column_stack([v, last])
-        return v, np.stack([np.sqrt(((v - p) ** 2).sum(axis=1)) for p in pivots], axis=1)
+        return distances(np.column_stack([v, last]), pivots)
 
     def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            _, d = place(frame, True)
+            d = place(frame, True)
             c = d.argmin(axis=1)
             dist = d[np.arange(len(c)), c]
             ring = np.array([np.searchsorted(edges[p], x) for p, x in zip(c, dist)], int)
             yield frame.assign(cell=(c * rings + ring).astype("int32"), dist=dist)
 
-    indexed = base.mapInPandas(index, f"vec_id {kind}, v binary, norm2 double, cell int, dist double")
-    indexed = indexed.withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts)).cast("int")).checkpoint()
-    bounds = indexed.groupBy("cell").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi")).collect()  # few cells
-    low = np.full(len(pivots) * rings, np.inf)
-    high = np.full(len(pivots) * rings, -np.inf)
+    indexed = stored(base.mapInPandas(index, f"vec_id {kind}, v binary, norm2 double, cell int, dist double"))
+    bounds = indexed.groupBy("cell").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi"), F.count("*").alias("n")).collect()  # one row an annulus
+    low, high = np.full(len(pivots) * rings, np.inf), np.full(len(pivots) * rings, -np.inf)
+    parts = np.ones(len(low), np.int64)
     for r in bounds:
-        low[r["cell"]], high[r["cell"]] = r["lo"], r["hi"]
+        low[r["cell"]], high[r["cell"]], parts[r["cell"]] = r["lo"], r["hi"], -(-r["n"] // cell_rows)
     filled = np.isfinite(low)
+    part_of = F.element_at(F.array(*map(F.lit, parts.tolist())), F.col("cell") + 1)
 
-    def route(first: bool):
-        """Cells that a query visits: the one nearest to its circle, or all others within reach."""
+    def route(first: int, last: int):
+        """The annuli that queries visit: those from the first to the last in the order of their gap, if within reach."""
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                _, d = place(frame, False)
-                to = np.repeat(d, rings, axis=1)
-                gap = np.maximum(np.maximum(to - high, low - to), 0)
-                home = np.where(filled, gap + 1e-9 * to, np.inf).argmin(axis=1)
-                if first:
-                    yield frame.assign(cell=home.astype("int32"), toward=to[np.arange(len(home)), home], reach=np.inf)
-                    continue
+                to = np.repeat(place(frame, False), rings, axis=1)
+                gap = np.where(filled, np.maximum(np.maximum(to - high, low - to), 0) + 1e-9 * to, np.inf)
                 reach = np.sqrt(np.maximum(frame["norm2"].to_numpy() + most - 2 * frame["least"].to_numpy(), 0)) + 1e-6
-                visit = filled & (gap <= reach[:, None])
-                q, c = np.nonzero(visit)
+                turn = gap.argsort(axis=1, kind="stable")[:, first:last]
+                q = np.repeat(np.arange(len(turn)), turn.shape[1])
+                c = turn.ravel()
+                on = gap[q, c] <= np.where(np.isfinite(reach), reach, np.finfo(float).max)[q] + 1e-9 * to[q, c]
+                q, c = q[on], c[on]
                 yield frame.iloc[q].drop(columns="least").assign(cell=c.astype("int32"), toward=to[q, c], reach=reach[q])
 
         return run
@@ -161,18 +168,26 @@ def top_k(
                 found += _best(_matrix(part["v"]), v[a:b], ids[a:b], part["vec_id"].to_numpy(), k)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
-    def run(sent: DataFrame) -> DataFrame:
-        sent = sent.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        sent = sent.withColumn("grp", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int"))
-        held = indexed.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-        keys = ["cell", "part", "grp"]
-        found = sent.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(search, f"query_id {kind}, vec_id {kind}, score long")
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-        return found.withColumn("rank", rank).filter(F.col("rank") <= k)
-
+    best = None
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     sent = f"vec_id {kind}, v binary, norm2 double, cell int, toward double, reach double"
-    first = run(queries.mapInPandas(route(True), sent))
-    least = first.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("least"))
-    known = queries.join(least.withColumnRenamed("query_id", "vec_id"), "vec_id", "left")
-    known = known.withColumn("least", F.coalesce(F.col("least").cast("double"), F.lit(float("-inf"))))
-    return run(known.mapInPandas(route(False), sent)).select("query_id", "rank", "vec_id", "score")
+    keys, first, width = ["cell", "part", "grp"], 0, 1
+    while first < filled.sum():
+        known = queries.withColumn("least", F.lit(float("-inf")))
+        if best is not None:
+            least = best.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") == k, F.min("score")).cast("double").alias("least"))
+            known = queries.join(least, "vec_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+        visits = known.mapInPandas(route(first, first + width), sent).withColumn("grp", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int"))
+        visits = stored(visits)
+        if not visits.isEmpty():
+            meet = F.broadcast(visits.select("cell", F.col("grp").alias("g")).distinct())  # at most annuli times groups of queries
+            held = indexed.withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), part_of).cast("int")).join(meet, "cell")
+            held = held.select("vec_id", "v", "dist", F.col("cell").alias("cell"), "part", F.col("g").alias("grp"))
+            asked = visits.withColumn("part", F.explode(F.sequence(F.lit(0), (part_of - 1).cast("int"))))
+            found = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(search, f"query_id {kind}, vec_id {kind}, score long")
+            found = found if best is None else found.unionByName(best.drop("rank"))
+            best = stored(found.withColumn("rank", rank).filter(F.col("rank") <= k))
+        elif best is not None:
+            break
+        first, width = first + width, max(1, 2 * width if first else 1)
+    return best.select("query_id", "rank", "vec_id", "score")
