@@ -59,7 +59,7 @@ def remap_classes(cells: DataFrame, mapping: dict[int, int]) -> DataFrame:
 
 
 def stable_classes(cells: DataFrame, schema: DataFrame, height: int, crop_top: float = 0.0) -> DataFrame:
-    """Classes that the schema (id, stable) calls stable; others, and the top share of rows, become 0. The schema is small."""
-    flags = F.broadcast(schema.select(F.col("id").alias("v"), "stable"))
+    """Classes that the schema (id, stable) calls stable; others, and the top share of rows, become 0."""
+    flags = schema.select(F.col("id").alias("v"), "stable")
     keep = F.coalesce(F.col("stable"), F.lit(False)) & (F.col("r") >= int(height * crop_top))
     return cells.join(flags, "v", "left").withColumn("v", F.when(keep, F.col("v")).otherwise(0)).drop("stable")

@@ -64,9 +64,24 @@ def in_polygon(x: Column, y: Column, parts: Column) -> Column:
     return F.aggregate(parts, F.lit(0), lambda n, r: n + F.when(in_ring(x, y, r), 1).otherwise(0)) % 2 == 1
 
 
+def _in_squares(cells: DataFrame, shapes: DataFrame, on: list[str], box: list[Column]) -> DataFrame:
+    """Cells (x, y) with the shapes of their key whose box (w, s, e, n) holds them.
+
+    Both fall in squares of the shapes' mean size, so that a cell meets the shapes near it only.
+    """
+    sized = shapes.withColumns({f"_{c}": v for c, v in zip("wsen", box)})
+    side = sized.agg(F.avg(F.greatest(F.col("_e") - F.col("_w"), F.col("_n") - F.col("_s")))).first()[0] or 1.0
+    at = lambda c: F.floor(F.col(c) / side)
+    sized = sized.withColumn("_x", F.explode(F.sequence(at("_w"), at("_e")))).withColumn("_y", F.explode(F.sequence(at("_s"), at("_n"))))
+    both = cells.withColumn("_x", at("x")).withColumn("_y", at("y")).join(sized, [*on, "_x", "_y"])
+    return both.filter(F.col("x").between(F.col("_w"), F.col("_e")) & F.col("y").between(F.col("_s"), F.col("_n"))).drop("_x", "_y", "_w", "_s", "_e", "_n")
+
+
 def cells_in_polygons(cells: DataFrame, polygons: DataFrame, on: list[str]) -> DataFrame:
     """Cells (keys, x, y at the centre) inside polygons (keys, parts array<array<struct<x,y>>>) of the same key."""
-    return cells.join(polygons, on).filter(in_polygon(F.col("x"), F.col("y"), F.col("parts"))).drop("parts")
+    of = lambda pick, c: pick(F.transform(F.flatten("parts"), lambda p: p[c]))
+    box = [of(F.array_min, "x"), of(F.array_min, "y"), of(F.array_max, "x"), of(F.array_max, "y")]
+    return _in_squares(cells, polygons, on, box).filter(in_polygon(F.col("x"), F.col("y"), F.col("parts"))).drop("parts")
 
 
 def segment_distance(x: Column, y: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
@@ -82,7 +97,10 @@ def cells_near_lines(cells: DataFrame, lines: DataFrame, on: list[str]) -> DataF
     ends = lambda p: F.zip_with(F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))), F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     segments = lines.withColumn("s", F.explode(F.flatten(F.transform("parts", ends)))).drop("parts")
     near = segment_distance(F.col("x"), F.col("y"), F.col("s.a.x"), F.col("s.a.y"), F.col("s.b.x"), F.col("s.b.y")) <= F.col("width_m")
-    return cells.join(segments, on).filter(near).drop("s", "width_m").dropDuplicates([*on, "r", "c"])
+    ends = lambda pick, c: pick(F.col(f"s.a.{c}"), F.col(f"s.b.{c}"))
+    wide = F.col("width_m")
+    box = [ends(F.least, "x") - wide, ends(F.least, "y") - wide, ends(F.greatest, "x") + wide, ends(F.greatest, "y") + wide]
+    return _in_squares(cells, segments, on, box).filter(near).drop("s", "width_m").dropDuplicates([*on, "r", "c"])
 
 
 def assign_segments(log: DataFrame, segments: DataFrame, t: str = "t", eps: float = 1e-9, most: int = FEW) -> DataFrame:
@@ -193,10 +211,10 @@ def sample_raster(points: DataFrame, cells: DataFrame, raster: str, height: int,
 
 def filter_by_class(matches: DataFrame, compat: DataFrame, keys: list[str], wildcard: int = -1) -> tuple[DataFrame, DataFrame]:
     """Matches (keys, c0, c1) of compatible classes (a, b), and counts raw, kept, background, cross for each key."""
-    pairs = F.broadcast(compat.select("a", "b").distinct())
-    same = (F.col("c0") == F.col("a")) & ((F.col("c1") == F.col("b")) | (F.col("b") == wildcard))
-    numbered = matches.withColumn("_id", F.monotonically_increasing_id())
-    kept = numbered.join(pairs, same, "left_semi").drop("_id")
+    pairs = compat.select(F.col("a").alias("c0"), F.col("b").alias("c1")).distinct()
+    exact = pairs.filter(F.col("c1") != wildcard).withColumn("_exact", F.lit(True))
+    any_ = pairs.filter(F.col("c1") == wildcard).select("c0", F.lit(True).alias("_any"))
+    kept = matches.join(exact, ["c0", "c1"], "left").join(any_, "c0", "left").filter("_exact OR _any").select(*matches.columns)
     back = (F.col("c0") == 0) | (F.col("c1") == 0)
     raw = matches.groupBy(*keys).agg(F.count("*").alias("raw"), F.count_if(back).alias("background"), F.count_if(~back & (F.col("c0") != F.col("c1"))).alias("cross"))
     counts = raw.join(kept.groupBy(*keys).agg(F.count("*").alias("kept")), keys, "left").fillna(0, ["kept"])
@@ -209,7 +227,7 @@ def dem_elevation(points: DataFrame, dem: DataFrame, meta: DataFrame, key: str)
     Null outside the grid or if no corner has data. meta: dem_id, west, north, cell_deg, width, height;
     dem: dem_id, row, col, elev.
     """
-    p = points.join(F.broadcast(meta), "dem_id")
+    p = points.join(meta, "dem_id")
     p = p.withColumn("fc", (F.col("lon") - F.col("west")) / F.col("cell_deg") - 0.5).withColumn("fr", (F.col("north") - F.col("lat")) / F.col("cell_deg") - 0.5)
     p = p.filter((F.col("fc") >= 0) & (F.col("fr") >= 0) & (F.col("fc") <= F.col("width") - 1) & (F.col("fr") <= F.col("height") - 1))
     c0, r0 = F.least(F.floor("fc"), F.col("width") - 2), F.least(F.floor("fr"), F.col("height") - 2)

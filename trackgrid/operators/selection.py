@@ -66,7 +66,7 @@ def split_regions(patches: DataFrame, region: str = "region_id") -> DataFrame:
     """train, val or test by region: airport-like regions first, then larger ones, then by name.
 
     The first max(1, 70 %) regions train; the next max(1, 15 %) validate if two or more are left, else
-    one less than are left; the rest test. Regions are few and broadcast.
+    one less than are left; the rest test. Regions are ranked in one window.
     """
     airport = F.contains(F.lower(region), F.lit("airport")) | F.contains(F.lower(region), F.lit("svo"))
     sizes = patches.groupBy(region).agg(F.count("*").alias("_size")).withColumn("_airport", airport)
@@ -76,7 +76,7 @@ def split_regions(patches: DataFrame, region: str = "region_id") -> DataFrame:
     train = F.greatest(F.lit(1), F.floor(F.col("_n") * 0.7))
     val = F.when(F.col("_n") - train >= 2, F.greatest(F.lit(1), F.floor(F.col("_n") * 0.15))).otherwise(F.greatest(F.lit(0), F.col("_n") - train - 1))
     split = F.when(F.col("_r") < train, "train").when(F.col("_r") < train + val, "val").otherwise("test")
-    return patches.join(F.broadcast(ranked.select(region, split.alias("split"))), region)
+    return patches.join(ranked.select(region, split.alias("split")), region)
 
 
 def split_random(df: DataFrame, id_column: str, share: float, seed: int) -> DataFrame:

@@ -55,14 +55,14 @@ def _points_sql(name="customer", key="c_custkey") -> str:
     return f"(SELECT {key} AS id, 45 + ({key} * 7919 % 20000) / 1000.0::DOUBLE AS lat, 20 + ({key} * 104729 % 40000) / 1000.0::DOUBLE AS lon, * FROM {name})"
 
 
-def _cells(spark, d, size: int = 16, rasters: int = 500) -> DataFrame:
-    """lineitem as raster cells: raster, r, c, v; of equal cells the smallest value."""
+def _cells(spark, d, size: int = 16, orders: int = 24) -> DataFrame:
+    """lineitem as raster cells: raster (a number of orders each), r, c, v; of equal cells the smallest value."""
     li = _table(spark, d, "lineitem")
-    return li.groupBy((F.col("l_orderkey") % rasters).alias("raster"), (F.col("l_partkey") % size).cast("int").alias("r"), (F.col("l_suppkey") % size).cast("int").alias("c")).agg((F.min("l_linenumber") - 1).alias("v"))
+    return li.groupBy(F.floor(F.col("l_orderkey") / orders).alias("raster"), (F.col("l_partkey") % size).cast("int").alias("r"), (F.col("l_suppkey") % size).cast("int").alias("c")).agg((F.min("l_linenumber") - 1).alias("v"))
 
 
-DENSE = "(SELECT l_orderkey % 20 AS raster, l_partkey % 8 AS r, l_suppkey % 8 AS c, min(l_linenumber) - 1 AS v FROM lineitem GROUP BY ALL)"
-CELLS = "(SELECT l_orderkey % 500 AS raster, l_partkey % 16 AS r, l_suppkey % 16 AS c, min(l_linenumber) - 1 AS v FROM lineitem GROUP BY ALL)"
+DENSE = "(SELECT l_orderkey // 120 AS raster, l_partkey % 8 AS r, l_suppkey % 8 AS c, min(l_linenumber) - 1 AS v FROM lineitem GROUP BY ALL)"
+CELLS = "(SELECT l_orderkey // 24 AS raster, l_partkey % 16 AS r, l_suppkey % 16 AS c, min(l_linenumber) - 1 AS v FROM lineitem GROUP BY ALL)"
 
 
 # Retrieval
@@ -270,14 +270,15 @@ def best_covering(spark, d):
 
 
 @_query(f"""
-    WITH b AS (SELECT * FROM {BOXES}), t AS (SELECT map_id,
-        CAST(trunc((w + 180) / 360 * 64) AS INTEGER) AS x0, CAST(trunc((e + 180) / 360 * 64) AS INTEGER) AS x1,
-        CAST(trunc((1 - asinh(tan(radians(n))) / pi()) / 2 * 64) AS INTEGER) AS y0, CAST(trunc((1 - asinh(tan(radians(s))) / pi()) / 2 * 64) AS INTEGER) AS y1 FROM b),
-    g AS (SELECT map_id, x, unnest(range(y0, y1 + 1)) AS y FROM (SELECT *, unnest(range(x0, x1 + 1)) AS x FROM t))
-    SELECT a.map_id, a.x, a.y FROM g a JOIN g b ON b.map_id = a.map_id AND b.x - a.x IN (0, 1) AND b.y - a.y IN (0, 1) GROUP BY ALL HAVING count(*) = 4""")
+    WITH b AS (SELECT id, lon AS w, lon + 0.9 AS e, lat AS s, lat + 0.7 AS n FROM {_points_sql()}), t AS (SELECT id,
+        CAST(trunc((w + 180) / 360 * 1024) AS INTEGER) AS x0, CAST(trunc((e + 180) / 360 * 1024) AS INTEGER) AS x1,
+        CAST(trunc((1 - asinh(tan(radians(n))) / pi()) / 2 * 1024) AS INTEGER) AS y0, CAST(trunc((1 - asinh(tan(radians(s))) / pi()) / 2 * 1024) AS INTEGER) AS y1 FROM b),
+    g AS (SELECT id, x, unnest(range(y0, y1 + 1)) AS y FROM (SELECT *, unnest(range(x0, x1 + 1)) AS x FROM t))
+    SELECT a.id, a.x, a.y FROM g a JOIN g b ON b.id = a.id AND b.x - a.x IN (0, 1) AND b.y - a.y IN (0, 1) GROUP BY ALL HAVING count(*) = 4""")
 def tile_quads(spark, d):
-    tiles = joins.tiles_in_bbox(_boxes(spark, d), 6)
-    return joins.tile_quads(tiles, ("map_id",)).select("map_id", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
+    boxes = _points(spark, d).select("id", F.col("lon").alias("w"), (F.col("lon") + 0.9).alias("e"), F.col("lat").alias("s"), (F.col("lat") + 0.7).alias("n"))
+    tiles = joins.tiles_in_bbox(boxes, 10)
+    return joins.tile_quads(tiles, ("id",)).select("id", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
 
 
 @_query("""
@@ -636,7 +637,7 @@ def keep_and_drop(spark, d):
     WITH g AS (SELECT raster, r + i AS r, c + j AS c, v * -j * (2 - abs(i)) AS gx, v * -i * (2 - abs(j)) AS gy FROM {DENSE}, (VALUES (-1), (0), (1)) AS a(i), (VALUES (-1), (0), (1)) AS b(j))
     SELECT raster, r, c, round(sqrt(pow(sum(gx), 2) + pow(sum(gy), 2)), 6) AS magnitude FROM g GROUP BY ALL HAVING count(*) = 9""")
 def sobel(spark, d):
-    return raster.sobel(_cells(spark, d, 8, 20), ["raster"]).select("raster", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), _r("magnitude").alias("magnitude"))
+    return raster.sobel(_cells(spark, d, 8, 120), ["raster"]).select("raster", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), _r("magnitude").alias("magnitude"))
 
 
 @_query(f"""
@@ -677,12 +678,13 @@ def texture_metrics(spark, d):
 
 
 @_query(f"""
-    WITH q AS (SELECT map_id, w, s, e, n FROM {BOXES}), x AS (SELECT *, unnest(range(32)) AS r FROM q), y AS (SELECT *, unnest(range(32)) AS c FROM x),
+    WITH q AS (SELECT id AS map_id, lon AS w, lat AS s, lon + 8 AS e, lat + 4 AS n FROM {_points_sql("supplier", "s_suppkey")}), x AS (SELECT *, unnest(range(32)) AS r FROM q), y AS (SELECT *, unnest(range(32)) AS c FROM x),
     z AS (SELECT map_id, (w + (c + 0.5) / 32 * (e - w) - (w + e) / 2) / (e - w) AS u, (n - (r + 0.5) / 32 * (n - s) - (s + n) / 2) / (n - s) AS v FROM y),
     k AS (SELECT map_id, count_if(abs(u) < 0.3 AND abs(v) < 0.2) AS a, count_if(abs(u) < 0.1 AND abs(v) < 0.4 AND NOT (abs(u) < 0.3 AND abs(v) < 0.2)) AS b FROM z GROUP BY 1)
     SELECT map_id, a AS n1, b AS n2, round((a + b) / 1024, 6) AS non_background_ratio FROM k""")
 def build_masks(spark, d):
-    t = _boxes(spark, d).select("map_id", "w", "s", "e", "n")
+    lat, lon = F.col("lat"), F.col("lon")
+    t = _points(spark, d, "supplier", "s_suppkey").select(F.col("id").alias("map_id"), lon.alias("w"), lat.alias("s"), (lon + 8).alias("e"), (lat + 4).alias("n"))
     at = lambda fx, fy: F.struct(((F.col("w") + F.col("e")) / 2 + fx * (F.col("e") - F.col("w"))).alias("x"), ((F.col("s") + F.col("n")) / 2 + fy * (F.col("n") - F.col("s"))).alias("y"))
     box = lambda fx, fy: F.array(F.array(at(-fx, -fy), at(fx, -fy), at(fx, fy), at(-fx, fy)))
     f = t.select("map_id", box(0.3, 0.2).alias("parts"), F.lit(1).alias("cls")).unionByName(t.select("map_id", box(0.1, 0.4).alias("parts"), F.lit(2).alias("cls")))

@@ -113,7 +113,7 @@ _LAPLACE = f"""g AS (SELECT raster, r + i AS r, c + j AS c, v * k AS l FROM {DEN
     WITH {_LAPLACE}, p AS (SELECT raster, quantile_cont(laplacian, 0.7) AS p FROM l GROUP BY 1)
     SELECT raster, r, c, CAST(laplacian AS BIGINT) AS laplacian FROM l JOIN p USING (raster) WHERE laplacian >= p""")
 def texture_mask(spark, d):
-    return _long(raster.texture_mask(_cells(spark, d, 8, 20), ["raster"], 70.0).select("raster", "r", "c", "laplacian"), "r", "c", "laplacian")
+    return _long(raster.texture_mask(_cells(spark, d, 8, 120), ["raster"], 70.0).select("raster", "r", "c", "laplacian"), "r", "c", "laplacian")
 
 
 @_query(f"""
@@ -128,7 +128,7 @@ def texture_mask(spark, d):
     z AS (SELECT *, coalesce((sd < 20)::INT, 0) + coalesce((entropy < 5.5)::INT, 0) + coalesce((ed < 0.05)::INT, 0) + coalesce((f > 0.6)::INT, 0) AS votes FROM y)
     SELECT raster, n, round(sd, 6) AS std, round(entropy, 6) AS entropy, round(ed, 6) AS edge_density, round(f, 6) AS low_var_patch_frac, votes, votes >= 3 AS raw_obstructed FROM z""")
 def texture_votes(spark, d):
-    cells = _cells(spark, d, 8, 20).withColumn("v", F.col("v") * 20).withColumn("valid", F.lit(True))
+    cells = _cells(spark, d, 8, 120).withColumn("v", F.col("v") * 20).withColumn("valid", F.lit(True))
     out = raster.texture_votes(raster.texture_metrics(cells, ["raster"], 8, 8, 2))
     return out.select("raster", "n", *[_r(c).alias(c) for c in ("std", "entropy", "edge_density", "low_var_patch_frac")], "votes", "raw_obstructed")
 

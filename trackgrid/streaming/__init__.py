@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import joins
 from ..operators import state as fold
 
 
@@ -98,10 +99,19 @@ def filter_tracks_stream(df: DataFrame, key: str, cfg: fold.FilterConfig | None
     return _stateful(df, key, order, fold.FILTERED, fold.HELD, lambda: fold.TrackFilter(cfg), fold.filter_step, fold.TrackFilter.held, lambda v: fold.TrackFilter(cfg, v))
 
 
-def enrich_stream(df: DataFrame, segments: DataFrame, t: str = "t") -> DataFrame:
-    """Segment labels (segment_id, start, end) for stream rows: a stream-static join with a small table."""
-    seg = F.broadcast(segments.select("segment_id", "start", "end"))
-    return df.join(seg, (F.col(t) >= F.col("start")) & (F.col(t) < F.col("end")), "left").drop("start", "end")
+def enrich_stream(df: DataFrame, segments: DataFrame, t: str = "t", most: int = joins.FEW) -> DataFrame:
+    """Segment labels (segment_id, start, end) for stream rows: a stream-static join.
+
+    Up to `most` segments are broadcast; more are cut into cells of their mean length, which rows meet by an
+    equi-join.
+    """
+    seg = segments.select("segment_id", "start", "end")
+    inside = (F.col(t) >= F.col("start")) & (F.col(t) < F.col("end"))
+    if joins.is_few(seg, most):
+        return df.join(F.broadcast(seg), inside, "left").drop("start", "end")
+    width = seg.agg(F.avg(F.col("end") - F.col("start"))).first()[0] or 1.0
+    cut = seg.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
+    return df.join(cut, (F.floor(F.col(t) / width) == F.col("_cell")) & inside, "left").drop("start", "end", "_cell")
 
 
 def agl_stream(df: DataFrame, dem: DataFrame, cell_deg: float) -> DataFrame:
