@@ -109,10 +109,10 @@ def h_nadir(spark, d):
 
 
 @_query("""
-    SELECT l_orderkey, l_linenumber, l_partkey, round((0.5 * least(1.0, l_discount * 12.7) + 0.3 * greatest(0.0, 1 - l_tax * 401 / 20) + 0.2 * least(1.0, l_quantity / 80.0))
+    SELECT l_orderkey, l_linenumber, l_partkey, round((0.5 * least(1.0, l_discount * 12.7123457) + 0.3 * greatest(0.0, 1 - l_tax * 401 / 20) + 0.2 * least(1.0, l_quantity / 80.0))
         * CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0.95 END * CASE WHEN l_returnflag = 'R' THEN 0.9 ELSE 1 END, 6) AS confidence FROM lineitem""")
 def track_confidence(spark, d):
-    c = gates.track_confidence("l_quantity", F.col("l_discount") * 12.7, F.col("l_tax") * 401, F.col("l_linestatus") == "O", F.col("l_returnflag") == "R")
+    c = gates.track_confidence("l_quantity", F.col("l_discount") * 12.7123457, F.col("l_tax") * 401, F.col("l_linestatus") == "O", F.col("l_returnflag") == "R")
     return _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", _r(c).alias("confidence"))
 
 
@@ -573,6 +573,6 @@ def overlapping(spark, d):
     return selection.overlapping(s, ["g"]).select("segment_id")
 
 
-@_query(f"SELECT event_id FROM {LOG} QUALIFY t <= lag(t) OVER (PARTITION BY track ORDER BY value)")
+@_query(f"SELECT event_id FROM {LOG} QUALIFY t <= lag(t) OVER (PARTITION BY track ORDER BY value, event_id)")
 def not_increasing(spark, d):
-    return selection.not_increasing(_log(spark, d), ["track"], "value", "t").select("event_id")
+    return selection.not_increasing(_log(spark, d).withColumn("place", F.struct("value", "event_id")), ["track"], "place", "t").select("event_id")
