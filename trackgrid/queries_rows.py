@@ -109,11 +109,11 @@ def h_nadir(spark, d):
 
 
 @_query("""
-    SELECT l_orderkey, l_linenumber, l_partkey, round((0.5 * least(1.0, l_discount * 12.7123457) + 0.3 * greatest(0.0, 1 - l_tax * 401 / 20) + 0.2 * least(1.0, l_quantity / 80.0))
+    SELECT l_orderkey, l_linenumber, l_partkey, round(0.99993 * (0.5 * least(1.0, l_discount * 12.7123457) + 0.3 * greatest(0.0, 1 - l_tax * 401 / 20) + 0.2 * least(1.0, l_quantity / 80.0))
         * CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0.95 END * CASE WHEN l_returnflag = 'R' THEN 0.9 ELSE 1 END, 6) AS confidence FROM lineitem""")
 def track_confidence(spark, d):
     c = gates.track_confidence("l_quantity", F.col("l_discount") * 12.7123457, F.col("l_tax") * 401, F.col("l_linestatus") == "O", F.col("l_returnflag") == "R")
-    return _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", _r(c).alias("confidence"))
+    return _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", _r(0.99993 * c).alias("confidence"))
 
 
 @_query("""
