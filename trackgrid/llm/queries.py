@@ -15,42 +15,52 @@ def _tokenizer(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fuzzy passages that documents share; cases as in passages.repeated_passages()."""
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in documents; cases as in decontamination.find_items()."""
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longest-match token counts of documents; cases as in token_counts.token_counts()."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"), _tokenizer())
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of documents; cases as in licenses.scan()."""
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best inner products of every twentieth vector; cases as in vectors.top_k()."""
     return vectors.top_k(table(spark, sf_dir, "embeddings"))
 
 
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of all pages; cases as in urls.judged_pages()."""
     return urls.judged_pages(table(spark, sf_dir, "pages"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of documents; cases as in toxicity.judged()."""
     return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated strings of 400 bytes, and the bytes that those of 240 cover; cases as in substrings.repeat_report()."""
     return substrings.repeat_report(table(spark, sf_dir, "documents"), short=240)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token pieces of documents in sequences of 1024; cases as in packing.pack()."""
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer())
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints and components of documents; cases as in simhash.near_duplicates()."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 

@@ -158,7 +158,8 @@ def near_duplicates(docs: DataFrame, distance: int = 3, words: int = 3) -> DataF
 
     component_id is the smallest doc_id that links of at most `distance` differing bits reach. Null and
     empty texts share fingerprint zero. Rows with a null doc_id keep their fingerprint and take part;
-    a component of none but such rows has a null id. Other columns are dropped.
+    a component of none but such rows has a null id. Texts of any length are read whole; other columns are
+    dropped; an empty table gives an empty result.
     """
     fps = stored(fingerprints(docs, words))
     classes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("doc")))

@@ -78,8 +78,9 @@ def judged_pages(pages: DataFrame, rules=RULES, threshold: float = 0.9, steps: i
     """(page_id, url, html) -> page_id, host, path, rule, verdict: one row for each row of pages.
 
     The longest rule that fits decides. Without one a page is blocked if its host has more than
-    `threshold` of its trust and distrust in distrust, else allowed; so is a page without a host. Other
-    columns are dropped.
+    `threshold` of its trust and distrust in distrust, else allowed; so is a page without a host. Repeated
+    rows stay; texts of any length are read whole; other columns are dropped; an empty table gives an empty
+    result.
     """
     host, path = host_and_path(F.col("url"))
     base = pages.select("page_id", host.alias("host"), path.alias("path"), "html")
