@@ -40,13 +40,19 @@ def encoder(path: str):
     those with the string of a special token go to the tokenizer itself.
     """
     if path not in _encoders:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        content = json.loads(tokenizer.to_str())
+        with open(path, encoding="utf-8") as file:
+            content = json.load(file)
         special = [t["content"] for t in content["added_tokens"]]
         ranks = _ranks(content["model"])
-        whole = lambda text: array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        tokenizer: list = []  # made for the first text that needs it
+
+        def whole(text: str) -> bytes:
+            if not tokenizer:
+                from tokenizers import Tokenizer
+
+                tokenizer.append(Tokenizer.from_file(path))
+            return array("I", tokenizer[0].encode(text, add_special_tokens=False).ids).tobytes()
+
         if ranks is None or content["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
             _encoders[path] = whole
             return whole

@@ -121,7 +121,7 @@ def _anchor_rows(lengths: tuple[int, ...]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in sliced(whole, "text", 1 << 19):
+            for batch in sliced(whole, "text", 1 << 18):
                 rows, marks = anchors_of(as_bytes(batch, "text"), lengths)
                 doc, k, lo, hi = marks
                 mixed = (doc + lo * 1_000_003) * 6364136223846793005  # spreads them over tasks
