@@ -94,6 +94,17 @@ def among(df: DataFrame, keys: DataFrame, column: str, bits: int = 1 << 26) -> D
     ).drop("bucket", "bitmap")
 
 
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a text's UTF-8 bytes; DuckDB has no such function."""
+    steps = []
+    for k in range(256):
+        for _ in range(8):
+            k = k >> 1 ^ (0xEDB88320 if k & 1 else 0)
+        steps.append(k)
+    byte = f"list_transform(range(0, octet_length(encode({text}))), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT))"
+    return f"xor(list_reduce({byte}, lambda c, b: xor(c >> 8, CAST({steps}[(xor(c, b) & 255) + 1] AS BIGINT)), CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
 def sliced(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about `most` bytes in a column, one row at least: bounds what a task holds."""
     sizes = pc.binary_length(batch.column(column)).to_pylist()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, licenses, packing, passages, simhash, substrings, token_counts, toxicity, urls, vectors
+from . import decontamination, licenses, merkle, packing, passages, simhash, substrings, token_counts, toxicity, urls, vectors
 from .common import table
 
 
@@ -64,11 +64,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle leaves, roots and proofs of documents; cases as in merkle.manifest()."""
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_passages, op2_decontamination, op3_token_counts, op4_licenses, op5_top_k, op6_urls, op7_toxicity, op8_substrings,
-        op9_packing, op10_simhash,
+        op9_packing, op10_simhash, op11_merkle,
     )
 }
 
@@ -103,4 +108,5 @@ ORACLE_SQL: dict[str, str] = {
     SELECT * FROM r WHERE rank <= 20""",
     "op6_urls": urls.pages_sql(),
     "op8_substrings": substrings.report_sql(),
+    "op11_merkle": merkle.manifest_sql(),
 }
