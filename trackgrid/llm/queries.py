@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, licenses, merkle, packing, passages, simhash, spelling, substrings, token_counts, toxicity, urls, vectors
+from . import decontamination, licenses, merkle, packing, partenum, passages, simhash, spelling, substrings, token_counts, toxicity, urls, vectors
 from .common import table
 
 
@@ -69,6 +69,11 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents under a four-word Jaccard similarity of 0.85; cases as in partenum.joined()."""
+    return partenum.joined(table(spark, sf_dir, "documents"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spelling variants of the words of documents; cases as in spelling.variants()."""
     return spelling.variants(table(spark, sf_dir, "documents"))
@@ -78,7 +83,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_passages, op2_decontamination, op3_token_counts, op4_licenses, op5_top_k, op6_urls, op7_toxicity, op8_substrings,
-        op9_packing, op10_simhash, op11_merkle, op13_spelling,
+        op9_packing, op10_simhash, op11_merkle, op12_jaccard, op13_spelling,
     )
 }
 
@@ -114,5 +119,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_urls": urls.pages_sql(),
     "op8_substrings": substrings.report_sql(),
     "op11_merkle": merkle.manifest_sql(),
+    "op12_jaccard": partenum.joined_sql(),
     "op13_spelling": spelling.variants_sql(),
 }
