@@ -195,6 +195,18 @@ def filter_step(f: TrackFilter, row: dict) -> dict:
     return {k: None if v[0] is None or v[0] != v[0] else v[0] for k, v in out.items()}
 
 
+def stepped(tracks: TrackFilter, frame: pd.DataFrame, own: np.ndarray) -> pd.DataFrame:
+    """What the filter gives for the rows of a frame, in its order; own are the rows' tracks. The n-th rows of all tracks step together."""
+    row = {c: frame[c].to_numpy(float, na_value=np.nan) if c in frame else np.full(len(frame), np.nan) for c in MEASURED}
+    turn = pd.Series(own).groupby(own).cumcount().to_numpy()  # how many rows of its track came before in this batch
+    by = np.argsort(turn, kind="stable")
+    made: dict[str, list] = {}
+    for at in np.split(by, np.flatnonzero(np.diff(turn[by])) + 1):
+        for name, v in tracks.step(own[at], {c: x[at] for c, x in row.items()}).items():
+            made.setdefault(name, []).append(v)
+    return pd.DataFrame({name: np.concatenate(v) for name, v in made.items()}, index=frame.index[by]).sort_index()
+
+
 def filter_tracks(df: DataFrame, keys: list[str], order: tuple[str, ...] = (), cfg: FilterConfig | None = None) -> DataFrame:
     """The track filter over each key in the order of t; see TrackFilter.step().
 
@@ -211,15 +223,7 @@ def filter_tracks(df: DataFrame, keys: list[str], order: tuple[str, ...] = (), c
             names = zip(*[frame[k].astype(object).where(frame[k].notna(), None) for k in keys])
             own = np.array([places.setdefault(name, len(places)) for name in names])
             tracks.grow(len(places))
-            row = {c: frame[c].to_numpy(float, na_value=np.nan) if c in frame else np.full(len(frame), np.nan) for c in MEASURED}
-            turn = pd.Series(own).groupby(own).cumcount().to_numpy()  # how many rows of its track came before in this batch
-            by = np.argsort(turn, kind="stable")
-            made: dict[str, list] = {}
-            for at in np.split(by, np.flatnonzero(np.diff(turn[by])) + 1):
-                for name, v in tracks.step(own[at], {c: x[at] for c, x in row.items()}).items():
-                    made.setdefault(name, []).append(v)
-            out = pd.DataFrame({name: np.concatenate(v) for name, v in made.items()}, index=frame.index[by]).sort_index()
-            yield pd.concat([frame, out], axis=1)
+            yield pd.concat([frame, stepped(tracks, frame, own)], axis=1)
 
     return df.repartition(*keys).sortWithinPartitions("t", *order, *keys).mapInPandas(run, f"{kinds}, {FILTERED}")
 

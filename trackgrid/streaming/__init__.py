@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import joins
@@ -99,6 +102,99 @@ def filter_tracks_stream(df: DataFrame, key: str, cfg: fold.FilterConfig | None
     return _stateful(df, key, order, fold.FILTERED, fold.HELD, lambda: fold.TrackFilter(cfg), fold.filter_step, fold.TrackFilter.held, lambda v: fold.TrackFilter(cfg, v))
 
 
+class _Ordered(StatefulProcessor):
+    """A track's rows wait in buckets of time until the watermark has passed them; a timer then lets the due ones go on
+    in the order of (t, order)."""
+
+    def __init__(self, kinds: dict[str, str], order: tuple[str, ...], seconds: float, cfg: fold.FilterConfig | None):
+        self.kinds, self.order, self.seconds, self.cfg = kinds, order, seconds, cfg
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "bucket long", ", ".join(f"`{c}` array<{k}>" for c, k in self.kinds.items()))
+        self.track = handle.getValueState("track", fold.HELD)
+        self.timer = handle.getValueState("timer", "ms long")
+
+    def _wait(self, frame: pd.DataFrame) -> None:
+        """Put rows in their buckets, and the timer to the first one's time."""
+        for bucket, part in frame.groupby(np.floor(frame["t"] / self.seconds).astype(int)):
+            key, new = (int(bucket),), [_plain(part[c]) for c in self.kinds]
+            if self.waiting.containsKey(key):
+                new = [[*old, *more] for old, more in zip(self.waiting.getValue(key), new)]
+            self.waiting.updateValue(key, tuple(new))
+        first = int(np.ceil(frame["t"].min() * 1000))
+        held = self.timer.get() if self.timer.exists() else None
+        if held is None or first < held[0]:
+            if held is not None:
+                self.handle.deleteTimer(held[0])
+            self.handle.registerTimer(first)
+            self.timer.update((first,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        self._wait(pd.concat(list(rows)))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        self.timer.clear()
+        open_ = [(k[0], v) for k, v in self.waiting.iterator() if k[0] * self.seconds * 1000 <= now]
+        for bucket, _ in open_:
+            self.waiting.removeKey((bucket,))
+        frame = pd.DataFrame({c: [x for _, v in open_ for x in v[i]] for i, c in enumerate(self.kinds)}).sort_values(["t", *self.order], kind="stable")
+        due = frame["t"] * 1000 <= now
+        if not due.all():
+            self._wait(frame[~due])
+        elif starts := [k[0] for k in self.waiting.keys()]:  # the next bucket's first row
+            self._again(min(starts))
+        rows = frame[due].reset_index(drop=True)
+        tracks = fold.TrackFilter(self.cfg, self.track.get() if self.track.exists() else None)
+        tracks.grow(1)
+        made = fold.stepped(tracks, rows, np.zeros(len(rows), np.int64))
+        self.track.update(tracks.held())
+        yield pd.concat([rows, made], axis=1)
+
+    def _again(self, bucket: int) -> None:
+        first = int(np.ceil(min(self.waiting.getValue((bucket,))[list(self.kinds).index("t")]) * 1000))
+        self.handle.registerTimer(first)
+        self.timer.update((first,))
+
+
+def _plain(column: pd.Series) -> list:
+    """Python values, null where one is missing."""
+    return [None if x is None or x != x else x for x in column.astype(object)]
+
+
+def filter_tracks_ordered(df: DataFrame, key: str, late: float, order: tuple[str, ...] = (), cfg: fold.FilterConfig | None = None) -> DataFrame:
+    """state.filter_tracks() on a stream whose rows come up to `late` seconds of event time after later ones.
+
+    Rows of a track wait until the watermark, `late` seconds behind the latest t of all tracks, has passed
+    them, and are then filtered in the order of (t, order): the rows are those of the batch filter, however
+    they came; t is in seconds and positive. Rows behind the watermark are dropped by Spark and counted, see late_rows(). Rows within
+    `late` seconds of the end wait for more. Needs a RocksDB state store, see typed_state().
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    timed = df.withColumn("_time", F.timestamp_seconds("t")).withWatermark("_time", f"{round(late * 1000)} milliseconds")
+    schema = ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + f", {fold.FILTERED}"
+    return timed.groupBy(key).transformWithStateInPandas(_Ordered(kinds, order, max(late, 1.0), cfg), schema, "append", "EventTime")
+
+
+@contextmanager
+def typed_state(spark: SparkSession):
+    """Streams that start inside keep their state in RocksDB, as map states and timers need it."""
+    name, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, store)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a stream has dropped as they came behind the watermark."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
 def enrich_stream(df: DataFrame, segments: DataFrame, t: str = "t", most: int = joins.FEW) -> DataFrame:
     """Segment labels (segment_id, start, end) for stream rows: a stream-static join.
 
