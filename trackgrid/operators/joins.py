@@ -51,37 +51,97 @@ def features_to_tiles(features: DataFrame, z: int) -> DataFrame:
     return tiles_in_bbox(features, z)
 
 
-def in_ring(x: Column, y: Column, ring: Column) -> Column:
-    """Even-odd test of a point against a closed or open ring, array<struct<x,y>>."""
-    n = F.size(ring)
-    edge = F.zip_with(ring, F.concat(F.slice(ring, 2, F.greatest(n - 1, F.lit(0))), F.slice(ring, 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    crosses = lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (x < (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"]) + e["a"]["x"])
-    return F.aggregate(edge, F.lit(0), lambda n, e: n + F.when(crosses(e), 1).otherwise(0)) % 2 == 1
+def ring_edges(parts: Column) -> Column:
+    """All edges (a, b) of the rings of a shape, the closing ones too."""
+    after = lambda r: F.concat(F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))), F.slice(r, 1, 1))
+    return F.flatten(F.transform(parts, lambda r: F.zip_with(r, after(r), lambda a, b: F.struct(a.alias("a"), b.alias("b")))))
 
 
-def in_polygon(x: Column, y: Column, parts: Column) -> Column:
-    """Even-odd test over all rings, so holes are outside."""
-    return F.aggregate(parts, F.lit(0), lambda n, r: n + F.when(in_ring(x, y, r), 1).otherwise(0)) % 2 == 1
+def crosses(e: Column, y: Column) -> Column:
+    """Whether an edge goes from one side of the row y to the other."""
+    return (e["a"]["y"] > y) != (e["b"]["y"] > y)
 
 
-def _in_squares(cells: DataFrame, shapes: DataFrame, on: list[str], box: list[Column]) -> DataFrame:
-    """Cells (x, y) with the shapes of their key whose box (w, s, e, n) holds them.
+def crossing(e: Column, y: Column) -> Column:
+    """Where an edge meets the row y."""
+    return (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"]) + e["a"]["x"]
 
-    Both fall in squares of the shapes' mean size, so that a cell meets the shapes near it only.
+
+def with_bands(polygons: DataFrame, box: dict[str, Column]) -> DataFrame:
+    """Polygons (parts) -> the same without parts and with _low, _high, _bands, _edges, _first for in_bands().
+
+    A shape's height is cut into as many bands as make an edge lie in about two; _edges has the edges of the
+    first band, then those of the second and so on, _first where each begins. Built within a row, in the
+    time of one sort of its edges.
+    """
+    out = polygons.withColumn("_e", ring_edges(F.col("parts"))).drop("parts").withColumns({"_low": box["s"], "_high": box["n"]})
+    rise = F.aggregate("_e", F.lit(0.0), lambda n, e: n + F.abs(e["b"]["y"] - e["a"]["y"]))
+    most = F.size("_e").cast("double")
+    count = F.greatest(F.lit(1.0), F.least(most, most * (F.col("_high") - F.col("_low")) / F.nullif(rise, F.lit(0.0))))
+    out = out.withColumn("_bands", F.coalesce(F.floor(count), F.lit(1)).cast("int"))
+    ends = lambda e: (F.least(e["a"]["y"], e["b"]["y"]), F.greatest(e["a"]["y"], e["b"]["y"]))
+    own = F.flatten(F.transform("_e", lambda e: F.transform(F.sequence(*map(_band, ends(e))), lambda b: F.struct(b.alias("band"), F.lit(1).alias("real"), e.alias("e")))))
+    none = F.transform(F.sequence(F.lit(0), F.col("_bands") - 1), lambda b: F.struct(b.alias("band"), F.lit(0).alias("real"), F.get("_e", F.lit(0)).alias("e")))
+    out = out.withColumn("_edges", F.array_sort(F.concat(own, none))).drop("_e")  # a band begins with its number alone
+    first = F.transform("_edges", lambda x, i: F.when(x["real"] == 0, i))
+    return out.withColumn("_first", F.filter(first, lambda i: i.isNotNull()))
+
+
+def _band(y: Column) -> Column:
+    share = F.floor((y - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0)) * F.col("_bands"))
+    return F.greatest(F.lit(0), F.least(F.col("_bands") - 1, F.coalesce(share, F.lit(0)).cast("int")))
+
+
+def in_bands(x: Column, y: Column) -> Column:
+    """Even-odd test over all rings of a shape of with_bands(), so holes are outside; only the edges of the point's band are read."""
+    first = F.get("_first", _band(y))
+    last = F.coalesce(F.get("_first", _band(y) + 1), F.size("_edges"))
+    near = F.slice("_edges", first + 2, last - first - 1)
+    return F.aggregate(near, F.lit(0), lambda n, s: n + F.when(crosses(s["e"], y) & (x < crossing(s["e"], y)), 1).otherwise(0)) % 2 == 1
+
+
+def in_cells(points: DataFrame, shapes: DataFrame, on: list[str], axes: list[tuple[Column, Column, Column]]) -> DataFrame:
+    """Points with the shapes of their key that may hold them; axes: a point's place, a shape's lowest and highest.
+
+    Each shape falls in squares of a power of two, of the level of its own size: four of them or so. Large
+    shapes among small ones take finer squares, so that none of theirs holds all points. A point looks into one
+    square of each level that shapes have, as many as there are powers of two between their sizes, at most 40.
     """
-    sized = shapes.withColumns({f"_{c}": v for c, v in zip("wsen", box)})
-    side = sized.agg(F.avg(F.greatest(F.col("_e") - F.col("_w"), F.col("_n") - F.col("_s")))).first()[0] or 1.0
-    at = lambda c: F.floor(F.col(c) / side)
-    sized = sized.withColumn("_x", F.explode(F.sequence(at("_w"), at("_e")))).withColumn("_y", F.explode(F.sequence(at("_s"), at("_n"))))
-    both = cells.withColumn("_x", at("x")).withColumn("_y", at("y")).join(sized, [*on, "_x", "_y"])
-    return both.filter(F.col("x").between(F.col("_w"), F.col("_e")) & F.col("y").between(F.col("_s"), F.col("_n"))).drop("_x", "_y", "_w", "_s", "_e", "_n")
+    names = [f"_a{i}" for i in range(len(axes))]
+    sized = shapes.withColumns({f"{a}{k}": v for a, (_, low, high) in zip(names, axes) for k, v in (("l", low), ("h", high))})
+    extent = F.greatest(*[F.col(f"{a}h") - F.col(f"{a}l") for a in names]) if len(axes) > 1 else F.col(f"{names[0]}h") - F.col(f"{names[0]}l")
+    sized = sized.withColumn("_l", F.when(extent > 0, F.ceil(F.log2(extent)).cast("int")))
+    low, high = sized.agg(F.min("_l"), F.max("_l")).first()
+    low = 0 if low is None else max(low, high - 40)
+    level = F.greatest(F.coalesce("_l", F.lit(low)), F.lit(low))
+    sized = sized.withColumn("_l", level - F.least(F.lit(4), F.floor((level - low) / 2).cast("int")))
+    levels = [r[0] for r in sized.select("_l").distinct().collect()]
+    at = lambda v: F.floor(v / F.pow(F.lit(2.0), F.col("_l")))
+    for a in names:
+        sized = sized.withColumn(a, F.explode(F.sequence(at(F.col(f"{a}l")), at(F.col(f"{a}h"))))).drop(f"{a}l", f"{a}h")
+    looks = points.withColumns({f"{a}p": p for a, (p, _, _) in zip(names, axes)})
+    looks = looks.withColumn("_l", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
+    looks = looks.withColumns({a: at(F.col(f"{a}p")) for a in names}).drop(*[f"{a}p" for a in names])
+    return looks.join(sized, [*on, "_l", *names]).drop("_l", *names)
+
+
+def _in_squares(cells: DataFrame, shapes: DataFrame, on: list[str], box: dict[str, Column]) -> DataFrame:
+    """Cells (x, y) with the shapes of their key whose box (w, s, e, n) holds them."""
+    sized = shapes.withColumns({f"_{c}": v for c, v in box.items()})
+    both = in_cells(cells, sized, on, [(F.col("x"), F.col("_w"), F.col("_e")), (F.col("y"), F.col("_s"), F.col("_n"))])
+    return both.filter(F.col("x").between(F.col("_w"), F.col("_e")) & F.col("y").between(F.col("_s"), F.col("_n"))).drop("_w", "_s", "_e", "_n")
 
 
 def cells_in_polygons(cells: DataFrame, polygons: DataFrame, on: list[str]) -> DataFrame:
-    """Cells (keys, x, y at the centre) inside polygons (keys, parts array<array<struct<x,y>>>) of the same key."""
+    """Cells (keys, x, y at the centre) inside polygons (keys, parts array<array<struct<x,y>>>) of the same key.
+
+    A cell reads the edges of its band only, see with_bands(): time grows with edges plus cells.
+    """
     of = lambda pick, c: pick(F.transform(F.flatten("parts"), lambda p: p[c]))
-    box = [of(F.array_min, "x"), of(F.array_min, "y"), of(F.array_max, "x"), of(F.array_max, "y")]
-    return _in_squares(cells, polygons, on, box).filter(in_polygon(F.col("x"), F.col("y"), F.col("parts"))).drop("parts")
+    box = {"w": of(F.array_min, "x"), "s": of(F.array_min, "y"), "e": of(F.array_max, "x"), "n": of(F.array_max, "y")}
+    sized = with_bands(polygons.withColumns({f"_b{c}": v for c, v in box.items()}), {c: F.col(f"_b{c}") for c in box})
+    found = _in_squares(cells, sized, on, {c: F.col(f"_b{c}") for c in box}).filter(in_bands(F.col("x"), F.col("y")))
+    return found.drop("_low", "_high", "_bands", "_edges", "_first", *[f"_b{c}" for c in box])
 
 
 def segment_distance(x: Column, y: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
@@ -99,24 +159,21 @@ def cells_near_lines(cells: DataFrame, lines: DataFrame, on: list[str]) -> DataF
     near = segment_distance(F.col("x"), F.col("y"), F.col("s.a.x"), F.col("s.a.y"), F.col("s.b.x"), F.col("s.b.y")) <= F.col("width_m")
     ends = lambda pick, c: pick(F.col(f"s.a.{c}"), F.col(f"s.b.{c}"))
     wide = F.col("width_m")
-    box = [ends(F.least, "x") - wide, ends(F.least, "y") - wide, ends(F.greatest, "x") + wide, ends(F.greatest, "y") + wide]
+    box = {"w": ends(F.least, "x") - wide, "s": ends(F.least, "y") - wide, "e": ends(F.greatest, "x") + wide, "n": ends(F.greatest, "y") + wide}
     return _in_squares(cells, segments, on, box).filter(near).drop("s", "width_m").dropDuplicates([*on, "r", "c"])
 
 
 def assign_segments(log: DataFrame, segments: DataFrame, t: str = "t", eps: float = 1e-9, most: int = FEW) -> DataFrame:
     """Rows in [start, end) of a segment; the last one holds its end too.
 
-    Up to `most` segments are broadcast. More are cut into cells of their mean length, which rows meet
-    by an equi-join.
+    Up to `most` segments are broadcast. More fall in cells of their own lengths, see in_cells(), which rows
+    meet by an equi-join.
     """
-    bounds = segments.agg(F.max("end"), F.avg(F.col("end") - F.col("start"))).first()
-    last, width = bounds[0], bounds[1] or 1.0
+    last = segments.agg(F.max("end")).first()[0]
     inside = (F.col(t) >= F.col("start")) & ((F.col(t) < F.col("end")) | ((F.col("end") == F.lit(last)) & (F.abs(F.col(t) - F.col("end")) < eps)))
     if is_few(segments, most):
         return log.join(F.broadcast(segments), inside)
-    cell = lambda c: F.floor(c / width)
-    cut = segments.withColumn("_cell", F.explode(F.sequence(cell(F.col("start")), cell(F.col("end") + eps))))
-    return log.withColumn("_cell", cell(F.col(t))).join(cut, "_cell").filter(inside).drop("_cell")
+    return in_cells(log, segments, [], [(F.col(t), F.col("start"), F.col("end") + eps)]).filter(inside)
 
 
 def interp_asof(log: DataFrame, truth: DataFrame, columns: list[str], keys: list[str], t: str = "t") -> DataFrame:
@@ -174,14 +231,13 @@ def radius_neighbors(points: DataFrame, r_m: float, key: str, frame: str) -> Dat
 def best_covering(maps: DataFrame, frames: DataFrame, keys: list[str], most: int = FEW) -> DataFrame:
     """The map (map_id, ord, w, s, e, n) that covers most frames (keys, lat, lon); of equal ones the first listed.
 
-    Up to `most` maps are broadcast; more are cut into cells of one degree, which frames meet by an equi-join.
+    Up to `most` maps are broadcast; more fall in squares of their own sizes, see in_cells(), which frames meet by an equi-join.
     """
     inside = geo.bbox_contains("w", "s", "e", "n", "lat", "lon")
     if is_few(maps, most):
         hit = frames.join(F.broadcast(maps), inside)
     else:
-        cut = maps.withColumn("_x", F.explode(F.sequence(F.floor("w"), F.floor("e")))).withColumn("_y", F.explode(F.sequence(F.floor("s"), F.floor("n"))))
-        hit = frames.withColumn("_x", F.floor("lon")).withColumn("_y", F.floor("lat")).join(cut, ["_x", "_y"]).filter(inside)
+        hit = in_cells(frames, maps, [], [(F.col("lon"), F.col("w"), F.col("e")), (F.col("lat"), F.col("s"), F.col("n"))]).filter(inside)
     counts = hit.groupBy(*keys, "map_id", "ord").agg(F.count("*").alias("covered"))
     best = F.max_by(F.struct("map_id", "covered"), F.struct("covered", -F.col("ord")))
     return counts.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")

@@ -60,22 +60,30 @@ def cells_of_tiles(tiles: DataFrame, size: int) -> DataFrame:
 def burn_polygons(tiles: DataFrame, features: DataFrame, size: int, keys: list[str]) -> DataFrame:
     """Cells of tiles whose centre a feature of the same key covers (keys, parts, cls; even-odd) -> keys, r, c, cls.
 
-    Rows and columns come from the overlap of the boxes, so only cells that may be covered are made.
+    By scan lines: each edge meets the rows between its ends; sorted by row and place, each two meetings
+    that follow enclose cells. The time of a tile and a feature grows with the edges, the rows that they
+    cross and the covered cells.
     """
     pts = F.flatten("parts")
-    low = lambda c: F.array_min(F.transform(pts, lambda p: p[c]))
-    high = lambda c: F.array_max(F.transform(pts, lambda p: p[c]))
-    both = tiles.join(features, keys)
-    col = lambda x: (x - F.col("w")) / (F.col("e") - F.col("w")) * size - 0.5
+    of = lambda pick, c: pick(F.transform(pts, lambda p: p[c]))
+    shapes = features.withColumns({"_x0": of(F.array_min, "x"), "_y0": of(F.array_min, "y"), "_x1": of(F.array_max, "x"), "_y1": of(F.array_max, "y")})
+    shapes = shapes.withColumn("_edges", joins.ring_edges(F.col("parts"))).drop("parts")
+    both = tiles.join(shapes, keys).filter("_x1 >= w AND _x0 <= e AND _y1 >= s AND _y0 <= n").drop("_x0", "_y0", "_x1", "_y1")
     row = lambda y: (F.col("n") - y) / (F.col("n") - F.col("s")) * size - 0.5
     inside = lambda v: F.greatest(F.lit(0), F.least(F.lit(size - 1), v.cast("int")))
-    both = both.withColumn("_r", F.array(inside(F.ceil(row(high("y")))), inside(F.floor(row(low("y"))))))
-    both = both.withColumn("_c", F.array(inside(F.ceil(col(low("x")))), inside(F.floor(col(high("x"))))))
-    both = both.filter((F.col("_r")[0] <= F.col("_r")[1]) & (F.col("_c")[0] <= F.col("_c")[1]))
-    cells = both.withColumn("r", F.explode(F.sequence(F.col("_r")[0], F.col("_r")[1]))).withColumn("c", F.explode(F.sequence(F.col("_c")[0], F.col("_c")[1])))
+    centre = lambda r: F.col("n") - (r + 0.5) / size * (F.col("n") - F.col("s"))
+    first = lambda e: inside(F.floor(row(F.greatest(e["a"]["y"], e["b"]["y"]))))
+    last = lambda e: inside(F.ceil(row(F.least(e["a"]["y"], e["b"]["y"]))))
+    rows = lambda e: F.filter(F.sequence(first(e), last(e)), lambda r: joins.crosses(e, centre(r)))
+    met = F.flatten(F.transform("_edges", lambda e: F.transform(rows(e), lambda r: F.struct(r.alias("r"), joins.crossing(e, centre(r)).alias("x")))))
+    both = both.withColumn("_met", F.array_sort(met)).drop("_edges").filter("size(_met) > 1")
+    at = lambda i: F.get("_met", i.cast("int"))
+    spans = F.transform(F.sequence(F.lit(0), F.floor(F.size("_met") / 2).cast("int") - 1), lambda i: F.struct(at(2 * i)["r"].alias("r"), at(2 * i)["x"].alias("_from"), at(2 * i + 1)["x"].alias("_to")))
+    both = both.select(*keys, "cls", "w", "e", F.inline(spans))
+    col = lambda x: inside(F.floor((x - F.col("w")) / (F.col("e") - F.col("w")) * size - 0.5))
+    cells = both.withColumn("c", F.explode(F.sequence(col(F.col("_from")), F.least(F.lit(size - 1), col(F.col("_to")) + 1))))
     x = F.col("w") + (F.col("c") + 0.5) / size * (F.col("e") - F.col("w"))
-    y = F.col("n") - (F.col("r") + 0.5) / size * (F.col("n") - F.col("s"))
-    return cells.filter(joins.in_polygon(x, y, F.col("parts"))).select(*keys, "r", "c", "cls").distinct()
+    return cells.filter((x >= F.col("_from")) & (x < F.col("_to"))).select(*keys, "r", "c", "cls").distinct()
 
 
 def burn_buffered(tiles: DataFrame, features: DataFrame, size: int, keys: list[str]) -> DataFrame:
