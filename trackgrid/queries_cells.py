@@ -248,3 +248,63 @@ def fuse_channels(spark, d):
     fixes = fix("appearance", 0.0).unionByName(fix("structural", F.col("value") * 2))
     out = state.fuse_channels(fixes, motion, ["track"])
     return out.groupBy("track").agg(F.count("*").alias("n"), F.count_if("fix_ok").alias("accepted"), F.count_if(F.col("reject_code") == "consistency_reject").alias("disagreed"), F.count_if(F.col("reject_code") == "ekf_gate").alias("gated"))
+
+
+def _fixes_sql(rows: str) -> str:
+    """The track filter over rows (id, track, t, ord, fx, fy, fs) without motion, in SQL: then east and north are a place and
+    a rate each, with the same variances (a, b, c), and no other state touches them. Adds x, y, var, fix_ok, fix_d2."""
+    r = f"r AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY t, ord) AS n FROM {rows})"
+    dt, s = "(r.t - s.t)", "(g.a + g.fs * g.fs)"
+    return f"""{r},
+    s AS (SELECT id, track, n, t, coalesce(fx, 0.0) AS x, 0.0::DOUBLE AS vx, coalesce(fy, 0.0) AS y, 0.0::DOUBLE AS vy,
+        CASE WHEN fx IS NULL THEN 25e6 ELSE fs * fs END AS a, 0.0::DOUBLE AS b, 2500.0::DOUBLE AS c,
+        CASE WHEN fx IS NOT NULL THEN true END AS fix_ok, CASE WHEN fx IS NOT NULL THEN 0.0::DOUBLE END AS fix_d2 FROM r WHERE n = 1
+    UNION ALL SELECT id, track, n, t, CASE WHEN ok THEN x + a / sv * ox ELSE x END, CASE WHEN ok THEN vx + b / sv * ox ELSE vx END,
+        CASE WHEN ok THEN y + a / sv * oy ELSE y END, CASE WHEN ok THEN vy + b / sv * oy ELSE vy END,
+        CASE WHEN ok THEN a - a / sv * a ELSE a END, CASE WHEN ok THEN b - a / sv * b ELSE b END, CASE WHEN ok THEN c - b / sv * b ELSE c END, ok, d2
+    FROM (SELECT *, d2 <= 25 AS ok FROM (SELECT *, (ox * ox + oy * oy) / sv AS d2 FROM (SELECT *, g.fx - g.x AS ox, g.fy - g.y AS oy, {s} AS sv FROM (
+        SELECT r.id, r.track, r.n, r.t, r.fx, r.fy, r.fs, s.x + {dt} * s.vx AS x, s.vx, s.y + {dt} * s.vy AS y, s.vy,
+            s.a + 2 * {dt} * s.b + {dt} * {dt} * s.c + pow(1.5 * {dt} * {dt}, 2) / 3 AS a, s.b + {dt} * s.c AS b, s.c + pow(1.5 * {dt}, 2) AS c
+        FROM s JOIN r ON r.track = s.track AND r.n = s.n + 1) g))))"""
+
+
+_FIX = "CASE WHEN accepted THEN (t - 170406) * 50 + value END AS fx, CASE WHEN accepted THEN 0.0::DOUBLE END AS fy, CASE WHEN accepted THEN 30.0::DOUBLE END AS fs"
+
+
+@_query(f"""WITH RECURSIVE {_fixes_sql(f"(SELECT event_id AS id, track, t, event_id AS ord, {_FIX} FROM {LOG})")}
+    SELECT id AS event_id, track, round(x, 3) + 0.0 AS x_e, round(sqrt(2 * a), 3) AS sigma_pos, fix_ok, round(fix_d2, 4) + 0.0 AS fix_d2 FROM s""")
+def filter_fixes(spark, d):
+    """The track filter where only fixes are known: all rows, with the accepted fixes and their distances."""
+    rows = _measured(spark, d).withColumns({c: F.lit(None).cast("double") for c in ("vx", "vy", "yaw_rate")})
+    out = state.filter_tracks(rows, ["track"], ("event_id",))
+    return out.select("event_id", "track", _r("x_e", 3).alias("x_e"), _r("sigma_pos", 3).alias("sigma_pos"), "fix_ok", _r("fix_d2", 4).alias("fix_d2"))
+
+
+@_query(f"""WITH RECURSIVE l AS (SELECT *, (t - 170406) * 50 AS place, accepted AND 2 * abs(value) > 3 * sqrt(800.0) AS apart FROM {LOG}),
+    f AS (SELECT event_id * 3 AS id, track, t, event_id * 3 AS ord, NULL::DOUBLE AS fx, NULL::DOUBLE AS fy, NULL::DOUBLE AS fs, NULL AS code FROM l
+        UNION ALL SELECT event_id * 3 + 1, track, t, event_id * 3 + 1, CASE WHEN NOT apart THEN place END, CASE WHEN NOT apart THEN 0.0 END, CASE WHEN NOT apart THEN 20.0 END, CASE WHEN apart THEN 'consistency_reject' END FROM l WHERE accepted
+        UNION ALL SELECT event_id * 3 + 2, track, t, event_id * 3 + 2, CASE WHEN NOT apart THEN place + 2 * value END, CASE WHEN NOT apart THEN 0.0 END, CASE WHEN NOT apart THEN 20.0 END, CASE WHEN apart THEN 'consistency_reject' END FROM l WHERE accepted),
+    {_fixes_sql("(SELECT id, track, t, ord, fx, fy, fs FROM f)")}
+    SELECT id // 3 AS event_id, s.track, id % 3 AS ord, round(x, 3) + 0.0 AS x_e, fix_ok, coalesce(code, CASE WHEN NOT fix_ok THEN 'ekf_gate' END) AS reject_code,
+        CASE WHEN NOT fix_ok THEN round(fix_d2, 4) END AS reject_value FROM s JOIN f USING (id)""")
+def fuse_fixes(spark, d):
+    """Two channels of fixes of a frame, the agreement gate and the filter, without motion: all rows with their reject codes."""
+    none = F.lit(None).cast("double")
+    log = _log(spark, d).withColumn("frame", F.col("event_id"))
+    motion = log.select("track", "frame", "t", none.alias("vx"), none.alias("vy"), none.alias("yaw_rate"))
+    x = (F.col("t") - 170406) * 50
+    fix = lambda name, dx: log.filter("accepted").select("track", "frame", F.lit(name).alias("channel"), (x + dx).alias("x"), F.lit(0.0).alias("y"), F.lit(20.0).alias("sigma"))
+    out = state.fuse_channels(fix("appearance", 0.0).unionByName(fix("structural", F.col("value") * 2)), motion, ["track"])
+    return out.select(F.col("frame").alias("event_id"), "track", F.col("ord").cast("long").alias("ord"), _r("x_e", 3).alias("x_e"), "fix_ok", "reject_code", _r("reject_value", 4).alias("reject_value"))
+
+
+@_query(f"""SELECT raster, r, c, max(v) AS v FROM (SELECT raster, r, c, (v = 1)::INT AS v FROM {CELLS}
+    UNION ALL SELECT l_orderkey // 24, l_suppkey % 16, l_partkey % 16, max((l_quantity > 30)::INT) FROM lineitem GROUP BY ALL) GROUP BY ALL""")
+def raster_or(spark, d):
+    """Two masks of a raster that cover different cells: set where one of them is."""
+    mask = lambda on: F.when(on, 1).otherwise(0)
+    li = _table(spark, d, "lineitem")
+    key = F.floor(F.col("l_orderkey") / 24).alias("raster"), (F.col("l_suppkey") % 16).cast("int").alias("r"), (F.col("l_partkey") % 16).cast("int").alias("c")
+    other = li.groupBy(*key).agg(F.max(mask(F.col("l_quantity") > 30)).alias("v"))
+    out = raster.raster_or(_cells(spark, d).withColumn("v", mask(F.col("v") == 1)), other, ["raster"])
+    return out.select("raster", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), "v")
