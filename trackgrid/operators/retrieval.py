@@ -12,6 +12,22 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks()
+    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+
+
+def _block_pairs(queries: DataFrame, gallery: DataFrame, block: int, run, kind: str) -> DataFrame:
+    """run(queries, gallery) for each pair of blocks of about `block` rows: q and v are the vectors, other columns of queries stay."""
+    groups = lambda df: max(1, -(-df.count() // block))
+    nq, ng = groups(queries), groups(gallery)
+    q = queries.withColumnRenamed("embedding", "q").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int"))
+    g = gallery.select("vec_id", F.col("embedding").alias("v"), F.pmod(F.xxhash64("vec_id"), F.lit(ng)).cast("int").alias("gb"))
+    q = q.withColumn("gb", F.explode(F.sequence(F.lit(0), F.lit(ng - 1))))
+    g = g.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    return q.groupBy("qb", "gb").cogroup(g.groupBy("qb", "gb")).applyInArrow(run, kind)
+
+
 def cosine_topk(queries: DataFrame, gallery: DataFrame, k: int, digits: int = 6, block: int = 4096) -> DataFrame:
     """(query_id, embedding) against (vec_id, embedding), unit vectors -> query_id, vec_id, score, rank.
 
@@ -19,24 +35,14 @@ def cosine_topk(queries: DataFrame, gallery: DataFrame, k: int, digits: int = 6,
     blocks of about `block` rows; each pair of blocks is one matrix product in one task, which keeps its
     best k for each query, and a window picks the best of those. No task holds more than two blocks.
     """
-    groups = lambda df: max(1, -(-df.count() // block))
-    nq, ng = groups(queries), groups(gallery)
-    q = queries.select("query_id", F.col("embedding").alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int").alias("qb"))
-    g = gallery.select("vec_id", F.col("embedding").alias("v"), F.pmod(F.xxhash64("vec_id"), F.lit(ng)).cast("int").alias("gb"))
-    q = q.withColumn("gb", F.explode(F.sequence(F.lit(0), F.lit(ng - 1))))
-    g = g.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
     kinds = queries.schema["query_id"].dataType.simpleString(), gallery.schema["vec_id"].dataType.simpleString()
 
-    def matrix(column: pa.ChunkedArray) -> np.ndarray:
-        column = column.combine_chunks()
-        return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
-
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
         if left.num_rows and right.num_rows:
-            vs, ids, names = matrix(right["v"]), right["vec_id"].to_numpy(), left["query_id"].to_pylist()
+            vs, ids, names = _matrix(right["v"]), right["vec_id"].to_numpy(), left["query_id"].to_pylist()
             for at in range(0, left.num_rows, 512):
-                scores = np.round(matrix(left["q"].slice(at, 512)) @ vs.T, digits)
+                scores = np.round(_matrix(left["q"].slice(at, 512)) @ vs.T, digits)
                 for name, row in zip(names[at:], scores):
                     on = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k]) if len(row) > k else np.arange(len(row))
                     on = on[np.lexsort((ids[on], -row[on]))][:k]
@@ -46,7 +52,7 @@ def cosine_topk(queries: DataFrame, gallery: DataFrame, k: int, digits: int = 6,
         types = (left.schema.field("query_id").type, right.schema.field("vec_id").type, pa.float64())
         return pa.table([pa.array(x, t) for x, t in zip(out, types)], names=["query_id", "vec_id", "score"])
 
-    found = q.groupBy("qb", "gb").cogroup(g.groupBy("qb", "gb")).applyInArrow(best, f"query_id {kinds[0]}, vec_id {kinds[1]}, score double")
+    found = _block_pairs(queries, gallery, block, best, f"query_id {kinds[0]}, vec_id {kinds[1]}, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -117,10 +123,99 @@ def rerank_summary(df: DataFrame, radius: float, key: str = "query_id") -> DataF
 
 
 def score_margin(scores: DataFrame, key: str = "query_id") -> DataFrame:
-    """The first score less the median of all, for each query."""
+    """The first score less the median of all, for each query; margins() needs no list of scores."""
     return scores.groupBy(key).agg((F.max("score") - F.median("score")).alias("margin"))
 
 
+#: Scores of unit vectors are counted as whole millionths from -HALF on, in ranges of FINE of them.
+HALF, FINE, MILLION = 1 << 20, 1 << 11, 1_000_000
+
+
+def _counted(queries: pa.Table, gallery: pa.Table) -> pa.Table:
+    """For each query of a block its scores with a block of the gallery as counts: of ranges, or, once the ranges of
+    the median are known (low, high), of the values in those."""
+    ids, rows = queries["query_id"].to_pylist(), []
+    known = "low" in queries.column_names
+    parts = np.stack([queries["low"].to_numpy(), queries["high"].to_numpy()], axis=1) if known else None
+    vs = _matrix(gallery["v"]) if gallery.num_rows else None
+    for at in range(0, queries.num_rows if gallery.num_rows else 0, 512):
+        found = np.rint(_matrix(queries["q"].slice(at, 512)) @ vs.T * MILLION).astype(np.int64) + HALF
+        if found.min() < 0 or found.max() >= 2 * HALF:
+            raise ValueError("vectors aren't of unit length")
+        for i, own in enumerate(found):
+            if known:
+                counts = np.concatenate([np.bincount(own[own // FINE == r] % FINE, minlength=FINE) for r in parts[at + i]])
+            else:
+                counts = np.bincount(own // FINE, minlength=2 * HALF // FINE)
+            rows.append((counts, int(own.max())))
+    return pa.table({
+        "query_id": pa.array(ids[: len(rows)], queries.schema.field("query_id").type), "counts": pa.array([r[0] for r in rows], pa.list_(pa.int64())),
+        "best": pa.array([r[1] for r in rows], pa.int64()),
+    })
+
+
+def _merged(finish, names: tuple[str, ...]):
+    """Rows (query_id, counts, best) in the order of queries -> finish(counts, best) of each, summed as they come."""
+
+    def run(batches):
+        at, total, best, out = None, None, 0, []
+        for batch in batches:
+            for q, counts, b in zip(batch["query_id"].to_pylist(), batch["counts"], batch["best"].to_pylist()):
+                counts = counts.values.to_numpy()
+                if total is None or q != at:
+                    if total is not None:
+                        out.append((at, *finish(total, best)))
+                    at, total, best = q, counts.copy(), b
+                else:
+                    total += counts
+                    best = max(best, b)
+            if out:
+                yield pa.RecordBatch.from_pylist([dict(zip(("query_id", *names), r)) for r in out])
+                out = []
+        if total is not None:
+            yield pa.RecordBatch.from_pylist([dict(zip(("query_id", *names), (at, *finish(total, best))))])
+
+    return run
+
+
+def margins(queries: DataFrame, gallery: DataFrame, block: int = 4096) -> DataFrame:
+    """(query_id, embedding) against (vec_id, embedding), unit vectors -> query_id, margin: the best score less the median of
+    all, of scores rounded to six digits.
+
+    Exact, in two passes over pairs of blocks. The first counts a query's scores by ranges, the second the
+    values in the one or two ranges where the middle ranks fall; counts of blocks add up. A pair of blocks
+    gives one row of constant size for each query, and a merging task holds one.
+    """
+    kind = queries.schema["query_id"].dataType.simpleString()
+    counts = f"query_id {kind}, counts array<bigint>, best bigint"
+    merge = lambda df, finish, names, kinds: df.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(_merged(finish, names), f"query_id {kind}, {kinds}")
+
+    def ranges(total: np.ndarray, best: int) -> tuple:
+        """The ranges of both middle ranks, these ranks among the values of the two ranges, and the best score."""
+        upto, n = np.cumsum(total), int(total.sum())
+        low, high = (int(np.searchsorted(upto, r, "right")) for r in ((n - 1) // 2, n // 2))
+        before = [int(upto[r] - total[r]) for r in (low, high)]
+        return low, high, (n - 1) // 2 - before[0], n // 2 - before[1]
+
+    first = merge(_block_pairs(queries.select("query_id", "embedding"), gallery, block, _counted, counts), ranges, ("low", "high", "i", "j"), "low bigint, high bigint, i bigint, j bigint")
+
+    def values(total: np.ndarray, best: int) -> tuple:
+        return total.tolist(), best
+
+    second = _block_pairs(queries.select("query_id", "embedding").join(first, "query_id"), gallery, block, _counted, counts)
+    fine = merge(second, values, ("counts", "best"), "counts array<bigint>, best bigint").join(first, "query_id")
+
+    def middle(part: int, rank: str) -> Column:
+        """The place in a range of the value of that rank."""
+        own = F.slice("counts", part * FINE + 1, FINE)
+        step = lambda s, n: F.struct((s["seen"] + n).alias("seen"), (s["at"] + F.when(s["seen"] + n <= F.col(rank), 1).otherwise(0)).alias("at"))
+        return F.aggregate(own, F.struct(F.lit(0).cast("long").alias("seen"), F.lit(0).alias("at")), step)["at"]
+
+    value = lambda v: (v - HALF) / float(MILLION)
+    low, high = value(F.col("low") * FINE + middle(0, "i")), value(F.col("high") * FINE + middle(1, "j"))
+    return fine.select("query_id", (value(F.col("best")) - (low + high) / 2).alias("margin"))
+
+
 def hop_consistency(pred: DataFrame, distance: Column, most: float = 2800.0, least_pct: float = 70.0) -> DataFrame:
     """Share of hops, `distance` of a row to the one before, of at most `most` metres, and whether it is enough."""
     share = F.avg(F.when(distance <= most, 100.0).when(distance.isNotNull(), 0.0))

@@ -94,8 +94,7 @@ def recall_grid(spark, d):
 def score_margin(spark, d):
     e = _table(spark, d, "embeddings")
     q = e.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    hits = retrieval.cosine_topk(q, e.filter("vec_id % 10 <> 0"), e.count())
-    return retrieval.score_margin(hits).select("query_id", _r("margin", 7).alias("margin"))
+    return retrieval.margins(q, e.filter("vec_id % 10 <> 0")).select("query_id", _r("margin", 7).alias("margin"))
 
 
 @_query("""
