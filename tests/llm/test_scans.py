@@ -105,6 +105,16 @@ def test_trust_spreads(spark):
     assert got["z"]["distrust"] > got["w"]["distrust"] > 0 and got["z"]["trust"] == 0
 
 
+def test_distrust_goes_up_a_long_chain(spark):
+    """Hosts fifteen links before a blocked one are blocked, those that link nowhere near are not; very long html is read whole."""
+    rows = [(i, f"http://h{i}.x.io/a", "y " * (200_000 if i == 15 else 3) + f'<a href="http://h{i - 1}.x.io/">') for i in range(1, 16)]
+    rows += [(0, "http://h0.x.io/", '<a href="http://sub.bad.com/">'), (20, "http://sub.bad.com/en/1", None), (21, "http://good.io/", '<a href="http://other.io/">')]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = urls.judged_pages(pages)
+    assert {r["page_id"] for r in got.collect() if r["verdict"] == "block"} == set(range(16)) | {20}
+    same(got, sql("op6_urls", pages=pa.Table.from_pylist([dict(zip(("page_id", "url", "html"), r)) for r in rows])))
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_top_k(spark, small):
     rng = np.random.default_rng(3)

@@ -15,6 +15,8 @@ RULES = (
     ("allow", "example.net/de/8"),
     ("block", "org/es/"),
 )
+#: All later steps together move less than this times what the last one moved, with a damping of 0.85.
+_TRACE = 6
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: Hosts that a page names: those of absolute links, and the one after its copyright sign.
@@ -45,10 +47,11 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.filter("src <> dst AND src <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def spread_trust(seeds: DataFrame, links: DataFrame, steps: int = 10, damping: float = 0.85) -> DataFrame:
+def spread_trust(seeds: DataFrame, links: DataFrame, damping: float = 0.85, residual: float = 0.001) -> DataFrame:
     """Personalised PageRank: seeds (host, allowed, blocked), links (src, dst, n) -> host, trust, distrust.
 
-    Trust starts at allowed pages and follows links; distrust starts at blocked pages and follows them
+    Scores are sums of what each step moves, until a step moves less than `residual` of an average seed:
+    the number of steps grows with the logarithm of the number of seeds. Trust starts at allowed pages and follows links; distrust starts at blocked pages and follows them
     backwards, to those who link there. Each host passes its score on in proportion to its links; both
     run in one join and one aggregation a step, with partial sums before the shuffle. Hosts that nothing
     reaches score 0.
@@ -62,23 +65,30 @@ def spread_trust(seeds: DataFrame, links: DataFrame, steps: int = 10, damping: f
     a, b = float(sums["a"] or 0) or 1.0, float(sums["b"] or 0) or 1.0
     start = seeds.groupBy("host").agg((F.sum("allowed") / a).alias("trust"), (F.sum("blocked") / b).alias("distrust"))
     start = stored(start.filter("trust > 0 OR distrust > 0"))
-    ranks, again = start, start.select("host", *[(F.col(c) * (1 - damping)).alias(c) for c in ("trust", "distrust")])
-    for step in range(1, steps + 1):
-        moved = ranks.join(arcs, "host").select(
-            F.col("to").alias("host"), (F.col("trust") * F.col("t") * damping).alias("trust"),
-            (F.col("distrust") * F.col("d") * damping).alias("distrust"),
-        )
-        ranks = moved.unionByName(again).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
-        if step % 5 == 0:
-            ranks = ranks.checkpoint()
-    return ranks
-
-
-def judged_pages(pages: DataFrame, rules=RULES, threshold: float = 0.9, steps: int = 10, damping: float = 0.85) -> DataFrame:
+    scores = ("trust", "distrust")
+    last = residual / max(1, start.count())
+    own = [F.col(c) * (1 - damping) for c in scores]
+    ranks = start.select("host", *[x.alias(p + c) for p in ("", "new_") for c, x in zip(scores, own)])
+    moving = True
+    while moving:
+        for _ in range(5):  # steps between checkpoints
+            on = [F.col(f"new_{c}") * F.col(a) * damping for c, a in zip(scores, ("t", "d"))]
+            moved = ranks.filter("new_trust > 0 OR new_distrust > 0").join(arcs, "host").select(
+                F.col("to").alias("host"), *[x.alias(p + c) for p in ("", "new_") for c, x in zip(scores, on)]
+            )
+            held = ranks.select("host", *scores, *[F.lit(0.0).alias(f"new_{c}") for c in scores])
+            ranks = moved.unionByName(held).groupBy("host").agg(*[F.sum(c).alias(c) for c in held.columns[1:]])
+        ranks = ranks.checkpoint()
+        moving = max(x or 0.0 for x in ranks.agg(*[F.sum(f"new_{c}") for c in scores]).first()) > last
+    return ranks.select("host", *scores).filter("trust > 0 OR distrust > 0")
+
+
+def judged_pages(pages: DataFrame, rules=RULES, threshold: float = 0.9, damping: float = 0.85, residual: float = 0.001) -> DataFrame:
     """(page_id, url, html) -> page_id, host, path, rule, verdict: one row for each row of pages.
 
     The longest rule that fits decides. Without one a page is blocked if its host has more than
-    `threshold` of its trust and distrust in distrust, else allowed; so is a page without a host. Repeated
+    `threshold` of its trust and distrust in distrust, and that is no trace (under _TRACE times what ends
+    the propagation, so that no later step could matter), else allowed; so is a page without a host. Repeated
     rows stay; texts of any length are read whole; other columns are dropped; an empty table gives an empty
     result.
     """
@@ -90,8 +100,10 @@ def judged_pages(pages: DataFrame, rules=RULES, threshold: float = 0.9, steps: i
     seeds = base.filter("ruled IS NOT NULL AND host <> ''").groupBy("host").agg(
         F.count_if(F.col("ruled") == "allow").alias("allowed"), F.count_if(F.col("ruled") == "block").alias("blocked")
     )
-    ranks = spread_trust(stored(seeds), stored(host_links(base)), steps, damping)
-    hosts = ranks.filter(F.col("distrust") > threshold * (F.col("trust") + F.col("distrust"))).select(
+    seeds = stored(seeds)
+    trace = _TRACE * residual / max(1, seeds.count())
+    ranks = spread_trust(seeds, stored(host_links(base)), damping, residual)
+    hosts = ranks.filter((F.col("distrust") > trace) & (F.col("distrust") > threshold * (F.col("trust") + F.col("distrust")))).select(
         "host", F.lit("block").alias("by_host")
     )
     return base.join(hosts, "host", "left").select(
@@ -99,20 +111,15 @@ def judged_pages(pages: DataFrame, rules=RULES, threshold: float = 0.9, steps: i
     )
 
 
-def pages_sql(rules=RULES, threshold: float = 0.9, steps: int = 10, damping: float = 0.85) -> str:
+def pages_sql(rules=RULES, threshold: float = 0.9, damping: float = 0.85, residual: float = 0.001) -> str:
     """DuckDB SQL for judged_pages(pages)."""
     named = _NAMED.replace("(?:", "(?:").replace("'", "''")
     fits = lambda name, start: f"((host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{start}'))"
     order = sorted(rules, key=lambda r: (-len(r[1]), r[1]))
     rule = "CASE " + " ".join(f"WHEN {fits(*r.partition('/')[::2])} THEN '{r}'" for _, r in order) + " END"
     verdict = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{v}'" for v, r in rules) + " END"
-    turns = []
-    for k in range(1, steps + 1):
-        turns.append(f"""r{k} AS (SELECT host, sum(trust) AS trust, sum(distrust) AS distrust FROM (
-        SELECT a."to" AS host, r.trust * a.t * {damping} AS trust, r.distrust * a.d * {damping} AS distrust FROM r{k - 1} r JOIN arcs a ON a.host = r.host
-        UNION ALL SELECT host, trust * {1 - damping}, distrust * {1 - damping} FROM r0) GROUP BY host)""")
     return f"""
-    WITH u AS (SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,
+    WITH RECURSIVE u AS (SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,
         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
     v AS (SELECT *, {rule} AS rule FROM u), b AS (SELECT *, {verdict} AS ruled FROM v),
     links AS (SELECT src, dst, count(*) AS n FROM (SELECT host AS src,
@@ -125,6 +132,11 @@ def pages_sql(rules=RULES, threshold: float = 0.9, steps: int = 10, damping: flo
         WHERE ruled IS NOT NULL AND host <> '' GROUP BY host),
     r0 AS (SELECT host, coalesce(a / nullif((SELECT sum(a) FROM seeds), 0), 0) AS trust,
         coalesce(b / nullif((SELECT sum(b) FROM seeds), 0), 0) AS distrust FROM seeds),
-    {", ".join(turns)}
-    SELECT page_id, host, path, rule, coalesce(ruled, (SELECT 'block' FROM r{steps} r WHERE r.host = b.host
-        AND r.distrust > {threshold} * (r.trust + r.distrust)), 'allow') AS verdict FROM b"""
+    seeded AS (SELECT count(*) AS n FROM seeds),
+    moved AS (SELECT 0 AS step, host, trust * {1 - damping} AS trust, distrust * {1 - damping} AS distrust FROM r0
+        UNION ALL SELECT step + 1, a."to", sum(m.trust * a.t * {damping}), sum(m.distrust * a.d * {damping}) FROM moved m JOIN arcs a ON a.host = m.host
+        WHERE step < (SELECT ceil(ln({residual} / n) / ln({damping})) FROM seeded) GROUP BY step, a."to"
+        HAVING sum(m.trust * a.t) > 0 OR sum(m.distrust * a.d) > 0),
+    ranks AS (SELECT host, sum(trust) AS trust, sum(distrust) AS distrust FROM moved GROUP BY host)
+    SELECT page_id, host, path, rule, coalesce(ruled, (SELECT 'block' FROM ranks r WHERE r.host = b.host
+        AND r.distrust > {_TRACE * residual} / (SELECT n FROM seeded) AND r.distrust > {threshold} * (r.trust + r.distrust)), 'allow') AS verdict FROM b"""
