@@ -95,3 +95,13 @@ def test_features_of_long_words_in_parts():
     assert [x for p in parts for x in p] == [x for p in toxicity.grams(word) for x in p]
     model = toxicity.Model({x: 1.0 for x in parts[-2]}, 0.0)
     assert model.word(word) > 0 and not model.kept
+
+
+def test_a_column_of_the_name_of_the_score_is_replaced(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(i, "vile words" if i % 2 else "kind words", "old", 7) for i in range(40)], "doc_id long, text string, Score string, h int")
+    model = toxicity.train(docs, labels)
+    got = toxicity.score(docs, model)
+    assert got.columns == ["doc_id", "text", "h", "score"]
+    rows = got.collect()
+    assert len(rows) == 40 and all(0 <= r["score"] <= 1 and r["h"] == 7 for r in rows)

@@ -203,9 +203,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 6000) -> Model:
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """docs, all columns, with the toxicity of each whole text: 0 to 1. Null texts count as empty; no shuffle.
 
-    A column of the result's name, in any case, is replaced.
+    A column of the result's name is replaced.
     """
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != column.lower()])
+    docs = docs.drop(column)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
