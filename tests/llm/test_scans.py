@@ -136,3 +136,19 @@ def test_top_k(spark, small):
     assert vectors.top_k(df.limit(0)).count() == 0
     few = vectors.top_k(df.filter("vec_id < 3")).collect()
     assert sorted(r["rank"] for r in few) == [1, 2]
+
+
+def test_top_k_with_few_annuli_and_repeated_ids(spark):
+    """Annuli are at most the sampled rows, larger ones are split in parts; rows of one vec_id are one query and never its candidates."""
+    rng = np.random.default_rng(8)
+    rows = [(i % 150, x.tolist()) for i, x in enumerate(rng.normal(size=(600, 4)).round(1)) if i % 150 % 20 or i < 150]
+    rows += [(20, rows[20][1])]  # the same row again
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = vectors.top_k(df, k=7, cell_rows=8, query_rows=4, sample=20, most_pivots=4).collect()
+    ok = [(i, np.floor(64 * np.array(e))) for i, e in rows]
+    want = []
+    for q, a in dict(ok).items():
+        if q % 20 == 0:
+            best = sorted((-int(a @ b), i) for i, b in ok if i != q)[:7]
+            want += [(q, k, i, -s) for k, (s, i) in enumerate(best, 1)]
+    assert sorted(map(tuple, got)) == sorted(want)

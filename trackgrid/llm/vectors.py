@@ -90,8 +90,10 @@ def top_k(
     an empty result; rows that share a vec_id are all candidates of others, and such a query counts once.
 
     A further component sqrt(most - norm2) turns the largest inner product into the smallest distance.
-    Pivots come from at most `sample` rows (the only thing that is sampled), one for every `cell_rows` rows;
-    every vector is keyed by its nearest pivot and the annulus of its distance to it. Each query first
+    Pivots and the limits of annuli come from at most `sample` rows (the only thing that is sampled), a pivot
+    for every `cell_rows` rows; there are at most as many annuli as sampled rows, so what the driver and a
+    task hold of them does not grow with the table. Every vector is keyed by its nearest pivot and the
+    annulus of its distance to it. Each query first
     searches the annulus nearest to its own circle, then the next nearest one, two, four and so on, each
     time with the k-th score so far as a bound: by the triangle inequality annuli beyond it, and rows of
     an annulus beyond it, are skipped, and a query ends when none is left. Annuli are split by hash into
@@ -113,7 +115,7 @@ def top_k(
     points = np.column_stack([_matrix(taken["v"]), np.sqrt(np.maximum(most - taken["norm2"], 0))])
     pivots = choose_pivots(points, int(np.clip(n // cell_rows, 1, most_pivots)))
     near = distances(points, pivots)
-    rings = max(1, int(n // (cell_rows * len(pivots))))
+    rings = int(np.clip(n // (cell_rows * len(pivots)), 1, max(1, len(points) // len(pivots))))
     edges = [np.quantile(own, np.arange(1, rings) / rings) if len(own := near[near.argmin(axis=1) == c, c]) else np.zeros(rings - 1) for c in range(len(pivots))]
 
     def place(frame: pd.DataFrame, extra: bool) -> np.ndarray:
@@ -142,16 +144,19 @@ def top_k(
         """The annuli that queries visit: those from the first to the last in the order of their gap, if within reach."""
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                to = np.repeat(place(frame, False), rings, axis=1)
-                gap = np.where(filled, np.maximum(np.maximum(to - high, low - to), 0) + 1e-9 * to, np.inf)
-                reach = np.sqrt(np.maximum(frame["norm2"].to_numpy() + most - 2 * frame["least"].to_numpy(), 0)) + 1e-6
-                turn = gap.argsort(axis=1, kind="stable")[:, first:last]
-                q = np.repeat(np.arange(len(turn)), turn.shape[1])
-                c = turn.ravel()
-                on = gap[q, c] <= np.where(np.isfinite(reach), reach, np.finfo(float).max)[q] + 1e-9 * to[q, c]
-                q, c = q[on], c[on]
-                yield frame.iloc[q].drop(columns="least").assign(cell=c.astype("int32"), toward=to[q, c], reach=reach[q])
+            for whole in frames:
+                for at in range(0, len(whole), 256):
+                    frame = whole.iloc[at : at + 256]
+                    to = np.repeat(place(frame, False), rings, axis=1)
+                    gap = np.where(filled, np.maximum(np.maximum(to - high, low - to), 0), np.inf)
+                    reach = np.sqrt(np.maximum(frame["norm2"].to_numpy() + most - 2 * frame["least"].to_numpy(), 0))
+                    reach = reach[:, None] + 1e-6 + 1e-9 * to  # rounding never skips a tie
+                    turn = gap.argsort(axis=1, kind="stable")[:, first:last]
+                    q = np.repeat(np.arange(len(turn)), turn.shape[1])
+                    c = turn.ravel()
+                    on = (gap[q, c] <= reach[q, c]) & np.isfinite(gap[q, c])
+                    q, c = q[on], c[on]
+                    yield frame.iloc[q].drop(columns="least").assign(cell=c.astype("int32"), toward=to[q, c], reach=reach[q, c])
 
         return run
 
@@ -180,7 +185,7 @@ def top_k(
         visits = known.mapInPandas(route(first, first + width), sent).withColumn("grp", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int"))
         visits = stored(visits)
         if not visits.isEmpty():
-            meet = F.broadcast(visits.select("cell", F.col("grp").alias("g")).distinct())  # at most annuli times groups of queries
+            meet = visits.select("cell", F.col("grp").alias("g")).distinct()
             held = indexed.withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), part_of).cast("int")).join(meet, "cell")
             held = held.select("vec_id", "v", "dist", F.col("cell").alias("cell"), "part", F.col("g").alias("grp"))
             asked = visits.withColumn("part", F.explode(F.sequence(F.lit(0), (part_of - 1).cast("int"))))
