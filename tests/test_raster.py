@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from trackgrid.operators import aggregates, joins, raster
@@ -45,6 +46,29 @@ def test_morphology(spark, kind):
     assert (grid(raster.raster_or(a, b, ["k"]), m.shape, "v") == 1).all()
 
 
+@pytest.mark.parametrize("kind, k", [("rect", 3), ("rect", 4), ("ellipse", 5)])
+def test_morphology_in_bands(spark, kind, k):
+    """Bands with halos, stacks of rasters, rasters over several batches, null keys, repeated rows and cells outside."""
+    masks = {"a": RNG.random((40, 30)) < 0.6, "b": RNG.random((40, 30)) < 0.1, None: RNG.random((40, 30)) < 0.9}
+    rows = [(name, int(r), int(c)) for name, m in masks.items() for r, c in zip(*np.nonzero(m))]
+    cells = spark.createDataFrame([*rows, *rows[:50], ("a", -1, 3), ("b", 2, 30), ("b", None, 3)], "k string, r int, c long").repartition(3)
+    steps = raster.neighbourhood(kind, k)
+    want = {}
+    for name, m in masks.items():
+        on = np.any([moved(m, -i, -j, False) for i, j in steps], axis=0)
+        want[name] = np.all([moved(on, i, j, True) for i, j in steps], axis=0)
+    work = lambda on, inside: raster._shrunk(raster._grown(on, inside, k, kind), inside, k, kind)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        for most in (90, 700, 1 << 20):
+            got = raster._stencil(cells, ["k"], 40, 30, 2 * k, work, most)
+            assert got.schema == cells.schema
+            got = sorted(got.collect(), key=str)
+            assert got == sorted(((name, int(r), int(c)) for name, m in want.items() for r, c in zip(*np.nonzero(m))), key=lambda x: str(Row(k=x[0], r=x[1], c=x[2])))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_resample_and_hash(spark):
     v = RNG.integers(0, 255, (16, 18))
     c = cells_of(spark, v)

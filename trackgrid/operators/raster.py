@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -122,31 +122,121 @@ def neighbourhood(kind: str, k: int) -> list[tuple[int, int]]:
     return [(i, j) for i in span for j in span if kind == "rect" or (i / max(r, 0.5)) ** 2 + (j / max(r, 0.5)) ** 2 <= 1.0 + 1e-9]
 
 
+def _swept(on: np.ndarray, offsets: list[tuple[int, int]]) -> np.ndarray:
+    """Cells (…, r, c) that an offset carries a set cell to. Running counts: a run of rows costs the same whatever its size."""
+    h, w = on.shape[-2:]
+    columns: dict[int, list[int]] = {}
+    for i, j in offsets:
+        columns.setdefault(i, []).append(j)
+    runs: list[list[int]] = []  # first row, last row, first column, last column
+    for i, js in sorted(columns.items()):
+        if runs and runs[-1][1] == i - 1 and runs[-1][2:] == [min(js), max(js)]:
+            runs[-1][1] = i
+        else:
+            runs.append([i, i, min(js), max(js)])
+    out, r, c = np.zeros_like(on), np.arange(h), np.arange(w)
+    across = np.zeros((*on.shape[:-1], w + 1), np.int32)
+    np.cumsum(on, axis=-1, out=across[..., 1:])
+    down = np.zeros((*on.shape[:-2], h + 1, w), np.int32)
+    for top, bottom, left, right in runs:
+        line = across[..., np.clip(c - left + 1, 0, w)] > across[..., np.clip(c - right, 0, w)]
+        np.cumsum(line, axis=-2, out=down[..., 1:, :])
+        out |= down[..., np.clip(r - top + 1, 0, h), :] > down[..., np.clip(r - bottom, 0, h), :]
+    return out
+
+
+def _grown(on: np.ndarray, inside: np.ndarray, k: int, kind: str = "rect") -> np.ndarray:
+    return _swept(on, neighbourhood(kind, k)) & inside
+
+
+def _shrunk(on: np.ndarray, inside: np.ndarray, k: int, kind: str = "rect") -> np.ndarray:
+    return inside & ~_swept(inside & ~on, [(-i, -j) for i, j in neighbourhood(kind, k)])
+
+
+def _stencil(
+    cells: DataFrame, keys: list[str], height: int, width: int, halo: int, work: Callable[[np.ndarray, np.ndarray], np.ndarray], most: int = 1 << 20
+) -> DataFrame:
+    """Set cells (keys, r, c) of all rasters after work(on, inside) on dense arrays; cells outside the raster are left out.
+
+    One shuffle, whatever work does. Rasters of over `most` cells are dealt in bands of rows with `halo` more
+    rows at both ends, the reach of work; small ones are stacked, as many as have `most` cells. on and
+    inside have the axes raster, r, c; inside is false in rows beyond the raster.
+    """
+    rows = max(1, min(height, most // width))
+    bands = -(-height // rows)
+    halo = halo if bands > 1 else 0
+    own = cells.select(*keys, "r", "c").filter(F.col("r").between(0, height - 1) & F.col("c").between(0, width - 1))
+    band = lambda r: F.floor(r / rows).cast("int")
+    at = F.sequence(F.greatest(F.lit(0), band(F.col("r") - halo)), F.least(F.lit(bands - 1), band(F.col("r") + halo)))
+    own = own.withColumn("_band", F.explode(at) if bands > 1 else F.lit(0))
+    types = own.drop("_band").schema
+    deep = rows + 2 * halo
+
+    def worked(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = table.combine_chunks()
+        new = np.zeros(len(table), bool)
+        new[0] = True
+        for name in [*keys, "_band"]:
+            code = table[name].combine_chunks().dictionary_encode("encode").indices.to_numpy()
+            new[1:] |= code[1:] != code[:-1]
+        starts, of = np.flatnonzero(new), np.cumsum(new) - 1
+        top = table["_band"].to_numpy()[starts] * rows - halo
+        r, c = table["r"].to_numpy() - top[of], table["c"].to_numpy()
+        step = max(1, most // (deep * width))
+        for first in range(0, len(starts), step):
+            n = min(step, len(starts) - first)
+            a, b = starts[first], starts[first + n] if first + n < len(starts) else len(table)
+            on = np.zeros((n, deep, width), bool)
+            on[of[a:b] - first, r[a:b], c[a:b]] = True
+            line = top[first : first + n, None] + np.arange(deep)
+            inside = np.broadcast_to(((line >= 0) & (line < height))[:, :, None], on.shape)
+            g, y, x = np.nonzero(work(on, inside)[:, halo : halo + rows])
+            for to in range(0, len(g), 65536):
+                part = slice(to, to + 65536)
+                names = table.select(keys).take(pa.array(starts[first + g[part]])).combine_chunks()
+                place = {"r": y[part] + top[first + g[part]] + halo, "c": x[part]}
+                columns = [*(names[k].combine_chunks() for k in keys), *(pa.array(place[v]).cast(table[v].type) for v in ("r", "c"))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keys, "r", "c"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows are sorted: a raster may go on in the next batch
+        raster = lambda batch, at: batch.select([*keys, "_band"]).slice(at, 1).to_pylist()
+        for batch in batches:
+            if not len(batch):
+                continue
+            if held and raster(held[0], 0) != raster(batch, 0):
+                yield from worked(pa.Table.from_batches(held))
+                held = []
+            last, low, high = raster(batch, len(batch) - 1), 0, len(batch) - 1
+            while low < high:  # the first row of the batch's last raster
+                half = (low + high) // 2
+                low, high = (low, half) if raster(batch, half) == last else (half + 1, high)
+            if low:
+                yield from worked(pa.Table.from_batches([*held, batch.slice(0, low)]))
+                held = []
+            held.append(batch.slice(low))
+        if held:
+            yield from worked(pa.Table.from_batches(held))
+
+    return own.repartition(*keys, "_band").sortWithinPartitions(*keys, "_band").mapInArrow(run, types)
+
+
 def dilate(cells: DataFrame, keys: list[str], height: int, width: int, k: int = 3, kind: str = "rect") -> DataFrame:
     """Cells within the element of a set cell. Input and output hold set cells only (keys, r, c)."""
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in neighbourhood(kind, k)])
-    out = cells.select(*keys, "r", "c", F.explode(steps).alias("_s")).select(*keys, (F.col("r") + F.col("_s.i")).alias("r"), (F.col("c") + F.col("_s.j")).alias("c"))
-    return out.filter(F.col("r").between(0, height - 1) & F.col("c").between(0, width - 1)).distinct()
+    return _stencil(cells, keys, height, width, k, lambda on, inside: _grown(on, inside, k, kind))
 
 
 def erode(cells: DataFrame, keys: list[str], height: int, width: int, k: int = 3, kind: str = "rect") -> DataFrame:
     """Set cells whose whole element is set; cells outside the raster count as set."""
-    steps = neighbourhood(kind, k)
-    array = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps])
-    hits = cells.select(*keys, "r", "c").distinct().withColumn("_s", F.explode(array))
-    hits = hits.select(*keys, (F.col("r") - F.col("_s.i")).alias("r"), (F.col("c") - F.col("_s.j")).alias("c"))
-    counts = hits.groupBy(*keys, "r", "c").agg(F.count("*").alias("_n"))
-    need = F.size(F.filter(array, lambda s: (F.col("r") + s["i"]).between(0, height - 1) & (F.col("c") + s["j"]).between(0, width - 1)))
-    inside = F.col("r").between(0, height - 1) & F.col("c").between(0, width - 1)
-    return counts.filter(inside & (F.col("_n") == need)).drop("_n")
+    return _stencil(cells, keys, height, width, k, lambda on, inside: _shrunk(on, inside, k, kind))
 
 
 def opening(cells: DataFrame, keys: list[str], height: int, width: int, k: int = 3) -> DataFrame:
-    return dilate(erode(cells, keys, height, width, k), keys, height, width, k)
+    return _stencil(cells, keys, height, width, 2 * k, lambda on, inside: _grown(_shrunk(on, inside, k), inside, k))
 
 
 def closing(cells: DataFrame, keys: list[str], height: int, width: int, k: int = 3) -> DataFrame:
-    return erode(dilate(cells, keys, height, width, k), keys, height, width, k)
+    return _stencil(cells, keys, height, width, 2 * k, lambda on, inside: _shrunk(_grown(on, inside, k), inside, k))
 
 
 def open_close(cells: DataFrame, roads: list[int], keys: list[str], height: int, width: int) -> DataFrame:
@@ -158,16 +248,22 @@ def open_close(cells: DataFrame, roads: list[int], keys: list[str], height: int,
     by, size = [*keys, "cls"], (height, width)
     road = own.filter(F.col("cls").isin(*roads)) if roads else own.limit(0)
     rest = own.filter(~F.col("cls").isin(*roads)) if roads else own
-    road = erode(dilate(road, by, *size, 3, "ellipse"), by, *size, 3, "ellipse")
-    rest = dilate(erode(rest, by, *size, 5, "ellipse"), by, *size, 5, "ellipse")
-    rest = erode(dilate(rest, by, *size, 5, "ellipse"), by, *size, 5, "ellipse")
+
+    def closed(on: np.ndarray, inside: np.ndarray, k: int) -> np.ndarray:
+        return _shrunk(_grown(on, inside, k, "ellipse"), inside, k, "ellipse")
+
+    def opened(on: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        return _grown(_shrunk(on, inside, 5, "ellipse"), inside, 5, "ellipse")
+
+    road = _stencil(road, by, *size, 6, lambda on, inside: closed(on, inside, 3))
+    rest = _stencil(rest, by, *size, 20, lambda on, inside: closed(opened(on, inside), inside, 5))
     return road.unionByName(rest).groupBy(*keys, "r", "c").agg(F.max("cls").alias("v"))
 
 
 def edge_band(cells: DataFrame, keys: list[str], height: int, width: int, width_m: float, mppx: float) -> DataFrame:
     """Dilation without erosion, of half the width in pixels, one at least."""
     k = 2 * max(1, round(width_m / mppx / 2)) + 1
-    return dilate(cells, keys, height, width, k).join(erode(cells, keys, height, width, k), [*keys, "r", "c"], "left_anti")
+    return _stencil(cells, keys, height, width, k, lambda on, inside: _grown(on, inside, k) & ~_shrunk(on, inside, k))
 
 
 def sobel(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -243,7 +339,7 @@ def snow_mask(cells: DataFrame, snow: Column, keys: list[str], height: int, widt
 def class_edges(cells: DataFrame, keys: list[str], height: int, width: int, least: int = 50) -> DataFrame:
     """Boundary cells of each class (dilation without the class itself), for classes with enough of them."""
     own = cells.filter("v > 0").select(*keys, F.col("v").alias("cls"), "r", "c")
-    edge = dilate(own, [*keys, "cls"], height, width, 3).join(own, [*keys, "cls", "r", "c"], "left_anti")
+    edge = _stencil(own, [*keys, "cls"], height, width, 3, lambda on, inside: _grown(on, inside, 3) & ~on)
     enough = edge.groupBy(*keys, "cls").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).drop("_n")
     return edge.join(enough, [*keys, "cls"])
 
