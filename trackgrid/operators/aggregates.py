@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.gates import first_reason
+from . import ranks
 
 
 def _pct(cond: Column) -> Column:
@@ -91,6 +92,10 @@ def filter_tiles(meta: DataFrame, rejected: DataFrame, shifted: DataFrame, hist:
     return out.withColumn("drop_reason", reason).drop("_smeared", "_shifted")
 
 
+#: Below any count.
+LOWEST = -1e300
+
+
 def finite_stats(df: DataFrame, value: str, keys: list[str] = ()) -> DataFrame:
     """Median, 95th percentile (linear) and mean over finite values; null if there are none."""
     v = _known(value)
@@ -164,24 +169,23 @@ def timing_stats(log: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def latency_stats(samples: DataFrame, keys: list[str], ms: str = "ms") -> DataFrame:
-    """Interpolated median, the sample at int(0.95 n) of the sorted ones, and frames per second."""
-    n = F.count(ms)
-    out = samples.groupBy(*keys).agg(F.median(ms).alias("median_ms"), n.alias("n"))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(ms)) - 1
-    total = F.count(ms).over(Window.partitionBy(*keys))
-    p95 = samples.withColumn("_r", rank).withColumn("_n", total).filter(F.col("_r") == F.floor(F.col("_n") * 0.95)).groupBy(*keys).agg(F.max(ms).alias("p95_ms"))
-    return out.join(p95, keys).withColumn("fps", 1000.0 / F.col("median_ms"))
+    """Interpolated median, the sample at int(0.95 n) of the sorted ones, and frames per second, of finite samples."""
+    at = {"_low": lambda n: F.floor((n - 1) / 2), "_high": lambda n: F.ceil((n - 1) / 2), "p95_ms": lambda n: F.floor(n * 0.95)}
+    out = ranks.order_statistics(samples, keys, ms, at).withColumn("median_ms", (F.col("_low") + F.col("_high")) / 2)
+    return out.select(*keys, "median_ms", "n", "p95_ms", (1000.0 / F.nullif("median_ms", F.lit(0.0))).alias("fps"))
 
 
 def smoke_summary(log: DataFrame, keys: list[str]) -> DataFrame:
-    """Accept rate, upper median and most inliers, and the most frequent reject reason (ties by name)."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("inliers")) - 1
-    total = F.count("*").over(Window.partitionBy(*keys))
-    ranked = log.withColumn("_r", rank).withColumn("_n", total)
-    out = ranked.groupBy(*keys).agg(
-        F.avg(F.when(F.col("accepted"), 1.0).otherwise(0.0)).alias("accept_rate"), F.max("inliers").alias("max_inliers"),
-        F.max(F.when(F.col("_r") == F.floor(F.col("_n") / 2), F.col("inliers"))).alias("upper_median_inliers"),
-    )
+    """Accept rate, upper median and most inliers, and the most frequent reject reason (ties by name).
+
+    Rows without inliers are the lowest of the median, as if they had fewer than any other.
+    """
+    kind = log.schema["inliers"].dataType
+    out = log.groupBy(*keys).agg(F.avg(F.when(F.col("accepted"), 1.0).otherwise(0.0)).alias("accept_rate"), F.max("inliers").alias("max_inliers"))
+    least = log.withColumn("_in", F.coalesce(F.col("inliers").cast("double"), F.lit(LOWEST)))
+    middle = ranks.order_statistics(least, keys, "_in", {"_in": lambda n: F.floor(n / 2)})
+    middle = middle.select(*keys, F.nullif("_in", F.lit(LOWEST)).cast(kind).alias("upper_median_inliers"))
+    out = out.join(middle, keys, "left")
     reasons = log.filter("reason IS NOT NULL").groupBy(*keys, "reason").agg(F.count("*").alias("n"))
     top = reasons.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "reason"))).filter("_k = 1")
     return out.join(top.select(*keys, F.col("reason").alias("top_reject"), F.col("n").alias("top_reject_count")), keys, "left")
