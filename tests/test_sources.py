@@ -5,6 +5,8 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,6 +122,31 @@ def test_vectors(spark, tmp_path):
     assert 2 not in {r["feature_id"] for r in sources.read_osm_dump(spark, str(tmp_path / "o.json"), "buildings").collect()}
 
 
+def test_layer_in_the_crs_of_its_footer(spark, tmp_path):
+    """A projected file, CRS84, no CRS, no entry, a folder of files, and a CRS without a code."""
+    wkb = struct.pack("<BII4d", 1, 2, 2, 111_319.49079327358, 0.0, 222_638.98158654716, 0.0)
+    plain = struct.pack("<BII4d", 1, 2, 2, 1.0, 0.0, 2.0, 0.0)
+
+    def write(name, geometry, crs, entry=True):
+        geo = {"version": "1.1.0", "primary_column": "geometry", "columns": {"geometry": {"encoding": "WKB", "geometry_types": [], **crs}}}
+        table = pa.table({"id": [1], "geometry": pa.array([geometry], pa.binary())})
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        pq.write_table(table.replace_schema_metadata({"geo": json.dumps(geo)} if entry else {}), tmp_path / name)
+
+    write("water.parquet", wkb, {"crs": {"name": "WGS 84 / Pseudo-Mercator", "id": {"authority": "EPSG", "code": 3857}}})
+    write("degrees.parquet", plain, {"crs": {"name": "WGS 84 (CRS84)", "id": {"authority": "OGC", "code": "CRS84"}}})
+    write("unset.parquet", plain, {"crs": None})
+    write("bare.parquet", plain, {}, entry=False)
+    write("parts.parquet/part-0.parquet", wkb, {"crs": {"id": {"authority": "EPSG", "code": 3857}}})
+    write("odd.parquet", plain, {"crs": {"name": "a local grid"}})
+    for name in ("water", "degrees", "unset", "bare", "parts"):
+        points = sources.resolve_layer(spark, str(tmp_path), name).first()["parts"][0]
+        assert [p["x"] for p in points] == pytest.approx([1.0, 2.0]) and [p["y"] for p in points] == pytest.approx([0.0, 0.0]), name
+    with pytest.raises(ValueError, match="a local grid"):
+        sources.resolve_layer(spark, str(tmp_path), "odd")
+    assert sources.resolve_layer(spark, str(tmp_path), "water", 4326).first()["parts"][0][0]["x"] > 1000
+
+
 def test_hgt_and_report(spark, tmp_path):
     v = np.zeros((1201, 1201), ">i2")
     v[0, 0], v[3, 7] = -32768, 250

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -149,11 +150,42 @@ def lonlat(parts: Column, epsg: Column) -> Column:
     return F.when(epsg.isin(4326, 4979, 3857, 900913), known).otherwise(F.raise_error(F.concat(F.lit("unknown CRS: EPSG "), epsg.cast("string"))))
 
 
-def read_layer(spark: SparkSession, path: str, layer: str, epsg: int = 4326) -> DataFrame:
-    """GeoParquet with a WKB column `geometry` in a CRS -> layer, attrs map, kind, parts in degrees.
+def footer_epsg(spark: SparkSession, path: str, column: str = "geometry") -> int:
+    """EPSG code of a column of GeoParquet, by the `geo` entry of the footer of the path's first file in name order.
+
+    4326 where there is no entry or no CRS, or it is CRS84 (degrees); a CRS without an EPSG code is an
+    error. The files of one layer share a CRS; only one footer is read, from any file system of Spark.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(conf)
+    while system.getFileStatus(place).isDirectory():
+        inside = [f.getPath() for f in system.listStatus(place) if not f.getPath().getName().startswith(("_", "."))]
+        if not inside:
+            return 4326
+        place = min(inside, key=lambda p: p.getName())
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(place, conf))
+    try:
+        text = reader.getFooter().getFileMetaData().getKeyValueMetaData().get("geo")
+    finally:
+        reader.close()
+    crs = json.loads(text or "{}").get("columns", {}).get(column, {}).get("crs")
+    if crs is None:
+        return 4326
+    known = crs.get("id") or {}
+    if known.get("authority") == "EPSG":
+        return int(known["code"])
+    if (known.get("authority"), known.get("code")) == ("OGC", "CRS84"):
+        return 4326
+    raise ValueError(f"CRS without an EPSG code: {crs.get('name')}")
+
+
+def read_layer(spark: SparkSession, path: str, layer: str, epsg: int | None = None) -> DataFrame:
+    """GeoParquet with a WKB column `geometry` in a CRS, by its footer if not given -> layer, attrs map, kind, parts in degrees.
 
     Null geometry is skipped; points have no parts.
     """
+    epsg = footer_epsg(spark, path) if epsg is None else epsg
     df = spark.read.parquet(path).filter("geometry IS NOT NULL")
     attrs = [c for c in df.columns if c != "geometry"]
     table = F.map_from_entries(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v")) for c in attrs])) if attrs else F.create_map().cast("map<string,string>")
@@ -161,11 +193,11 @@ def read_layer(spark: SparkSession, path: str, layer: str, epsg: int = 4326) ->
     return out.withColumn("parts", lonlat(F.col("parts"), F.lit(epsg)))
 
 
-def resolve_layer(spark: SparkSession, folder: str, layer: str, epsg: int = 4326) -> DataFrame | None:
+def resolve_layer(spark: SparkSession, folder: str, layer: str, epsg: int | None = None) -> DataFrame | None:
     """A layer of a region's folder from the first of `.parquet`, `.geojson`, `.json`; None if there is none.
 
     -> layer, attrs, kind, parts in degrees; rows without geometry are skipped. GeoParquet is in the CRS
-    `epsg`, since Spark does not read its footer; GeoJSON names its own, else it is in degrees.
+    `epsg`, else in the one its footer names; GeoJSON names its own, else it is in degrees.
     """
     for ending in ("parquet", "geojson", "json"):
         path = f"{folder}/{layer}.{ending}"
