@@ -11,8 +11,8 @@ from .common import stored
 RULES = (
     ("block", "com/en/"),
     ("allow", "example.com/en/7"),
-    ("block", "net/de/"),
-    ("allow", "example.net/de/8"),
+    ("allow", "net/de/"),
+    ("block", "example.net/de/8"),
     ("block", "org/es/"),
 )
 #: All later steps together move less than this times what the last one moved, with a damping of 0.85.
