@@ -73,3 +73,12 @@ def test_one_long_segment_among_short_ones(spark):
     held = joins.in_cells(log, segments, [], [(F.col("t"), F.col("start"), F.col("end"))])
     assert held.count() < 6 * 5000  # each row meets few segments that don't hold it
     assert joins.in_cells(log, segments.limit(0), [], [(F.col("t"), F.col("start"), F.col("end"))]).count() == 0
+
+
+def test_points_on_edges(spark):
+    """Points on eastern and southern edges are inside, on western and northern ones outside; of a hole's the other way round."""
+    box = lambda a, b: [(a, a), (b, a), (b, b), (a, b)]
+    shapes = spark.createDataFrame([(1, 7, [box(0.0, 10.0), box(4.0, 6.0)])], RINGS)
+    at = {"w": (0.0, 5.0), "e": (10.0, 5.0), "s": (3.0, 0.0), "n": (3.0, 10.0), "hw": (4.0, 5.0), "he": (6.0, 5.0), "hs": (5.0, 4.0), "hn": (5.0, 6.0), "in": (2.0, 2.0)}
+    cells = spark.createDataFrame([(1, k, *p) for k, p in at.items()], "k int, id string, x double, y double")
+    assert {r["id"] for r in joins.cells_in_polygons(cells, shapes, ["k"]).collect()} == {"e", "s", "hw", "hn", "in"}

@@ -93,11 +93,13 @@ def _band(y: Column) -> Column:
 
 
 def in_bands(x: Column, y: Column) -> Column:
-    """Even-odd test over all rings of a shape of with_bands(), so holes are outside; only the edges of the point's band are read."""
+    """Even-odd test over all rings of a shape of with_bands(), so holes are outside; only the edges of the point's band are read.
+
+    Of the points on a shape's own edges those on eastern and southern ones are inside."""
     first = F.get("_first", _band(y))
     last = F.coalesce(F.get("_first", _band(y) + 1), F.size("_edges"))
     near = F.slice("_edges", first + 2, last - first - 1)
-    return F.aggregate(near, F.lit(0), lambda n, s: n + F.when(crosses(s["e"], y) & (x < crossing(s["e"], y)), 1).otherwise(0)) % 2 == 1
+    return F.aggregate(near, F.lit(0), lambda n, s: n + F.when(crosses(s["e"], y) & (x <= crossing(s["e"], y)), 1).otherwise(0)) % 2 == 1
 
 
 def in_cells(points: DataFrame, shapes: DataFrame, on: list[str], axes: list[tuple[Column, Column, Column]]) -> DataFrame:
@@ -194,15 +196,22 @@ def interp_asof(log: DataFrame, truth: DataFrame, columns: list[str], keys: list
     return both.select("_row.*", *[at(c).alias(f"true_{c}") for c in columns])
 
 
-def nearest_asof(df: DataFrame, anchors: DataFrame, keys: list[str], k: str = "k") -> DataFrame:
-    """The anchor with the nearest integer key, as `anchor`; of two equally near the smaller one."""
+def nearest_asof(df: DataFrame, anchors: DataFrame, keys: list[str], k: str = "k", weight: float | None = None) -> DataFrame:
+    """The anchor with the nearest integer key, as `anchor`; of two equally near the smaller one.
+
+    With a `weight`, over 1, the anchor of the least distance * weight + key instead: of two that are nearly as near
+    a much smaller one wins. Of equal sums the smaller anchor is taken.
+    """
     tagged = anchors.select(*keys, k, F.lit(0).alias("_tag"), F.col(k).alias("_k"))
     rows = df.withColumn("_row", F.struct(*[F.col(c) for c in df.columns])).select(*keys, k, F.lit(1).alias("_tag"), "_row")
     both = rows.unionByName(tagged, allowMissingColumns=True)
     w = Window.partitionBy(*keys).orderBy(k, "_tag")
     both = both.withColumn("_p", F.last("_k", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     both = both.withColumn("_n", F.first("_k", True).over(w.rowsBetween(0, Window.unboundedFollowing))).filter("_tag = 1")
-    take = F.when(F.col("_n").isNull() | (F.col(k) - F.col("_p") <= F.col("_n") - F.col(k)), F.col("_p")).otherwise(F.col("_n"))
+    before, after = F.col(k) - F.col("_p"), F.col("_n") - F.col(k)
+    if weight is not None:
+        before, after = before * weight + F.col("_p"), after * weight + F.col("_n")
+    take = F.when(F.col("_n").isNull() | (before <= after), F.col("_p")).otherwise(F.col("_n"))
     return both.select("_row.*", take.alias("anchor"))
 
 
