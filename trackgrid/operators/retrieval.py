@@ -66,10 +66,12 @@ def union_gallery(references: DataFrame, distractors: DataFrame, order: list[str
 def with_index(df: DataFrame, order: list, name: str = "index", parts: int = 64) -> DataFrame:
     """Rows numbered from 0 in an order: ranges are numbered apart, then shifted by the counts before them.
 
-    The order should tell rows apart. Only the counts of the ranges, `parts` at most, meet in one task.
+    The order should tell rows apart. Only the counts of the ranges, `parts` at most, meet in one task. Spark draws
+    the limits of ranges anew each time that it makes them, so they are made once and kept as a checkpoint.
     """
     own = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
     own = own.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    own = own.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else own.localCheckpoint()
     counts = own.groupBy("_part").agg(F.count("*").alias("_rows"))
     before = F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shifts = F.broadcast(counts.select("_part", before.alias("_before")))
