@@ -84,6 +84,22 @@ def test_selections_do_not_depend_on_partitions(spark, parts):
     assert ids(selection.region_except(df.select("id"), df.filter("k = 1").select("id"))) == [i for i in range(100) if i % 3 != 1]
 
 
+def test_index_of_more_rows_than_ranges_are_drawn_from(spark):
+    """The limits of ranges are drawn at random, for the rows and for their counts: a second column keeps Spark from sharing the draw."""
+    df = spark.range(60_000).select((F.col("id") * 7919 % 60_000).alias("x"), F.col("id").alias("y")).repartition(7)
+    got = retrieval.with_index(df, ["x"]).collect()
+    assert len(got) == 60_000 and all(r["index"] == r["x"] == r["y"] * 7919 % 60_000 for r in got)
+
+
+def test_nearest_of_far_anchors(spark):
+    """With a weight the key decides between anchors that are nearly as near, as in the query's SQL."""
+    rows = spark.createDataFrame([(1, 5_000_001), (1, 5_000_000), (1, 9_000_000), (2, 5_000_002)], "g int, k long")
+    anchors = spark.createDataFrame([(1, 0), (1, 10_000_000), (2, 5_000_000), (2, 5_000_003)], "g int, k long")
+    pick = lambda w: {(r["g"], r["k"]): r["anchor"] for r in joins.nearest_asof(rows, anchors, ["g"], weight=w).collect()}
+    assert pick(None) == {(1, 5_000_001): 10_000_000, (1, 5_000_000): 0, (1, 9_000_000): 10_000_000, (2, 5_000_002): 5_000_003}
+    assert pick(1e6) == pick(None) | {(1, 5_000_001): 0}
+
+
 def test_small_tables(spark):
     seg = spark.createDataFrame([(1, 0.0, 5.0), (1, 4.0, 6.0), (1, 6.0, 7.0)], "k int, start double, end double")
     assert selection.overlapping(seg, ["k"]).count() == 1
