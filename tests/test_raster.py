@@ -138,6 +138,20 @@ def test_classes_and_patches(spark):
     assert aggregates.class_iou(cells_of(spark, v), cells_of(spark, v), ["k"], 10).first()["iou"] == 1.0
 
 
+def test_visual_feature_of_many(spark):
+    """Values against NumPy; arrays aren't filled element by element in a lambda, which took minutes."""
+    k = F.col("k")
+    cells = spark.range(40 * 30).select((F.col("id") % 40).alias("k"), F.floor(F.col("id") / 40).alias("i")).select("k", ((k * 7 + F.col("i") * 31) % 180).alias("h"), ((k + F.col("i") * 9) % 256).alias("s"), (k * F.col("i") % 256).alias("v"))
+    df = raster.visual_feature(cells, "k")
+    rows = cells.toPandas()
+    for r in df.collect():
+        own = rows[rows.k == r["k"]]
+        f = np.bincount(own.h * 12 // 180 * 16 + own.s * 4 // 256 * 4 + own.v * 4 // 256, minlength=194) / len(own)
+        f[192:] = own.v.mean() / 255, own.v.std(ddof=0) / 255
+        assert np.allclose(r["feature"], f / np.sqrt((f * f).sum()), atol=1e-9)
+    assert df.count() == 40 and "transform(" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_polygons_and_lines(spark):
     square = [[(0.5, 0.5), (4.5, 0.5), (4.5, 4.5), (0.5, 4.5)], [(1.6, 1.6), (3.4, 1.6), (3.4, 3.4), (1.6, 3.4)]]
     poly = spark.createDataFrame([(1, [[{"x": x, "y": y} for x, y in r] for r in square])], "k int, parts array<array<struct<x:double,y:double>>>")
