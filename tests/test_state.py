@@ -123,6 +123,21 @@ def test_ordered_stream_equals_batch_after_a_restart(spark, tmp_path):
     assert got.fix_ok.astype(object).where(got.fix_ok.notna(), None).tolist() == want.fix_ok.astype(object).where(want.fix_ok.notna(), None).tolist()
 
 
+def test_ordered_stream_of_many_tracks_in_few_groups(spark, tmp_path):
+    """The tracks of a group step together, and each one goes on where its own state is; a track may begin late."""
+    rows = [(k, r[1] + 10 + k % 3, *r[2:]) for k in range(12) for r in scenario(k, 12, seed=k)]
+    rows.sort(key=lambda r: r[1] + r[0] % 5 * 0.5)
+    closing = (99, max(r[1] for r in rows) + 100.0, *[None] * (len(rows[0]) - 2))
+    for part in (rows[:70], [*rows[70:], closing]):
+        spark.createDataFrame(part, ROWS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(ROWS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    with streaming.typed_state(spark):
+        streaming.write_state_stream(streaming.filter_tracks_ordered(source, "track", 4.0, groups=2), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").filter("track < 99").toPandas().sort_values(["track", "t"])
+    want = state.filter_tracks(spark.createDataFrame(rows, ROWS), ["track"]).toPandas().sort_values(["track", "t"])
+    assert len(got) == len(want) == len(rows) and np.allclose(got[["track", "t", "x_e", "y_n", "sigma_pos"]], want[["track", "t", "x_e", "y_n", "sigma_pos"]])
+
+
 def test_history_stream(spark, tmp_path):
     df = spark.range(100).select((F.col("id") % 2).alias("k"), F.timestamp_seconds(1_700_000_000 + F.col("id")).alias("ts"), F.col("id").cast("double").alias("value"))
     df.coalesce(1).write.parquet(f"{tmp_path}/in")

@@ -71,6 +71,8 @@ MEASURED = ("t", "vx", "vy", "yaw_rate", "alt", "alt_sigma", "fix_x", "fix_y", "
 FILTERED = "x_e double, y_n double, speed double, yaw double, scale double, sigma_pos double, vo_ok boolean, fix_ok boolean, fix_d2 double"
 #: A track's state as one row.
 HELD = "t double, x array<double>, p array<double>, moved array<double>, fix array<double>"
+#: The states of many tracks as one row, one after the other.
+HELD_ALL = HELD.replace("t double", "t array<double>")
 #: Places in the state: east, north, up, their rates, yaw, its rate, scale of the motion.
 E, N, UP, VE, VN, YAW, TURN, SCALE = 0, 1, 2, 3, 4, 6, 7, 8
 
@@ -93,6 +95,17 @@ class TrackFilter:
         """The state of the only track, in the order of HELD."""
         return float(self.t[0]), self.x[0].tolist(), self.p[0].ravel().tolist(), self.moved[0].tolist(), self.fix[0].tolist()
 
+    def held_all(self) -> tuple:
+        """The states of all tracks, in the order of HELD_ALL."""
+        return tuple(v.ravel().tolist() for v in (self.t, self.x, self.p, self.moved, self.fix))
+
+    @classmethod
+    def of_all(cls, cfg: FilterConfig | None, held: tuple) -> TrackFilter:
+        """Tracks that held_all() has kept."""
+        out, n = cls(cfg), len(held[0])
+        out.t, out.x, out.p, out.moved, out.fix = (np.array(v, float).reshape(n, *shape) for v, shape in zip(held, ((), (9,), (9, 9), (2,), (2,))))
+        return out
+
     def grow(self, n: int) -> None:
         """Room for n tracks; new ones have not begun."""
         if more := n - len(self.t):

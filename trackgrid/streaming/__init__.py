@@ -103,23 +103,24 @@ def filter_tracks_stream(df: DataFrame, key: str, cfg: fold.FilterConfig | None
 
 
 class _Ordered(StatefulProcessor):
-    """A track's rows wait in buckets of time until the watermark has passed them; a timer then lets the due ones go on
-    in the order of (t, order)."""
+    """The rows of a group of tracks wait in buckets of time until the watermark has passed them; a timer then lets the due
+    ones go on in the order of (t, order). The group's tracks step together; their states are one row of arrays."""
 
-    def __init__(self, kinds: dict[str, str], order: tuple[str, ...], seconds: float, cfg: fold.FilterConfig | None):
-        self.kinds, self.order, self.seconds, self.cfg = kinds, order, seconds, cfg
+    def __init__(self, kinds: dict[str, str], key: str, order: tuple[str, ...], seconds: float, cfg: fold.FilterConfig | None):
+        self.kinds, self.key, self.order, self.seconds, self.cfg = kinds, key, order, seconds, cfg
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getMapState("waiting", "bucket long", ", ".join(f"`{c}` array<{k}>" for c, k in self.kinds.items()))
-        self.track = handle.getValueState("track", fold.HELD)
+        self.tracks = handle.getValueState("tracks", f"names array<{self.kinds[self.key]}>, {fold.HELD_ALL}")
         self.timer = handle.getValueState("timer", "ms long")
 
     def _wait(self, frame: pd.DataFrame) -> None:
         """Put rows in their buckets, and the timer to the first one's time."""
+        known = {k[0] for k in self.waiting.keys()}
         for bucket, part in frame.groupby(np.floor(frame["t"] / self.seconds).astype(int)):
             key, new = (int(bucket),), [_plain(part[c]) for c in self.kinds]
-            if self.waiting.containsKey(key):
+            if key[0] in known:
                 new = [[*old, *more] for old, more in zip(self.waiting.getValue(key), new)]
             self.waiting.updateValue(key, tuple(new))
         first = int(np.ceil(frame["t"].min() * 1000))
@@ -140,18 +141,23 @@ class _Ordered(StatefulProcessor):
         open_ = [(k[0], v) for k, v in self.waiting.iterator() if k[0] * self.seconds * 1000 <= now]
         for bucket, _ in open_:
             self.waiting.removeKey((bucket,))
-        frame = pd.DataFrame({c: [x for _, v in open_ for x in v[i]] for i, c in enumerate(self.kinds)}).sort_values(["t", *self.order], kind="stable")
-        due = frame["t"] * 1000 <= now
+        held = self.tracks.get() if self.tracks.exists() else None
+        places = {name: i for i, name in enumerate(held[0])} if held else {}
+        frame = pd.DataFrame({c: [x for _, v in open_ for x in v[i]] for i, c in enumerate(self.kinds)})
+        at = list(self.kinds).index(self.key)
+        due = (frame["t"] * 1000 <= now).to_numpy()
+        names = [x for _, v in open_ for x in v[at]]
+        frame["_own"] = [places.setdefault(name, len(places)) if on else -1 for name, on in zip(names, due)]
         if not due.all():
             self._wait(frame[~due])
         elif starts := [k[0] for k in self.waiting.keys()]:  # the next bucket's first row
             self._again(min(starts))
-        rows = frame[due].reset_index(drop=True)
-        tracks = fold.TrackFilter(self.cfg, self.track.get() if self.track.exists() else None)
-        tracks.grow(1)
-        made = fold.stepped(tracks, rows, np.zeros(len(rows), np.int64))
-        self.track.update(tracks.held())
-        yield pd.concat([rows, made], axis=1)
+        rows = frame[due].sort_values(["t", *self.order], kind="stable").reset_index(drop=True)
+        tracks = fold.TrackFilter.of_all(self.cfg, held[1:]) if held else fold.TrackFilter(self.cfg)
+        tracks.grow(len(places))
+        made = fold.stepped(tracks, rows, rows["_own"].to_numpy())
+        self.tracks.update((list(places), *tracks.held_all()))
+        yield pd.concat([rows.drop(columns="_own"), made], axis=1)
 
     def _again(self, bucket: int) -> None:
         first = int(np.ceil(min(self.waiting.getValue((bucket,))[list(self.kinds).index("t")]) * 1000))
@@ -164,18 +170,20 @@ def _plain(column: pd.Series) -> list:
     return [None if x is None or x != x else x for x in column.astype(object)]
 
 
-def filter_tracks_ordered(df: DataFrame, key: str, late: float, order: tuple[str, ...] = (), cfg: fold.FilterConfig | None = None) -> DataFrame:
+def filter_tracks_ordered(df: DataFrame, key: str, late: float, order: tuple[str, ...] = (), cfg: fold.FilterConfig | None = None, groups: int = 128) -> DataFrame:
     """state.filter_tracks() on a stream whose rows come up to `late` seconds of event time after later ones.
 
     Rows of a track wait until the watermark, `late` seconds behind the latest t of all tracks, has passed
     them, and are then filtered in the order of (t, order): the rows are those of the batch filter, however
     they came; t is in seconds and positive. Rows behind the watermark are dropped by Spark and counted, see late_rows(). Rows within
-    `late` seconds of the end wait for more. Needs a RocksDB state store, see typed_state().
+    `late` seconds of the end wait for more. Tracks are dealt in `groups` by hash: one call takes the due rows of a group
+    and steps its tracks together. Needs a RocksDB state store, see typed_state().
     """
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     timed = df.withColumn("_time", F.timestamp_seconds("t")).withWatermark("_time", f"{round(late * 1000)} milliseconds")
     schema = ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + f", {fold.FILTERED}"
-    return timed.groupBy(key).transformWithStateInPandas(_Ordered(kinds, order, max(late, 1.0), cfg), schema, "append", "EventTime")
+    grouped = timed.withColumn("_group", F.pmod(F.xxhash64(key), F.lit(groups)).cast("int")).groupBy("_group")
+    return grouped.transformWithStateInPandas(_Ordered(kinds, key, order, max(late, 1.0), cfg), schema, "append", "EventTime")
 
 
 @contextmanager
