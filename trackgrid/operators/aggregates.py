@@ -163,9 +163,9 @@ def diag_summary(diag: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def timing_stats(log: DataFrame, columns: list[str]) -> DataFrame:
-    """Median and 95th percentile of each stage's positive times, one row a stage."""
+    """Median and 95th percentile of each stage's positive finite times, one row a stage; see ranks.quantiles()."""
     long = log.select(F.inline(F.array(*[F.struct(F.lit(c).alias("stage"), F.col(c).cast("double").alias("ms")) for c in columns])))
-    return long.filter("ms > 0").groupBy("stage").agg(F.median("ms").alias("median_ms"), F.percentile("ms", 0.95).alias("p95_ms"))
+    return ranks.quantiles(long.filter("ms > 0"), ["stage"], "ms", {"median_ms": 0.5, "p95_ms": 0.95}).drop("n")
 
 
 def latency_stats(samples: DataFrame, keys: list[str], ms: str = "ms") -> DataFrame:
