@@ -16,3 +16,15 @@ def test_times_are_counted_in_ranges(spark):
     out = aggregates.timing_stats(df, ["a", "b"])
     assert [(r["stage"], r["median_ms"], round(r["p95_ms"], 6)) for r in out.collect()] == [("a", 497.5, 944.35)]
     assert "percentile(" not in plan(out) and "median(" not in plan(out)
+
+
+def test_changes_across_ranges(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice("ab") if i % 9 else None, i, rng.choice([1, 2, 3, None])) for i in range(300)]
+    want: dict = {}
+    for k in ("a", "b", None):
+        own = [v for key, _, v in rows if key == k]
+        want[k] = sum(x is not None and y is not None and x != y for x, y in zip(own, own[1:]))
+    df = spark.createDataFrame(rows, "k string, frame int, tile int").repartition(5)
+    for most in (7, 1000):
+        assert {r["k"]: r["changes"] for r in aggregates.changes(df, ["k"], "frame", "tile", most).collect()} == want

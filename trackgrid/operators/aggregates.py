@@ -143,20 +143,39 @@ def segment_kpis(log: DataFrame, keys: list[str], most_sigma: float) -> DataFram
     return out.withColumn("false_fix_count", false).withColumn("dead_reckoning_behavior", behaviour).drop("_in_obstruction")
 
 
+def changes(df: DataFrame, keys: list[str], order: str, value: str, rows: int = 500_000) -> DataFrame:
+    """keys, changes: how often a value differs from the one before it, in the order of a column; none counts beside a null.
+
+    Rows are cut into ranges of about `rows` by key and order, and counted in each; only a range's first and last
+    values meet those of the next one.
+    """
+    own = df.select(*keys, F.col(order).alias("_o"), F.col(value).alias("_v"))
+    parts = max(1, -(-own.count() // rows))
+    own = own.repartitionByRange(parts, *keys, "_o").withColumn("_part", F.spark_partition_id())
+    differs = lambda w: F.coalesce(F.col("_v") != F.lag("_v").over(w), F.lit(False))
+    own = own.withColumn("_new", differs(Window.partitionBy("_part", *keys).orderBy("_o")))
+    ends = {name: pick(F.struct("_v"), F.struct("_o"))["_v"].alias(name) for name, pick in (("_first", F.min_by), ("_last", F.max_by))}
+    ranges = own.groupBy(*keys, "_part").agg(F.count_if("_new").alias("_n"), *ends.values())
+    before = F.lag("_last").over(Window.partitionBy(*keys).orderBy("_part"))
+    ranges = ranges.withColumn("_n", F.col("_n") + F.coalesce(F.col("_first") != before, F.lit(False)).cast("int"))
+    return ranges.groupBy(*keys).agg(F.sum("_n").alias("changes"))
+
+
 def diag_summary(diag: DataFrame, keys: list[str]) -> DataFrame:
     """Counts and shares of states, rejects and their counts by reason, medians (negatives as 0, NaN left out) and
-    tile changes of frame diagnostics."""
+    tile changes of frame diagnostics; a key may have any number of frames, see changes()."""
     n = F.greatest(F.count("*"), F.lit(1))
     states = ("TRACK", "WEAK", "RELOCALIZE")
     on = lambda s: F.count_if(F.col("state") == s)
     shares = [(100.0 * on(s) / n).alias(f"{s.lower()}_pct") for s in states] + [on(s).alias(f"{s.lower()}_count") for s in states]
     med = lambda c: F.median(F.when(_known(c) < 0, 0.0).otherwise(_known(c))).alias(f"median_{c}")
-    moved = F.lag("tile").over(Window.partitionBy(*keys).orderBy("frame"))
-    rows = diag.withColumn("_moved", F.coalesce(F.col("tile") != moved, F.lit(False)))
     rejected = F.coalesce(F.col("reason"), F.lit("")) != ""
-    out = rows.groupBy(*keys).agg(
-        F.count("*").alias("frames"), *shares, F.count_if(rejected).alias("rejects"), med("inliers"), med("ratio"), F.count_if("_moved").alias("tile_changes")
-    )
+    out = diag.groupBy(*keys).agg(F.count("*").alias("frames"), *shares, F.count_if(rejected).alias("rejects"), med("inliers"), med("ratio"))
+    moved = changes(diag, keys, "frame", "tile").withColumnRenamed("changes", "tile_changes")
+    alike = F.lit(True)
+    for k in keys:
+        alike = alike & out[k].eqNullSafe(moved[k])
+    out = out.join(moved, alike).drop(*[moved[k] for k in keys])
     counts = diag.filter(rejected).groupBy(*keys, "reason").agg(F.count("*").alias("n"))
     reasons = counts.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("reason", "n")))).alias("rejects_by_reason"))
     return out.join(reasons, keys, "left")
