@@ -28,3 +28,11 @@ def test_changes_across_ranges(spark):
     df = spark.createDataFrame(rows, "k string, frame int, tile int").repartition(5)
     for most in (7, 1000):
         assert {r["k"]: r["changes"] for r in aggregates.changes(df, ["k"], "frame", "tile", most).collect()} == want
+
+
+def test_hypotheses_are_not_copies_of_all_points(spark):
+    rows = [(k, i, float(i % 7), float(i * i % 11), float(i % 7) + 3 + 400 * (i % 5 == 0), float(i * i % 11) - 2) for k in (1, 2) for i in range(60)] + [(3, 0, 1.0, 1.0, 2.0, 2.0)]
+    out = aggregates.rigid_fit_ransac(spark.createDataFrame(rows, "k int, i int, x0 double, y0 double, x1 double, y1 double"), ["k"], 1.0)
+    got = {r["k"]: (r["num_inliers"], round(r["tx"], 6), round(r["ty"], 6)) for r in out.collect()}
+    assert got[1] == got[2] == (48, 3.0, -2.0) and got[3] == (1, 1.0, 1.0)
+    assert "explode(sequence(" not in plan(out) and "explode([0,1,2" not in plan(out)

@@ -270,19 +270,24 @@ def rigid_fit(pairs: DataFrame, keys: list[str]) -> DataFrame:
 def rigid_fit_ransac(pairs: DataFrame, keys: list[str], limit: float, hypotheses: int = 32, point: str = "i") -> DataFrame:
     """rigid_fit() over the inliers of the best two-point hypothesis; fewer than two inliers: over all points.
 
-    Hypotheses pair points by hash: for each of them the two points of the smallest hashes. All of them
-    meet the points in one join by key, as many rows as points times hypotheses.
+    Hypotheses pair points by hash: for each of them the two points of the smallest hashes, which two aggregations
+    of the points find. Points meet all hypotheses in one join whose rows are counted at once; only the best
+    hypothesis meets them again. No more than the points themselves is shuffled.
     """
-    hyp = pairs.withColumn("hyp", F.explode(F.sequence(F.lit(0), F.lit(hypotheses - 1))))
+    points = pairs.select(*keys, point, "x0", "y0", "x1", "y1")
+    h = [F.xxhash64(F.lit(i), point) for i in range(hypotheses)]
+    least = points.groupBy(*keys).agg(*[F.min(x).alias(f"_a{i}") for i, x in enumerate(h)])
+    after = points.join(least, keys).groupBy(*keys).agg(*[F.min(F.when(x > F.col(f"_a{i}"), x)).alias(f"_b{i}") for i, x in enumerate(h)])
+    drawn = F.array_compact(F.array(*[F.when((x == F.col(f"_a{i}")) | (x == F.col(f"_b{i}")), F.lit(i)) for i, x in enumerate(h)]))
+    hyp = points.join(least.join(after, keys), keys).select(*points.columns, F.explode(drawn).alias("hyp"))
     hyp = hyp.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "hyp").orderBy(F.xxhash64("hyp", point), point))).filter("_k <= 2")
     fits = rigid_fit(hyp, [*keys, "hyp"]).select(*keys, "hyp", "theta", "tx", "ty")
-    rows = pairs.join(fits, keys)
     ex = F.cos("theta") * F.col("x0") - F.sin("theta") * F.col("y0") + F.col("tx") - F.col("x1")
     ey = F.sin("theta") * F.col("x0") + F.cos("theta") * F.col("y0") + F.col("ty") - F.col("y1")
-    rows = rows.withColumn("_in", F.hypot(ex, ey) < limit)
-    counts = rows.groupBy(*keys, "hyp").agg(F.count_if("_in").alias("num_inliers"))
+    inside = F.hypot(ex, ey) < limit
+    counts = points.join(fits, keys).groupBy(*keys, "hyp").agg(F.count_if(inside).alias("num_inliers"))
     best = counts.groupBy(*keys).agg(F.max_by(F.struct("hyp", "num_inliers"), F.struct("num_inliers", -F.col("hyp"))).alias("b")).select(*keys, "b.*")
-    used = rows.join(best, [*keys, "hyp"]).filter((F.col("num_inliers") < 2) | F.col("_in"))
+    used = points.join(best.join(fits, [*keys, "hyp"]), keys).filter((F.col("num_inliers") < 2) | inside)
     return rigid_fit(used, keys).join(best.select(*keys, "num_inliers"), keys)
 
 
