@@ -36,3 +36,13 @@ def test_hypotheses_are_not_copies_of_all_points(spark):
     got = {r["k"]: (r["num_inliers"], round(r["tx"], 6), round(r["ty"], 6)) for r in out.collect()}
     assert got[1] == got[2] == (48, 3.0, -2.0) and got[3] == (1, 1.0, 1.0)
     assert "explode(sequence(" not in plan(out) and "explode([0,1,2" not in plan(out)
+
+
+def test_points_of_one_place_are_looked_up_once(spark):
+    df = spark.range(3000).select("id", (F.col("id") % 3).alias("f"), (F.col("id") % 2 * 5.0).alias("x"), F.lit(0.0).alias("y"))
+    df = df.withColumn("f", F.when(F.col("x") > 0, F.col("f") + 10).otherwise(F.col("f")))
+    for r, n in ((4.0, 3), (5.0, 6)):
+        out = joins.radius_neighbors(df, r, "id", "f")
+        assert out.count() == 3000 and out.filter(f"n_frames <> {n}").count() == 0
+    made = plan(out).split("Generate")[-1]
+    assert "Aggregate [x" in made[: made.find("Aggregate") + 20]

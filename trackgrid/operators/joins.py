@@ -226,15 +226,18 @@ def first_after(segments: DataFrame, rows: DataFrame, keys: list[str]) -> DataFr
 def radius_neighbors(points: DataFrame, r_m: float, key: str, frame: str) -> DataFrame:
     """Points (key, frame, x, y in metres) -> the same and n_frames: distinct frames within r_m, its own included.
 
-    Points fall in cells of size r_m; each looks into nine of them by an equi-join.
+    Distinct places fall in cells of size r_m; each looks into nine of them by an equi-join, and the frames of a place
+    are counted once for all points there.
     """
-    cell = points.withColumn("cx", F.floor(F.col("x") / r_m)).withColumn("cy", F.floor(F.col("y") / r_m))
+    cell = points.select("x", "y").distinct().withColumn("cx", F.floor(F.col("x") / r_m)).withColumn("cy", F.floor(F.col("y") / r_m))
     near = cell.withColumn("_dx", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("_dy", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
-    near = near.withColumn("cx", F.col("cx") + F.col("_dx")).withColumn("cy", F.col("cy") + F.col("_dy"))
-    other = cell.select("cx", "cy", F.col("x").alias("ox"), F.col("y").alias("oy"), F.col(frame).alias("of")).distinct()
+    near = near.select("x", "y", (F.col("cx") + F.col("_dx")).alias("cx"), (F.col("cy") + F.col("_dy")).alias("cy"))
+    other = cell.select("cx", "cy", F.col("x").alias("ox"), F.col("y").alias("oy"))
     inside = F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")) <= r_m
-    found = near.join(other, ["cx", "cy"]).filter(inside)
-    return found.groupBy(key, frame, "x", "y").agg(F.count_distinct("of").alias("n_frames"))
+    met = near.join(other, ["cx", "cy"]).filter(inside).select("x", "y", "ox", "oy")
+    frames = points.select(F.col("x").alias("ox"), F.col("y").alias("oy"), F.col(frame).alias("of")).distinct()
+    found = met.join(frames, ["ox", "oy"]).groupBy("x", "y").agg(F.count_distinct("of").alias("n_frames"))
+    return points.select(key, frame, "x", "y").distinct().join(found, ["x", "y"]).select(key, frame, "x", "y", "n_frames")
 
 
 def best_covering(maps: DataFrame, frames: DataFrame, keys: list[str], most: int = FEW) -> DataFrame:
