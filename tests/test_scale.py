@@ -46,3 +46,10 @@ def test_points_of_one_place_are_looked_up_once(spark):
         assert out.count() == 3000 and out.filter(f"n_frames <> {n}").count() == 0
     made = plan(out).split("Generate")[-1]
     assert "Aggregate [x" in made[: made.find("Aggregate") + 20]
+
+
+def test_quads_of_tiles_of_few_files(spark, monkeypatch):
+    monkeypatch.setattr(joins, "MANY", 50)
+    tiles = spark.range(400).select(F.lit("a").alias("region"), (F.col("id") % 20).alias("x"), F.floor(F.col("id") / 20).alias("y")).coalesce(1)
+    out = joins.tile_quads(tiles.unionByName(tiles))
+    assert out.count() == 19 * 19 and "RepartitionByExpression [region" in plan(out)

@@ -12,6 +12,10 @@ from ..functions import geo
 FEW = 50_000
 
 
+#: Rows of a task that makes several rows of each.
+MANY = 1_000_000
+
+
 def is_few(df: DataFrame, most: int = FEW) -> bool:
     """Whether a table has at most `most` rows; counts no further than that."""
     return df.limit(most + 1).count() <= most
@@ -25,9 +29,14 @@ def pair_tiles(images: DataFrame, masks: DataFrame, on: list[str]) -> DataFrame:
 
 
 def tile_quads(tiles: DataFrame, keys: tuple[str, ...] = ("region",)) -> DataFrame:
-    """Anchors (x, y) whose tiles (x, y) to (x + 1, y + 1) all exist: one shuffle instead of three self-joins."""
+    """Anchors (x, y) whose tiles (x, y) to (x + 1, y + 1) all exist: two shuffles instead of three self-joins.
+
+    Tiles are dealt in tasks of about MANY rows before anything is made of them, however few files they come from.
+    """
     corner = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (0, 1) for dy in (0, 1)]))
-    out = tiles.select(*keys, "x", "y").distinct().withColumn("c", corner)
+    own = tiles.select(*keys, "x", "y")
+    own = own.repartition(max(1, -(-own.count() // MANY)), *keys, "x", "y").distinct()
+    out = own.withColumn("c", corner)
     out = out.select(*keys, (F.col("x") - F.col("c.dx")).alias("x"), (F.col("y") - F.col("c.dy")).alias("y"))
     return out.groupBy(*keys, "x", "y").count().filter("count = 4").drop("count")
 
