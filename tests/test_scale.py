@@ -53,3 +53,13 @@ def test_quads_of_tiles_of_few_files(spark, monkeypatch):
     tiles = spark.range(400).select(F.lit("a").alias("region"), (F.col("id") % 20).alias("x"), F.floor(F.col("id") / 20).alias("y")).coalesce(1)
     out = joins.tile_quads(tiles.unionByName(tiles))
     assert out.count() == 19 * 19 and "RepartitionByExpression [region" in plan(out)
+
+
+def test_masks_of_tiles_of_few_files(spark, monkeypatch):
+    monkeypatch.setattr(joins, "MANY", 100, raising=False)
+    k = F.col("id").cast("double")
+    tiles = spark.range(20).select("id", k.alias("w"), F.lit(0.0).alias("s"), (k + 1).alias("e"), F.lit(1.0).alias("n")).coalesce(1)
+    at = lambda x, y: F.struct((k + x).alias("x"), F.lit(float(y)).alias("y"))
+    shapes = spark.range(20).select("id", F.array(F.array(at(0, 0), at(0.5, 0), at(0.5, 1), at(0, 1))).alias("parts"), F.lit(1).alias("cls"))
+    out = raster.burn_polygons(tiles, shapes, 8, ["id"])
+    assert out.count() == 20 * 32 and out.filter("c > 3").count() == 0 and "RepartitionByExpression [id" in plan(out)
