@@ -63,3 +63,11 @@ def test_masks_of_tiles_of_few_files(spark, monkeypatch):
     shapes = spark.range(20).select("id", F.array(F.array(at(0, 0), at(0.5, 0), at(0.5, 1), at(0, 1))).alias("parts"), F.lit(1).alias("cls"))
     out = raster.burn_polygons(tiles, shapes, 8, ["id"])
     assert out.count() == 20 * 32 and out.filter("c > 3").count() == 0 and "RepartitionByExpression [id" in plan(out)
+
+
+def test_segments_that_lines_share(spark):
+    at = lambda x, y: F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"))
+    lines = spark.range(500).select(F.lit(1).alias("g"), F.lit(1.0).alias("width_m"), F.array(F.array(at(0, 0), at(9, 0))).alias("parts"))
+    cells = spark.range(100).select(F.lit(1).alias("g"), F.floor(F.col("id") / 10).alias("r"), (F.col("id") % 10).alias("c"))
+    out = joins.cells_near_lines(cells.withColumn("x", F.col("c").cast("double")).withColumn("y", F.col("r").cast("double")), lines, ["g"])
+    assert out.count() == 20 and plan(out).count("Aggregate") == 2

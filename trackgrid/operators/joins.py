@@ -164,9 +164,12 @@ def segment_distance(x: Column, y: Column, x0: Column, y0: Column, x1: Column, y
 
 
 def cells_near_lines(cells: DataFrame, lines: DataFrame, on: list[str]) -> DataFrame:
-    """Cells (keys, r, c, x, y in metres) within width_m of lines (keys, width_m, parts) of the same key, once each."""
+    """Cells (keys, r, c, x, y in metres) within width_m of lines (keys, width_m, parts) of the same key, once each.
+
+    Segments that several lines share are looked up once.
+    """
     ends = lambda p: F.zip_with(F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))), F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    segments = lines.withColumn("s", F.explode(F.flatten(F.transform("parts", ends)))).drop("parts")
+    segments = lines.withColumn("s", F.explode(F.flatten(F.transform("parts", ends)))).drop("parts").distinct()
     near = segment_distance(F.col("x"), F.col("y"), F.col("s.a.x"), F.col("s.a.y"), F.col("s.b.x"), F.col("s.b.y")) <= F.col("width_m")
     ends = lambda pick, c: pick(F.col(f"s.a.{c}"), F.col(f"s.b.{c}"))
     wide = F.col("width_m")
