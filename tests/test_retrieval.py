@@ -1,6 +1,7 @@
 """Exact score margins from counts of blocks."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from trackgrid.operators import retrieval
@@ -26,3 +27,15 @@ def test_margins_of_an_empty_gallery_and_long_vectors(spark):
     assert retrieval.margins(one, none).collect() == []
     with pytest.raises(Exception, match="unit length"):
         retrieval.margins(one, one.withColumnRenamed("query_id", "vec_id")).collect()
+
+
+def test_a_block_of_scores_is_counted_in_a_few_megabytes():
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(300, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    q = pa.table({"query_id": pa.array(range(300), pa.int64()), "q": pa.array(v.tolist())})
+    g = pa.table({"v": pa.array(v.tolist())})
+    for block in (q, q.append_column("low", pa.array([700] * 300)).append_column("high", pa.array([1024] * 300))):
+        out = retrieval._counted(block, g)
+        assert out.nbytes < 300 * 10_000 and out["best"].to_pylist() == [retrieval.HALF + retrieval.MILLION] * 300
+    assert out.num_rows == 300 and retrieval._counted(q, g.slice(0, 0)).num_rows == 0

@@ -130,30 +130,31 @@ def score_margin(scores: DataFrame, key: str = "query_id") -> DataFrame:
 
 
 #: Scores of unit vectors are counted as whole millionths from -HALF on, in ranges of FINE of them.
-HALF, FINE, MILLION = 1 << 20, 1 << 11, 1_000_000
+HALF, FINE, MILLION = 1 << 20, 1 << 10, 1_000_000
 
 
 def _counted(queries: pa.Table, gallery: pa.Table) -> pa.Table:
     """For each query of a block its scores with a block of the gallery as counts: of ranges, or, once the ranges of
     the median are known (low, high), of the values in those."""
-    ids, rows = queries["query_id"].to_pylist(), []
     known = "low" in queries.column_names
+    n = queries.num_rows if gallery.num_rows else 0
+    width = 2 * FINE if known else 2 * HALF // FINE
+    counts, best = np.zeros((n, width), np.int32), np.zeros(n, np.int64)  # a block's counts, and no copy of them
     parts = np.stack([queries["low"].to_numpy(), queries["high"].to_numpy()], axis=1) if known else None
     vs = _matrix(gallery["v"]) if gallery.num_rows else None
-    for at in range(0, queries.num_rows if gallery.num_rows else 0, 512):
+    for at in range(0, n, 512):
         found = np.rint(_matrix(queries["q"].slice(at, 512)) @ vs.T * MILLION).astype(np.int64) + HALF
         if found.min() < 0 or found.max() >= 2 * HALF:
             raise ValueError("vectors aren't of unit length")
         for i, own in enumerate(found):
             if known:
-                counts = np.concatenate([np.bincount(own[own // FINE == r] % FINE, minlength=FINE) for r in parts[at + i]])
+                for j, r in enumerate(parts[at + i]):
+                    counts[at + i, j * FINE : (j + 1) * FINE] = np.bincount(own[own // FINE == r] % FINE, minlength=FINE)
             else:
-                counts = np.bincount(own // FINE, minlength=2 * HALF // FINE)
-            rows.append((counts, int(own.max())))
-    return pa.table({
-        "query_id": pa.array(ids[: len(rows)], queries.schema.field("query_id").type), "counts": pa.array([r[0] for r in rows], pa.list_(pa.int64())),
-        "best": pa.array([r[1] for r in rows], pa.int64()),
-    })
+                counts[at + i] = np.bincount(own // FINE, minlength=width)
+        best[at : at + len(found)] = found.max(axis=1)
+    ends = pa.array(np.arange(n + 1, dtype=np.int32) * width)
+    return pa.table({"query_id": queries["query_id"].slice(0, n), "counts": pa.ListArray.from_arrays(ends, pa.array(counts.ravel())), "best": pa.array(best)})
 
 
 def _merged(finish, names: tuple[str, ...]):
@@ -167,7 +168,7 @@ def _merged(finish, names: tuple[str, ...]):
                 if total is None or q != at:
                     if total is not None:
                         out.append((at, *finish(total, best)))
-                    at, total, best = q, counts.copy(), b
+                    at, total, best = q, counts.astype(np.int64), b
                 else:
                     total += counts
                     best = max(best, b)
@@ -189,7 +190,7 @@ def margins(queries: DataFrame, gallery: DataFrame, block: int = 4096) -> DataFr
     gives one row of constant size for each query, and a merging task holds one.
     """
     kind = queries.schema["query_id"].dataType.simpleString()
-    counts = f"query_id {kind}, counts array<bigint>, best bigint"
+    counts = f"query_id {kind}, counts array<int>, best bigint"
     merge = lambda df, finish, names, kinds: df.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(_merged(finish, names), f"query_id {kind}, {kinds}")
 
     def ranges(total: np.ndarray, best: int) -> tuple:
