@@ -71,3 +71,12 @@ def test_segments_that_lines_share(spark):
     cells = spark.range(100).select(F.lit(1).alias("g"), F.floor(F.col("id") / 10).alias("r"), (F.col("id") % 10).alias("c"))
     out = joins.cells_near_lines(cells.withColumn("x", F.col("c").cast("double")).withColumn("y", F.col("r").cast("double")), lines, ["g"])
     assert out.count() == 20 and plan(out).count("Aggregate") == 2
+
+
+def test_layers_have_more_files_for_more_features(spark, monkeypatch):
+    from trackgrid import queries_files
+
+    files, write = [], queries_files._text
+    monkeypatch.setattr(queries_files, "LAYER_ROWS", 5, raising=False)
+    monkeypatch.setattr(queries_files, "_text", lambda df, key, path: files.append(df.count()) or write(df, key, path))
+    assert queries_files.resolve_layer(spark, "/root/testdata/sf0.001").count() == 150 + 100 and files[0] > 20

@@ -14,6 +14,10 @@ from . import sources, streaming
 from .queries import CELLS, LOG, _cells, _log, _points, _points_sql, _query, _r, _table
 
 
+#: Features of a GeoJSON file, about.
+LAYER_ROWS = 10_000
+
+
 def _folder(spark: SparkSession) -> str:
     """A new folder in the shared one that spark.checkpoint.dir names; a temporary one only where Spark is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -133,7 +137,8 @@ def resolve_layer(spark, d):
         F.when(F.col("id") % 2 == 0, line).otherwise(ring), F.lit("}}"),
     )
     crs = '{"type":"FeatureCollection","crs":{"type":"name","properties":{"name":"urn:ogc:def:crs:EPSG::3857"}},"features":['
-    files = p.select((F.col("id") % 16).alias("b"), feature.alias("f")).groupBy("b").agg(F.concat(F.lit(crs), F.array_join(F.collect_list("f"), ","), F.lit("]}")).alias("value"))
+    parts = max(16, -(-p.count() // LAYER_ROWS))  # a file is read whole by one task
+    files = p.select(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("b"), feature.alias("f")).groupBy("b").agg(F.concat(F.lit(crs), F.array_join(F.collect_list("f"), ","), F.lit("]}")).alias("value"))
     _text(files, "b", f"{path}/transportation.geojson")
     both = sources.resolve_layer(spark, path, "water").unionByName(sources.resolve_layer(spark, path, "transportation"))
     first = F.flatten("parts")
