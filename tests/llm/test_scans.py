@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from trackgrid.llm import licenses, queries, urls, vectors
 
@@ -75,6 +76,24 @@ def test_licenses(spark):
     assert not re.search("Python|Arrow|Pandas", plan.split("Physical Plan")[1].split("RDD")[0]) or "ExistingRDD" in plan
 
 
+def test_license_blocks_split_a_text_once(spark):
+    """A text's words are made once, not once a block, and only texts with enough words of a template have blocks."""
+    rng = random.Random(8)
+    words = sorted({w for t, _ in licenses.TEMPLATES for w in t.split()})
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 60))) for _ in range(300)] + [""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, words string")
+    blocks = licenses.text_blocks(F.col("words"))
+    plan = docs.select(blocks.alias("b"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and "slice(split(" not in plan
+    step = licenses.block_words()
+    rows = docs.select("words", blocks.alias("b"), licenses.possible(F.col("words")).alias("on")).collect()
+    assert {r["on"] for r in rows} == {True, False}
+    for r in rows:
+        w = r["words"].split()
+        assert [set(x) for x in r["b"]] == [set(w[i : i + 2 * step]) for i in range(0, max(1, len(w)), step)]
+        assert r["on"] == any(len(set(w) & set(t.split())) >= 0.8 * len(set(t.split())) - 1e-9 for t, _ in licenses.TEMPLATES)
+
+
 def test_urls(spark):
     hosts = ["a.com", "b.example.com", "EXAMPLE.com", "c.net", "example.net", "d.org", "com", "xcom", "e.io", "f.io"]
     rng = random.Random(2)

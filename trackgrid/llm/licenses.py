@@ -6,6 +6,7 @@ DataFrame functions only: nothing here runs Python on the executors.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -115,6 +116,11 @@ def _prefix(tokens: list[str], rank: dict[str, int], threshold: float) -> list[s
     return sorted(tokens, key=rank.get)[: len(tokens) - math.ceil(threshold * len(tokens) - 1e-9) + 1]
 
 
+def _bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), where value is computed once a row, however often `of` names it and in whatever function of an array."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def text_blocks(words: Column, templates=TEMPLATES) -> Column:
     """For each block of a text, words between single spaces, its distinct words that are in some template.
 
@@ -122,10 +128,21 @@ def text_blocks(words: Column, templates=TEMPLATES) -> Column:
     is no longer than a template stands in one of them, across line breaks too.
     """
     step = block_words(templates)
-    vocabulary = F.array(*map(F.lit, sorted({w for t, _ in templates for w in t.split()})))
-    parts = F.split(words, " ")
-    starts = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / step).cast("int"))
-    return F.transform(starts, lambda b: F.array_intersect(F.slice(parts, b * step + 1, 2 * step), vocabulary))
+    starts = lambda parts: F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / step).cast("int"))
+    block = lambda parts, b: F.array_intersect(F.slice(parts, b * step + 1, 2 * step), _vocabulary(templates))
+    return _bound(F.split(words, " "), lambda parts: F.transform(starts(parts), lambda b: block(parts, b)))
+
+
+def _vocabulary(templates) -> Column:
+    return F.array(*map(F.lit, sorted({w for t, _ in templates for w in t.split()})))
+
+
+def possible(words: Column, threshold: float = 0.8, templates=TEMPLATES) -> Column:
+    """Whether a whole text has enough distinct words of some template; no block of another text holds one."""
+    sets = [sorted(set(text.split())) for text, _ in templates]
+    enough = lambda own, s: F.size(F.array_intersect(own, F.array(*map(F.lit, s)))) >= math.ceil(threshold * len(s) - 1e-9)
+    own = F.array_intersect(F.split(words, " "), _vocabulary(templates))
+    return _bound(own, lambda own: reduce(lambda a, b: a | b, [enough(own, s) for s in sets]))
 
 
 def block_words(templates=TEMPLATES) -> int:
@@ -135,7 +152,8 @@ def block_words(templates=TEMPLATES) -> int:
 def scan(docs: DataFrame, threshold: float = 0.8, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
     """(doc_id, text) -> doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    A document's blocks are overlapping windows of its words (see text_blocks()). Its labels are those of
+    A document's blocks are overlapping windows of its words (see text_blocks()); documents whose words are too
+    few for any template (see possible()) need none. Its labels are those of
     the phrases that stand in it and those of the templates that its blocks hold; score is 1 with a phrase,
     else the largest containment found, else 0. Null texts count as empty; texts of any length are read
     whole; repeated rows stay; other columns are dropped; an empty table gives an empty result.
@@ -145,7 +163,8 @@ def scan(docs: DataFrame, threshold: float = 0.8, phrases=PHRASES, templates=TEM
     docs = docs.select("doc_id", "x", spaced(F.col("text")).alias("words"))
     base = phrase_places(docs, phrases)
     least = min(math.ceil(threshold * len(set(t.split())) - 1e-9) for t, _ in templates)
-    blocks = docs.select("doc_id", "x", F.posexplode(text_blocks(F.col("words"), templates)).alias("block", "tokens"))
+    some = docs.filter(possible(F.col("words"), threshold, templates))
+    blocks = some.select("doc_id", "x", F.posexplode(text_blocks(F.col("words"), templates)).alias("block", "tokens"))
     blocks = stored(blocks.filter(F.size("tokens") >= least))  # no block with fewer holds any template
     found = matching_blocks(blocks, threshold, templates).groupBy("doc_id", "x").agg(
         F.collect_set("label").alias("found"), F.max("containment").alias("containment")
