@@ -80,3 +80,20 @@ def test_layers_have_more_files_for_more_features(spark, monkeypatch):
     monkeypatch.setattr(queries_files, "LAYER_ROWS", 5, raising=False)
     monkeypatch.setattr(queries_files, "_text", lambda df, key, path: files.append(df.count()) or write(df, key, path))
     assert queries_files.resolve_layer(spark, "/root/testdata/sf0.001").count() == 150 + 100 and files[0] > 20
+
+
+def test_template_cells_go_to_the_blocks_that_offsets_reach(spark):
+    rng = random.Random(6)
+    every = spark.createDataFrame([(r, c) for r in range(16) for c in range(16)], "r int, c int")
+    assert joins.reached_blocks(every, 4, 16).count() == 24 * 24  # nine blocks each would be 2304 rows
+    for most, side in ((4, 16), (3, 1), (0, 4)):
+        cells = lambda n: [(rng.randint(0, 1), rng.randint(0, 1), rng.randint(-20, 40), rng.randint(-20, 40), rng.randint(1, 3) * 1.0) for _ in range(n)]
+        one, two = cells(150), cells(150)
+        want = {}
+        for k, cls, r, c, w in one:
+            for k2, cls2, r2, c2, _ in two:
+                if (k, cls) == (k2, cls2) and max(abs(r2 - r), abs(c2 - c)) <= most:
+                    want[k, r2 - r, c2 - c] = want.get((k, r2 - r, c2 - c), 0) + w
+        made = [spark.createDataFrame(x, "pair_id int, cls int, r int, c int, w double") for x in (one, two)]
+        got = joins.offset_votes(*made, most, side=side).select("pair_id", "dr", "dc", "votes").collect()
+        assert {(x[0], x[1], x[2]): x[3] for x in got} == want and len(got) == len(want)

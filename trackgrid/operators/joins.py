@@ -332,17 +332,21 @@ def param_grid(spark, **axes: list) -> DataFrame:
     return out
 
 
+def reached_blocks(cells: DataFrame, most: int, size: int) -> DataFrame:
+    """Cells (r, c) once for each block (br, bc) of `size` cells a side that an offset of up to `most` leads to."""
+    blocks = lambda x: F.explode(F.sequence(F.floor((F.col(x) - most) / size), F.floor((F.col(x) + most) / size)))
+    return cells.withColumn("br", blocks("r")).withColumn("bc", blocks("c"))
+
+
 def offset_votes(template: DataFrame, scene: DataFrame, most: int, key: str = "pair_id", side: int = 16) -> DataFrame:
     """Votes (key, dr, dc) -> weight of template cells (key, cls, r, c, w) that meet scene cells of their class.
 
-    Only offsets of up to `most` cells count: cells are put into blocks of that size and looked up in
-    nine of them, so no class is paired with all of a scene.
+    Only offsets of up to `most` cells count: cells are put into blocks of that size or `side` and looked up in
+    those that they reach, nine at most and few where blocks are large, so no class is paired with all of a scene.
     """
     size = max(most, side)
     block = lambda df: df.withColumn("br", F.floor(F.col("r") / size)).withColumn("bc", F.floor(F.col("c") / size))
-    around = F.array(*map(F.lit, (-1, 0, 1)))
-    t = block(template).withColumn("_i", F.explode(around)).withColumn("_j", F.explode(around))
-    t = t.select(key, "cls", (F.col("br") + F.col("_i")).alias("br"), (F.col("bc") + F.col("_j")).alias("bc"), F.col("r").alias("tr"), F.col("c").alias("tc"), "w")
+    t = reached_blocks(template, most, size).select(key, "cls", "br", "bc", F.col("r").alias("tr"), F.col("c").alias("tc"), "w")
     pairs = t.join(block(scene).select(key, "cls", "br", "bc", "r", "c"), [key, "cls", "br", "bc"])
     pairs = pairs.withColumn("dr", F.col("r") - F.col("tr")).withColumn("dc", F.col("c") - F.col("tc"))
     return pairs.filter((F.abs("dr") <= most) & (F.abs("dc") <= most)).groupBy(key, "dr", "dc").agg(F.sum("w").alias("votes"))
