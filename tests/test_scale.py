@@ -97,3 +97,20 @@ def test_template_cells_go_to_the_blocks_that_offsets_reach(spark):
         made = [spark.createDataFrame(x, "pair_id int, cls int, r int, c int, w double") for x in (one, two)]
         got = joins.offset_votes(*made, most, side=side).select("pair_id", "dr", "dc", "votes").collect()
         assert {(x[0], x[1], x[2]): x[3] for x in got} == want and len(got) == len(want)
+
+
+def test_class_edges_are_counted_where_they_are_made(spark):
+    rng = random.Random(7)
+    cells = [(k, rng.randrange(9), rng.randrange(9), rng.randint(0, 2)) for k in range(6) for _ in range(rng.randint(1, 30))]
+    cells = list({(k, r, c): (k, r, c, v) for k, r, c, v in cells}.values())
+    sizes = [(9, 9), (9, 300_000)]  # the second in bands
+    for height, width in sizes:
+        want = set()
+        for k, cls in {(k, v) for k, _, _, v in cells if v}:
+            own = {(r, c) for k2, r, c, v in cells if (k2, v) == (k, cls)}
+            edge = {(r + i, c + j) for r, c in own for i in (-1, 0, 1) for j in (-1, 0, 1) if 0 <= r + i < height and 0 <= c + j < width} - own
+            want |= {(k, cls, *x) for x in edge if len(edge) >= 24}
+        out = raster.class_edges(spark.createDataFrame(cells, "k int, r int, c int, v int"), ["k"], height, width, 24)
+        assert {(x["k"], x["cls"], x["r"], x["c"]) for x in out.collect()} == want and out.count() == len(want)
+        if height * width < 1 << 20:
+            assert plan(out).count("MapInArrow") == 1 and "Join" not in plan(out)
