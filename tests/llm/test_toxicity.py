@@ -1,6 +1,7 @@
 """Toxicity: held-out accuracy, identity terms, odd rows."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -105,3 +106,24 @@ def test_a_column_of_the_name_of_the_score_is_replaced(spark):
     assert got.columns == ["doc_id", "text", "h", "score"]
     rows = got.collect()
     assert len(rows) == 40 and all(0 <= r["score"] <= 1 and r["h"] == 7 for r in rows)
+
+
+def test_telling_features_apart_takes_little_memory():
+    """Hashes of fewer than three texts, nearly all of them, take no part in the tables of the statistic."""
+    rng = np.random.default_rng(5)
+    n = np.array([700, 300])
+    counts = np.zeros((2, toxicity.DIMENSIONS), np.int32)
+    some = rng.choice(toxicity.DIMENSIONS, 3000, replace=False)
+    counts[0, some], counts[1, some] = rng.integers(0, 12, 3000), rng.integers(0, 12, 3000)
+    tracemalloc.start()
+    got = toxicity._told_apart(counts, n, 12.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = []
+    for f in np.sort(some).tolist():
+        a, b = counts[:, f].tolist()
+        cells = [(a, (a + b) * 0.7), (b, (a + b) * 0.3), (700 - a, (1000 - a - b) * 0.7), (300 - b, (1000 - a - b) * 0.3)]
+        if a + b >= 3 and 2 * sum(x * np.log(x / e) for x, e in cells if x) >= 12.0:
+            want.append(f)
+    assert got.tolist() == want and len(want) > 50
+    assert peak < 64 << 20

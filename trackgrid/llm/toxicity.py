@@ -81,13 +81,15 @@ class Model:
 
 
 def _told_apart(counts: np.ndarray, n: np.ndarray, least: float) -> np.ndarray:
-    """Features whose presence depends on the class: a likelihood-ratio statistic of at least `least`."""
+    """Features of three texts or more whose presence depends on the class: a likelihood-ratio statistic of at least `least`."""
+    some = np.flatnonzero(counts.sum(axis=0) >= 3)  # first, as most hashes have fewer
+    counts = counts[:, some]
     table = np.stack([counts[0], counts[1], n[0] - counts[0], n[1] - counts[1]]).astype(float)
     row = np.stack([table[0] + table[1]] * 2 + [table[2] + table[3]] * 2)
     expected = row * np.array([n[0], n[1], n[0], n[1]])[:, None] / n.sum()
     with np.errstate(divide="ignore", invalid="ignore"):
         g2 = 2 * np.nansum(np.where(table > 0, table * np.log(table / expected), 0), axis=0)
-    return np.flatnonzero((g2 >= least) & (counts.sum(axis=0) >= 3))
+    return some[g2 >= least]
 
 
 def fit(
@@ -139,11 +141,11 @@ def _fit(flat: np.ndarray, sizes: np.ndarray, words: list[bytes], toxic: np.ndar
             counts[int(label)][np.unique(own)] += 1
     n = np.array([(toxic == 0).sum(), (toxic == 1).sum()])
     used = _told_apart(counts, n, least)
-    index = np.full(DIMENSIONS, -1)
+    index = np.full(DIMENSIONS, -1, np.int32)
     index[used] = np.arange(len(used))
-    word_of = np.repeat(np.arange(len(words), dtype=np.int32), per)
-    on = index[feature] >= 0
-    word_of, feature = word_of[on], index[feature[on]]
+    feature = index[feature]
+    on = feature >= 0
+    word_of, feature = np.repeat(np.arange(len(words), dtype=np.int32), per)[on], feature[on]
     told = np.zeros(len(words), bool)
     told[word_of] = True
     text_of = np.repeat(np.arange(n_texts), sizes)[told[flat]]
@@ -197,6 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 6000) -> Model:
         column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
     words = column.flatten().dictionary_encode()
     sizes = np.diff(column.offsets.to_numpy())
+    del found, column  # the fit has the driver's memory to itself
     return _fit(words.indices.to_numpy().astype(np.int32), sizes, words.dictionary.to_pylist(), toxic)
 
 
