@@ -146,3 +146,23 @@ def test_texts_are_not_shuffled_and_rounds_end_with_few_partners(spark, monkeypa
     before, after = plan.split("MapInArrow")[:2]
     assert "Join" not in before and after.count("Join") >= 1 and "_x" not in before  # the bitmap only
     assert rounds == [True, False]
+
+
+def test_pairs_of_two_rows_that_are_not_the_best_ones(spark):
+    """Cells of two rows each, as of sets that share no more: the middle link of four sets is the best one of neither end."""
+    rng = random.Random(6)
+    w = [f"w{rng.randrange(10**9)}" for _ in range(200)]
+    ends = [(0, 160), (2, 162), (12, 172), (14, 174)]
+    texts = [(i, " ".join(w[a:b])) for i, (a, b) in enumerate(ends)]
+    docs = spark.createDataFrame([(i, str(i), i, t) for i, t in texts], "doc_id long, _d string, _x long, text string")
+    kinds = "doc_id long, _d string, _x long, k long, n long, print binary, coarse binary"
+    rows = common.stored(docs.mapInArrow(nearcopies._sets(5), kinds))
+    k = {r["doc_id"]: (r["k"], r["n"]) for r in rows.collect()}
+    sets = [shingles(t) for _, t in texts]
+    shares = [[similarity(a, b) for b in sets] for a in sets]
+    assert shares[1][2] >= 0.85 > 0.8 and shares[0][1] > shares[1][2] < shares[2][3]
+    cells = [(t, *k[i], 0) for t, pair in enumerate(((0, 1), (1, 2), (2, 3))) for i in pair]
+    cells = common.stored(spark.createDataFrame(cells, "token long, k long, n long, pos long"))
+    own = spark.createDataFrame([(k[i][0], t) for i, t in texts], "k long, text string")
+    roots = nearcopies.linked(rows, cells, own, 5, 0.8).collect()
+    assert {r["k"] for r in roots} == {x for x, _ in k.values()} and len({r["root"] for r in roots}) == 1

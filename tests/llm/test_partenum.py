@@ -82,6 +82,17 @@ def test_a_crowd_of_variants(spark):
     check(spark, rows)
 
 
+def test_chains_of_short_texts(spark):
+    """Texts that each lack one word of the last one: their cells are small, and half of the links are no text's best one."""
+    rng = random.Random(3)
+    rows = []
+    for _ in range(8):
+        w = [f"w{rng.randrange(10**9)}" for _ in range(166)]
+        rows += [" ".join(w[i : i + 16]) for i in range(150)]
+    rng.shuffle(rows)
+    check(spark, list(enumerate(rows)))
+
+
 def test_other_parameters(spark):
     check(spark, list(enumerate(texts(random.Random(9), 150))), words=2, percent=70)
 
