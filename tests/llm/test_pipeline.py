@@ -86,6 +86,18 @@ def test_clashing_columns(spark, folder):
         assert rows and all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in extra), name
 
 
+def test_one_text_of_each_chain_of_short_ones_stays(spark):
+    """Ten shingles, of which each text shares nine with the next: the links that are no text's best one count, too."""
+    rng = random.Random(3)
+    texts = []
+    for _ in range(8):
+        w = [f"w{rng.randrange(10**9)}" for _ in range(164)]
+        texts += [" ".join(w[i : i + 14]) for i in range(150)]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert corpus_pipeline.drop_near_duplicates(spark, docs, "").count() == 8
+
+
 def test_odd_rows(spark):
     rows = [(1, "a b c", "x"), (1, "a b c", "y"), (None, None, "z"), (None, None, None), (2, None, "w"), (3, "d e", "v"), (None, "a  b C", "u")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
