@@ -152,6 +152,68 @@ def test_visual_feature_of_many(spark):
     assert df.count() == 40 and "transform(" not in df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def plain_canny(v, low, high):
+    h, w = v.shape
+    at = lambda r, c: int(v[min(max(r, 0), h - 1), min(max(c, 0), w - 1)])
+    m, grad = {}, {}
+    for r in range(h):
+        for c in range(w):
+            x = sum(k * (at(r + i, c + 1) - at(r + i, c - 1)) for i, k in ((-1, 1), (0, 2), (1, 1)))
+            y = sum(k * (at(r + 1, c + j) - at(r - 1, c + j)) for j, k in ((-1, 1), (0, 2), (1, 1)))
+            m[r, c], grad[r, c] = abs(x) + abs(y), (x, y)
+    level = {}
+    for (r, c), (x, y) in grad.items():
+        n, angle = m[r, c], np.degrees(np.arctan2(abs(y), abs(x)))
+        near = lambda i, j: m.get((r + i, c + j), 0)  # noqa: B023, E731
+        if angle < 22.5:
+            top = n > near(0, -1) and n >= near(0, 1)
+        elif angle > 67.5:
+            top = n > near(-1, 0) and n >= near(1, 0)
+        else:
+            s = -1 if (x < 0) != (y < 0) else 1
+            top = n > near(-1, -s) and n > near(1, s)
+        if top and n > low:
+            level[r, c] = n > high
+    found = todo = [p for p, strong in level.items() if strong]
+    found = set(found)
+    while todo:
+        r, c = todo.pop()
+        new = {(r + i, c + j) for i in (-1, 0, 1) for j in (-1, 0, 1)} & set(level) - found
+        found |= new
+        todo += new
+    return found
+
+
+def test_canny(spark):
+    """Edges against loops over pixels, in whole rasters and in bands of rows that edges cross."""
+    rng = np.random.default_rng(5)
+    images = [np.kron(rng.integers(0, 256, (6, 5)), np.ones((4, 4), int)), rng.integers(0, 256, (24, 20)), np.add.outer(np.arange(24) * 9, np.arange(20)) % 256]
+    images.append(np.where(np.arange(20)[None] >= 9, np.linspace(60, 25, 24).astype(int)[:, None], 0))  # strong at the top only
+    cells = spark.createDataFrame([(k, r, c, int(v)) for k, image in enumerate(images) for (r, c), v in np.ndenumerate(image)], "k int, r int, c int, v int")
+    want = {(k, *p) for k, image in enumerate(images) for p in plain_canny(image, 80, 160)}
+    assert len({p for p in want if p[0] == 3}) > 16
+    for most in (raster.MOST, 60):
+        got = raster.canny(cells.unionByName(cells.limit(9)), ["k"], 24, 20, most=most).collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_visual_feature_with_edges(spark):
+    """All 195 numbers against NumPy and colorsys; a cell of no color, one without neighbours."""
+    import colorsys
+
+    rng = np.random.default_rng(6)
+    images = [np.stack([rng.integers(0, n, (12, 10)) for n in (180, 256, 256)]), np.stack([np.kron(rng.integers(0, n, (3, 2)), np.ones((4, 5), int)) for n in (180, 256, 256)]), np.full((3, 12, 10), 7)]
+    cells = spark.createDataFrame([(k, r, c, *map(int, image[:, r, c])) for k, image in enumerate(images) for r in range(12) for c in range(10)], "k int, r int, c int, h int, s int, v int")
+    got = {r["k"]: np.array(r["feature"]) for r in raster.visual_feature(cells, "k", 12, 10).collect()}
+    for k, (h, s, v) in enumerate(images):
+        rgb = np.array([[colorsys.hsv_to_rgb(a / 180, b / 255, c / 255) for a, b, c in zip(*x)] for x in zip(h, s, v)])
+        gray = np.floor(np.floor(rgb * 255 + 0.5 + 1e-9) @ (9798, 19235, 3735) / 32768 + 0.5).astype(int)
+        f = np.bincount((h * 12 // 180 * 16 + s * 4 // 256 * 4 + v * 4 // 256).ravel(), minlength=195) / 1.0
+        f /= np.sqrt((f * f).sum())
+        f[192:] = gray.mean() / 255, gray.std() / 255, len(plain_canny(gray, 80, 160)) / 120
+        assert (f[194] > 0) == (k < 2) and np.allclose(got[k], f / np.sqrt((f * f).sum()), atol=1e-9)
+
+
 def test_polygons_and_lines(spark):
     square = [[(0.5, 0.5), (4.5, 0.5), (4.5, 4.5), (0.5, 4.5)], [(1.6, 1.6), (3.4, 1.6), (3.4, 3.4), (1.6, 3.4)]]
     poly = spark.createDataFrame([(1, [[{"x": x, "y": y} for x, y in r] for r in square])], "k int, parts array<array<struct<x:double,y:double>>>")
